@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelint.functions.rounding import round_even
+
 SP_TO_SA = 35.16504 / 35.0
 CP0 = 3991.86795711963
 S_FACTOR = 0.0248826675584615
@@ -140,4 +142,4 @@ def depth_from_pressure(p: Column, latitude: float, subtract_atmosphere: bool =
     g = F.lit(9.780318 * (1.0 + (5.2788e-3 + 2.36e-5 * x) * x)) + F.lit(1.092e-6) * p
     metres = ((((F.lit(-1.82e-15) * p + F.lit(2.279e-10)) * p - F.lit(2.2512e-5)) * p
                + F.lit(9.72659)) * p) / g
-    return F.bround(metres, 2)
+    return round_even(metres, 2)

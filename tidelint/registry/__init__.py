@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("qc",)
+_FAMILIES = ("qc", "prep")
 
 
 def _merged(attribute: str) -> dict:

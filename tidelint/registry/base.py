@@ -108,3 +108,29 @@ def sigma_sql(source: str, value: str, out: str, window_s: int | None, n_src: st
 {out} AS (SELECT f.*, CASE WHEN win >= n OR win < 11 THEN
       CASE WHEN gmad > 0 THEN gmad ELSE gsd END
     ELSE coalesce(nx, pv) END AS sigma FROM {out}_f f JOIN {out}_g USING (series_id))"""
+
+
+def cells(spark: SparkSession, path: str) -> DataFrame:
+    """Current-profiler rows: a record per order, a depth cell per line."""
+    li = table(spark, path, "lineitem")
+    return li.select(
+        F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")).alias("site"),
+        F.col("l_orderkey").alias("record"), F.col("l_shipdate").alias("ts"),
+        F.col("l_linenumber").alias("cell"), (F.col("l_linenumber") * 2.0).alias("depth"),
+        F.when(F.col("l_partkey") % 23 != 0, F.col("l_quantity") * 7).alias("speed"),
+        (F.col("l_extendedprice") % 360).alias("direction"),
+        F.when(F.col("l_partkey") % 31 != 0, F.col("l_quantity") - 25).alias("east"),
+        ((F.col("l_partkey") % 41) - 20).cast("double").alias("north"),
+        (F.col("l_tax") * 800).alias("stdev"), (F.col("l_discount") * -800).alias("strength"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_suppkey") % 2).otherwise(0).cast("double").alias("state"),
+        F.when(F.col("l_partkey") % 19 != 0, (F.col("l_suppkey") % 50).cast("double")).alias("tilt"),
+        F.col("l_partkey").alias("part"))
+
+
+CELLS = """cells AS (SELECT 'S' || (l_suppkey % 4) AS site, l_orderkey AS record, l_shipdate AS ts,
+  l_linenumber AS cell, l_linenumber * 2.0::DOUBLE AS depth,
+  CASE WHEN l_partkey % 23 <> 0 THEN l_quantity * 7 END AS speed, l_extendedprice % 360 AS direction,
+  CASE WHEN l_partkey % 31 <> 0 THEN l_quantity - 25 END AS east,
+  CAST((l_partkey % 41) - 20 AS DOUBLE) AS north, l_tax * 800 AS stdev, l_discount * -800 AS strength,
+  CAST(CASE WHEN l_returnflag = 'R' THEN l_suppkey % 2 ELSE 0 END AS DOUBLE) AS state,
+  CASE WHEN l_partkey % 19 <> 0 THEN CAST(l_suppkey % 50 AS DOUBLE) END AS tilt, l_partkey AS part FROM lineitem)"""
