@@ -44,7 +44,7 @@ def station_label(subpath: Column, names: Column) -> Column:
     rh = F.regexp_extract(hay, r"(?i)RH\s*_?(\d{1,2})", 1)
     centre = F.regexp_extract(hay, r"(?i)CENTROID\w*\s*(\d+)", 1)
     leaf = F.element_at(F.split(subpath, r"[/\\]"), -1)
-    clean = F.substring(F.upper(F.trim(F.lit("_"), F.regexp_replace(leaf, "[^A-Za-z0-9]+", "_"))), 1, 24)
+    clean = F.substring(F.upper(F.trim(F.regexp_replace(leaf, "[^A-Za-z0-9]+", "_"), F.lit("_"))), 1, 24)
     return (F.when(rh != "", F.concat(F.lit("RH"), rh))
             .when(centre != "", F.concat(F.lit("CENTROID"), centre))
             .when(F.coalesce(subpath, F.lit("")).isin("", ".") | (clean == ""), "EXPERIMENTO")

@@ -11,7 +11,6 @@ from tidelint.operators.ordering import Position, RunningSum, attach, attach_agg
 from tidelint.operators.qc_tests import c
 
 
-@F.pandas_udf("array<double>")
 def _solve(powers: pd.Series, moments: pd.Series) -> pd.Series:
     """Coefficients (constant first) of each group's normal equations."""
     out = []
@@ -47,7 +46,7 @@ def fit(df: DataFrame, keys, x: Column, y: Column, degree: int, out: str = "fit"
         F.array(*[F.sum(p) for p in power]).alias("_s"),
         F.array(*[F.sum(p * F.col("_y")) for p in power[:degree + 1]]).alias("_m"),
         F.count(F.lit(1)).alias("_n")).where(F.col("_n") > degree)
-    coef = sums.select(*keys, _solve("_s", "_m").alias("_c"))
+    coef = sums.select(*keys, F.pandas_udf(_solve, "array<double>")("_s", "_m").alias("_c"))
     value = F.greatest(_polynomial(F.col("_u"), F.col("_c"), degree), F.lit(0.0))
     return attach(work, coef, keys).select(*[c(n) for n in df.columns], value.alias(out))
 

@@ -288,14 +288,14 @@ def g6_adaptive_resample(spark, path):
     ev = scalar_series(spark, path).select((F.substring("series_id", 2, 20).cast("long") + 1000).alias("series"), "ts", F.col("v"))
     mid = table(spark, path, "orders").select(
         (F.year("o_orderdate") * 10 + F.quarter("o_orderdate") + 10000).cast("long").alias("series"),
-        F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").alias("v"))
+        F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.floor("o_totalprice").cast("double").alias("v"))
     out = rp.resample(s.unionByName(ev).unionByName(mid), "series", "ts", "v")
-    return out.select("series", "cadence", F.col("bin").cast("string").alias("bin"), F.round("mean", 4).alias("mean"))
+    return out.select("series", "cadence", F.col("bin").cast("string").alias("bin"), F.round("mean", 6).alias("mean"))
 
 
 add("g6_adaptive_resample", g6_adaptive_resample, f"""WITH {EV}, a AS (SELECT l_suppkey % 50 AS series, l_shipdate AS ts, l_quantity AS v FROM lineitem
 UNION ALL SELECT CAST(substr(series_id, 2) AS BIGINT) + 1000, ts, v FROM ev
-UNION ALL SELECT year(o_orderdate) * 10 + quarter(o_orderdate) + 10000, CAST(o_orderdate AS TIMESTAMP), o_totalprice FROM orders),
+UNION ALL SELECT year(o_orderdate) * 10 + quarter(o_orderdate) + 10000, CAST(o_orderdate AS TIMESTAMP), floor(o_totalprice) FROM orders),
 s AS (SELECT series, min(ts) AS t0, max(ts) AS t1, (epoch_us(max(ts)) - epoch_us(min(ts))) / 8.64e10 AS days FROM a GROUP BY 1),
 c AS (SELECT *, CASE WHEN days > 150 THEN 'MS' WHEN days > 30 THEN 'W' ELSE 'D' END AS cadence FROM s),
 lab AS (SELECT series, cadence, v, CASE cadence WHEN 'MS' THEN CAST(date_trunc('month', ts) AS DATE)
@@ -304,7 +304,7 @@ m AS (SELECT series, cadence, bin, avg(v) AS mean FROM lab GROUP BY 1, 2, 3),
 e AS (SELECT series, cadence, CAST(unnest(CASE cadence WHEN 'MS' THEN generate_series(date_trunc('month', t0)::TIMESTAMP, t1, INTERVAL 1 MONTH)
   WHEN 'W' THEN generate_series(date_trunc('week', t0)::TIMESTAMP + INTERVAL 6 DAY, date_trunc('week', t1)::TIMESTAMP + INTERVAL 6 DAY, INTERVAL 7 DAY)
   ELSE generate_series(date_trunc('day', t0)::TIMESTAMP, t1, INTERVAL 1 DAY) END) AS DATE) AS bin FROM c)
-SELECT series, cadence, CAST(bin AS VARCHAR) AS bin, round(mean, 4) AS mean FROM e LEFT JOIN m USING (series, cadence, bin)""")
+SELECT series, cadence, CAST(bin AS VARCHAR) AS bin, round(mean, 6) AS mean FROM e LEFT JOIN m USING (series, cadence, bin)""")
 
 
 def _products(spark, path):
