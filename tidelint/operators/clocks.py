@@ -99,10 +99,17 @@ def repair_collapsed(df: DataFrame, keys, row: str, ts: str = "ts", light: str =
         both_stats = phase.join(warm, keys, "left").join(match, keys, "left")
         stats = both_stats if stats is None else stats.join(both_stats, keys)
     lit = F.col("l_am").isNotNull() & F.col("l_pm").isNotNull()
-    by_light = F.when(F.col("l_pm") < F.col("l_am"), "pm").otherwise("am")
+    # where a witness sees no difference, the more regular reading is kept
+    steadier = F.when(F.col("m_pm") > F.col("m_am"), "pm").otherwise("am")
+
+    def closer(am: Column, pm: Column) -> Column:
+        return F.when(F.abs(am - pm) < 1e-6, steadier).when(pm < am, "pm").otherwise("am")
+
+    by_light = closer(F.col("l_am"), F.col("l_pm"))
     light_ok = lit & (F.least("l_am", "l_pm") <= MAX_NOON_OFFSET_H)
     warmest = F.least("t_am", "t_pm")
-    by_temp = F.when(F.coalesce(F.col("t_am") <= F.col("t_pm"), F.col("t_am").isNotNull()), "am").otherwise("pm")
+    by_temp = F.when(F.col("t_am").isNull(), "pm").when(F.col("t_pm").isNull(), "am").otherwise(
+        closer(F.col("t_am"), F.col("t_pm")))
     half = F.when(F.coalesce(light_ok, F.lit(False)), by_light).when(warmest <= MAX_TEMPERATURE_OFFSET_H, by_temp)
     match = F.when(half == "am", F.col("m_am")).when(half == "pm", F.col("m_pm"))
     verdict = stats.select(

@@ -28,7 +28,7 @@ def statistics_table(df: DataFrame, variables: list[str], keys: list[str] | None
     base = long.groupBy(*group).agg(F.max("value").alias("max"), F.min("value").alias("min"),
                                     F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     both = base.join(medians, group)
-    return both.select(*group, *[round_even(x, 2).alias(x) for x in ("max", "min", "mean", "median", "std")])
+    return both.select(*group, *[round_even(F.col(x), 2).alias(x) for x in ("max", "min", "mean", "median", "std")])
 
 
 def test_report(flags: DataFrame, keys: list[str]) -> DataFrame:

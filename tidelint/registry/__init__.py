@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("qc", "prep", "timing", "currents", "store")
+_FAMILIES = ("qc", "prep", "timing", "currents", "store", "analysis")
 
 
 def _merged(attribute: str) -> dict:
