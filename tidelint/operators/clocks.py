@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
-from tidelint.operators.catalog import modal_step
 from tidelint.operators.light import clock_phase, hours_from, temperature_peak_hour
 from tidelint.operators.ordering import Prev, RunningMax, attach, attach_aggregates, ordered
 from tidelint.operators.qc_tests import c
@@ -85,31 +84,40 @@ def repair_collapsed(df: DataFrame, keys, row: str, ts: str = "ts", light: str =
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     both = unfold_clock(df, keys, row, ts)
-    stats = None
-    for half in ("am", "pm"):
-        one = both.drop(ts).withColumnRenamed(half, ts) if half != ts else both
-        phase = clock_phase(one, keys, ts, light).select(*keys, F.col("offset_h").alias(f"l_{half}"))
-        warm = temperature_peak_hour(one, keys, ts, temperature).select(
-            *keys, hours_from(F.col("peak_hour"), TEMPERATURE_PEAK_H).alias(f"t_{half}"))
-        s = ordered(one, keys, row).scan(_before=Prev(micros(F.col(ts))))
-        steps = s.with_columns(_d=micros(F.col(ts)) - F.col("_before")).rows.where(F.col("_before").isNotNull())
-        mode = modal_step(steps, keys, "_d")
-        match = attach(steps, mode, keys).groupBy(*keys).agg(
-            F.avg(F.coalesce(F.col("_d") == F.col("interval"), F.lit(False)).cast("double")).alias(f"m_{half}"))
-        both_stats = phase.join(warm, keys, "left").join(match, keys, "left")
-        stats = both_stats if stats is None else stats.join(both_stats, keys)
-    lit = F.col("l_am").isNotNull() & F.col("l_pm").isNotNull()
+    # both readings are judged in one pass, as two series
+    halves = F.array(*[F.struct(F.lit(h).alias("half"), F.col(h).alias("t")) for h in ("am", "pm")])
+    long = both.withColumn("_h", F.explode(halves))
+    long = long.select(*keys, row, light, temperature, F.col("_h.half").alias("half"), F.col("_h.t").alias(ts))
+    two = [*keys, "half"]
+    phase = clock_phase(long, two, ts, light).select(*two, F.col("offset_h").alias("l"))
+    warm = temperature_peak_hour(long, two, ts, temperature).select(
+        *two, hours_from(F.col("peak_hour"), TEMPERATURE_PEAK_H).alias("t"))
+    s = ordered(long.select(*two, row, ts), two, row).scan(_before=Prev(micros(F.col(ts))))
+    step = micros(F.col(ts)) - F.col("_before")
+    per_step = s.rows.where(F.col("_before").isNotNull()).groupBy(*two, step.alias("_d")).count()
+    pace = per_step.groupBy(*two).agg(
+        F.max_by("count", F.when(F.col("_d") > 0, F.struct("count", -F.col("_d")))).alias("_usual"),
+        F.sum("count").alias("_all"), F.count_if(F.col("_d") <= 0).alias("_back"))
+    judged = attach(attach(phase, warm, two), pace, two)
+    # a reading whose time does not always advance is no candidate
+    forward = F.coalesce(F.col("_back") == 0, F.lit(False))
+    judged = judged.select(*two, forward.alias("ok"), F.when(forward, F.col("l")).alias("l"),
+                           F.when(forward, F.col("t")).alias("t"), F.when(forward, F.col("_usual") / F.col("_all")).alias("m"))
+    stats = judged.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("half") == h, F.col(x))).alias(f"{x}_{h}") for h in ("am", "pm") for x in ("ok", "l", "t", "m")])
+    lit = ((F.col("l_am").isNotNull() | ~F.col("ok_am")) & (F.col("l_pm").isNotNull() | ~F.col("ok_pm"))
+           & (F.col("ok_am") | F.col("ok_pm")))
     # where a witness sees no difference, the more regular reading is kept
     steadier = F.when(F.col("m_pm") > F.col("m_am"), "pm").otherwise("am")
 
     def closer(am: Column, pm: Column) -> Column:
-        return F.when(F.abs(am - pm) < 1e-6, steadier).when(pm < am, "pm").otherwise("am")
+        return (F.when(am.isNull(), "pm").when(pm.isNull(), "am").when(F.abs(am - pm) < 1e-6, steadier)
+                .when(pm < am, "pm").otherwise("am"))
 
     by_light = closer(F.col("l_am"), F.col("l_pm"))
     light_ok = lit & (F.least("l_am", "l_pm") <= MAX_NOON_OFFSET_H)
     warmest = F.least("t_am", "t_pm")
-    by_temp = F.when(F.col("t_am").isNull(), "pm").when(F.col("t_pm").isNull(), "am").otherwise(
-        closer(F.col("t_am"), F.col("t_pm")))
+    by_temp = closer(F.col("t_am"), F.col("t_pm"))
     half = F.when(F.coalesce(light_ok, F.lit(False)), by_light).when(warmest <= MAX_TEMPERATURE_OFFSET_H, by_temp)
     match = F.when(half == "am", F.col("m_am")).when(half == "pm", F.col("m_pm"))
     verdict = stats.select(

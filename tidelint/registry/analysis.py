@@ -335,11 +335,12 @@ add("c4_swapped_verdict", c4_swapped_verdict, f"WITH {_C4} SELECT series_id, CAS
 
 def _collapsed(spark, path):
     """Hourly series whose clock lost its AM/PM mark; the last group is irregular."""
-    s = _by_third(spark, path).drop("temp", "lux").join(scalar_series(spark, path).select("sample_no", "value"), "sample_no")
-    s = ordered(s, "series_id", "sample_no").scan(pos=Position()).rows
+    s = scalar_series(spark, path)
+    s = s.withColumn("series_id", F.concat(F.lit("g"), (F.substring("series_id", 2, 20).cast("long") % 4).cast("string")))
+    s = ordered(s.select("series_id", "sample_no", "ts", "value"), "series_id", "sample_no").scan(pos=Position()).rows
     g = F.substring("series_id", 2, 3).cast("int")
-    true = F.timestamp_add("HOUR", (F.col("pos") + g * 2).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    true = F.when(g == 11, F.date_trunc("minute", "ts").cast("timestamp_ntz")).otherwise(true)
+    true = F.timestamp_add("HOUR", (F.col("pos") + g * 8).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    true = F.when(g == 3, F.date_trunc("minute", "ts").cast("timestamp_ntz")).otherwise(true)
     s = s.withColumn("true_ts", true)
     hour = F.hour("true_ts")
     return s.select("series_id", "sample_no", "true_ts", (20 + 3 * F.cos((hour - 14) / 24.0 * 6.283185307179586)).alias("temp"),
@@ -353,10 +354,10 @@ def c5_collapsed_clock(spark, path):
     return out.select("series_id", "sample_no", "ts", "verdict")
 
 
-add("c5_collapsed_clock", c5_collapsed_clock, f"""WITH {LIGHT12}, p AS (SELECT series_id, sample_no, ts, row_number() OVER (PARTITION BY series_id ORDER BY sample_no) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n,
-  CAST(substr(series_id, 2) AS INTEGER) AS g FROM l12),
-t AS (SELECT *, CASE WHEN g = 11 THEN date_trunc('minute', ts) ELSE TIMESTAMP '2024-01-01' + to_hours(CAST(pos + g * 2 AS INTEGER)) END AS tt FROM p)
-SELECT series_id, sample_no, CAST(CASE WHEN g = 11 AND hour(tt) >= 12 THEN tt - INTERVAL 12 HOUR ELSE tt END AS TIMESTAMP) AS ts, CASE WHEN g = 11 THEN 'refused' ELSE 'repaired' END AS verdict FROM t""")
+add("c5_collapsed_clock", c5_collapsed_clock, f"""WITH {EV}, q AS (SELECT sample_no, ts, CAST(substr(series_id, 2) AS BIGINT) % 4 AS g FROM ev),
+p AS (SELECT 'g' || g AS series_id, sample_no, ts, row_number() OVER (PARTITION BY g ORDER BY sample_no) - 1 AS pos, g FROM q),
+t AS (SELECT *, CASE WHEN g = 3 THEN date_trunc('minute', ts) ELSE TIMESTAMP '2024-01-01' + to_hours(CAST(pos + g * 8 AS INTEGER)) END AS tt FROM p)
+SELECT series_id, sample_no, CAST(CASE WHEN g = 3 AND hour(tt) >= 12 THEN tt - INTERVAL 12 HOUR ELSE tt END AS TIMESTAMP) AS ts, CASE WHEN g = 3 THEN 'refused' ELSE 'repaired' END AS verdict FROM t""")
 
 
 def _region_daily(spark, path):
