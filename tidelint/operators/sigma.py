@@ -9,7 +9,11 @@ of a piece are sent to it as well.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +37,42 @@ def attach_global_sigma(df: DataFrame, keys, columns: dict[str, Column]) -> Data
         .otherwise(F.col(f"_p_{n}")).alias(n) for n in columns])
 
 
-def _rolling(values: pd.Series, win: int) -> pd.Series:
+def _rolling(values: np.ndarray, win: int, fill: bool) -> np.ndarray:
+    """Local spread of one ordered piece of a series."""
+    v = pd.Series(values)
     roll = {"window": win, "center": True, "min_periods": 3}
-    mad = (values - values.rolling(**roll).median()).abs().rolling(**roll).median()
+    mad = (v - v.rolling(**roll).median()).abs().rolling(**roll).median()
     sigma = MAD_TO_SIGMA * mad
-    return sigma.where(sigma > 0, values.rolling(**roll).std())
+    weak = ~(sigma > 0)
+    if weak.any():
+        sigma = sigma.where(~weak, v.rolling(**roll).std())
+    return (sigma.bfill().ffill() if fill else sigma).to_numpy()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups from batches sorted by group, with their starts."""
+    pieces, tail = [], None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        t = pa.Table.from_batches([batch])
+        ids = t.select(group).to_pandas()
+        change = (ids != ids.shift()).any(axis=1).to_numpy()
+        change[0] = tail is None or tuple(ids.iloc[0]) != tail
+        tail = tuple(ids.iloc[-1])
+        starts = np.flatnonzero(change)
+        if len(starts) == 0:
+            pieces.append(t)
+            continue
+        if starts[0] > 0:
+            pieces.append(t.slice(0, int(starts[0])))
+        if pieces:
+            yield pa.concat_tables(pieces), [0]
+        if len(starts) > 1:
+            yield t.slice(int(starts[0]), int(starts[-1] - starts[0])), [int(x - starts[0]) for x in starts[:-1]]
+        pieces = [t.slice(int(starts[-1]))]
+    if pieces:
+        yield pa.concat_tables(pieces), [0]
 
 
 def rolling_sigma(df: DataFrame, keys, pos: str, n: str,
@@ -70,23 +105,30 @@ def rolling_sigma(df: DataFrame, keys, pos: str, n: str,
             F.greatest(first, F.lit(0)), F.least(last, top))).cast("long"))
         group = [*keys, "_part"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable").reset_index(drop=True)
-        res = pdf[kept].copy()
-        length = int(pdf[n].iloc[0])
-        for o in outs:
-            win = pdf[windows[o]].iloc[0] if o in windows else None
-            if win is None or pd.isna(win) or win >= length or win < MIN_SAMPLES:
-                res[o] = pdf[f"_g_{o}"]
-                continue
-            sigma = _rolling(pdf[f"_v_{o}"].astype("float64"), int(win))
-            res[o] = sigma.bfill().ffill() if one_piece else sigma
-        if one_piece:
-            return res
-        k = int(pdf["_part"].iloc[0])
-        return res[(pdf[pos] >= k * PIECE_ROWS) & (pdf[pos] < (k + 1) * PIECE_ROWS)]
-
-    rolled = piece.groupBy(*group).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def numbers(t: pa.Table, name: str) -> np.ndarray:
+            return t.column(name).to_pandas().to_numpy(dtype="float64")
+
+        for t, starts in _groups(batches, group):
+            out = t.select(kept)
+            bounds = list(zip(starts, [*starts[1:], t.num_rows], strict=True))
+            length = numbers(t, n)
+            for o in outs:
+                sigma = numbers(t, f"_g_{o}").copy()
+                if o in windows:
+                    win, values = numbers(t, windows[o]), numbers(t, f"_v_{o}")
+                    for a, z in bounds:
+                        if MIN_SAMPLES <= win[a] < length[a]:
+                            sigma[a:z] = _rolling(values[a:z], int(win[a]), one_piece)
+                out = out.append_column(o, pa.array(sigma, from_pandas=True))
+            if not one_piece:
+                at = numbers(t, pos) // PIECE_ROWS
+                out = out.filter(pa.array(at == numbers(t, "_part")))
+            yield from out.combine_chunks().to_batches()
+
+    # many short groups share a batch, so the cost per series stays small
+    rolled = (piece.repartition(*group).sortWithinPartitions(*group, pos)
+              .mapInArrow(run, schema))
     if one_piece:
         return rolled
     # windows with fewer than three values take the nearest later spread, else the earlier
