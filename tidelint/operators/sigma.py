@@ -101,8 +101,8 @@ def rolling_sigma(df: DataFrame, keys, pos: str, n: str,
         first = F.floor((F.col(pos) - reach) / PIECE_ROWS)
         last = F.floor((F.col(pos) + reach) / PIECE_ROWS)
         top = F.floor((F.col(n) - 1) / PIECE_ROWS)
-        piece = work.withColumn("_part", F.explode(F.sequence(
-            F.greatest(first, F.lit(0)), F.least(last, top))).cast("long"))
+        spread = F.sequence(F.greatest(first, F.lit(0)).cast("long"), F.least(last, top).cast("long"))
+        piece = work.withColumn("_part", F.explode(spread))
         group = [*keys, "_part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

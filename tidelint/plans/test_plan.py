@@ -35,6 +35,7 @@ BASE_BUCKETS = ("T", "S", "C", "P", "pH", "chl", "O2", "org", "tur")
 
 @dataclass(frozen=True)
 class Test:
+    __test__ = False       # not a test case, whatever its name suggests
     variable: str
     family: str            # sensor, environment, spike, rate, flat, gradient, density, light
 
