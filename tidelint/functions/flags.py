@@ -48,6 +48,16 @@ def worst_of(digits: Iterable[Column]) -> Column:
     return from_rank(ranks[0] if len(ranks) == 1 else F.least(*ranks))
 
 
+def worst_of_columns(names: list[str]) -> Column:
+    """``worst_of`` over columns given by name, as one expression text."""
+    if not names:
+        return flag(DISMISSED)
+    rank = " ".join(f"WHEN {code} THEN {i}" for i, code in enumerate(SEVERITY))
+    ranks = ", ".join(f"CASE `{n}` {rank} ELSE {len(SEVERITY) - 1} END" for n in names)
+    worst = f"least({ranks})" if len(names) > 1 else ranks
+    return F.expr(f"element_at(array({', '.join(str(c) for c in SEVERITY)}), {worst} + 1)")
+
+
 def worst_in_array(digits: Column) -> Column:
     """Worst digit of an array column of digits."""
     return from_rank(F.coalesce(F.array_min(F.transform(digits, severity_rank)),

@@ -248,7 +248,9 @@ _COSTLY = ("Join", "Aggregate", "Window", "Repartition", "Generate", "FlatMapGro
 
 
 def reusable(df: DataFrame) -> DataFrame:
-    """``df``, stored first if reading it twice would redo a shuffle."""
+    """``df``, stored first if reading it twice would redo a large shuffle."""
+    if fits_whole(df):
+        return df
     plan = df._jdf.queryExecution().analyzed().toString()
     return cut_lineage(df) if any(node in plan for node in _COSTLY) else df
 

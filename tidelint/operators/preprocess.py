@@ -255,13 +255,11 @@ def cast_phase(df: DataFrame, keys, pos: str, pressure: str) -> DataFrame:
 
 def drop_null_repeats(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     """Drop null readings at instants the series has more than once."""
-    group = [*keys, ts]
-    repeats = df.groupBy(*group).count().where(F.col("count") > 1).select(*group)
-    holes = df.where(c(value).isNull()).join(repeats, group, "left_anti").select(*[c(x) for x in df.columns])
-    return df.where(c(value).isNotNull()).unionByName(holes)
+    counted = attach_aggregates(df, [*keys, ts], {"_copies": F.count(F.lit(1))})
+    return counted.where(c(value).isNotNull() | (F.col("_copies") == 1)).drop("_copies")
 
 
 def present_parameters(long: DataFrame, keys: list[str], var: str = "var", value: str = "value") -> DataFrame:
     """Rows of the parameters that hold at least one value in their slice."""
-    alive = long.groupBy(*keys, var).agg(F.count(value).alias("_n")).where(F.col("_n") > 0)
-    return long.join(alive.select(*keys, var), [*keys, var], "left_semi")
+    counted = attach_aggregates(long, [*keys, var], {"_held": F.count(value)})
+    return counted.where(F.col("_held") > 0).drop("_held")

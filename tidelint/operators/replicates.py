@@ -11,7 +11,7 @@ from tidelint.functions.flags import BAD, GOOD, MISSING, SUSPECT, flag
 from tidelint.functions.rounding import round_even
 from tidelint.operators.ordering import Prev, attach, attach_aggregates, ordered
 from tidelint.operators.series import time_steps
-from tidelint.operators.stats import group_medians
+from tidelint.operators.stats import attach_medians
 from tidelint.operators.timejoin import nearest
 
 
@@ -56,19 +56,16 @@ def _aligned(clean: DataFrame, deployment: list[str], replicate: str, ts: str, s
              tolerance_s: float | None) -> DataFrame:
     """Every replicate on the first replicate's stamps (nearest sample). With
     no tolerance given it is half of the first replicate's median step."""
-    first = clean.groupBy(*deployment).agg(F.min(replicate).alias("_first"))
-    members = clean.select(*deployment, replicate).distinct()
-    grid = attach(clean, first, deployment).where(F.col(replicate) == F.col("_first")).select(*deployment, ts)
+    # a deployment has a handful of loggers, so their set fits beside each row
+    known = attach_aggregates(clean, deployment, {"_first": F.min(replicate), "_members": F.collect_set(replicate)})
+    grid = known.where(F.col(replicate) == F.col("_first")).select(*deployment, ts, "_members")
     if tolerance_s is None:
-        steps = time_steps(grid, deployment, ts, ts).rows
-        med = group_medians(steps, deployment, {"_m": F.col("_step").cast("double")})
-        grid = attach(grid, med.select(*deployment, F.when(F.col("_m") > 0, F.col("_m") / 2e6).alias("_tol_s")), deployment)
-        tol = F.col("_tol_s")
+        steps = attach_medians(time_steps(grid, deployment, ts, ts).rows, deployment, {"_m": F.col("_step").cast("double")})
+        grid = steps.select(*deployment, ts, "_members", F.when(F.col("_m") > 0, F.col("_m") / 2e6).alias("_tol_s"))
     else:
         grid = grid.withColumn("_tol_s", F.lit(float(tolerance_s)))
-        tol = F.col("_tol_s")
-    targets = grid.join(members, deployment)        # a handful of loggers per deployment
-    return nearest(targets, clean, [*deployment, replicate], {s: s for s in signals}, tol, ts=ts, tie=ts).drop("_tol_s")
+    targets = grid.select(*deployment, ts, "_tol_s", F.explode("_members").alias(replicate))
+    return nearest(targets, clean, [*deployment, replicate], {s: s for s in signals}, F.col("_tol_s"), ts=ts, tie=ts).drop("_tol_s")
 
 
 def combine(df: DataFrame, deployment, replicate: str = "replicate", ts: str = "ts",
@@ -83,8 +80,8 @@ def combine(df: DataFrame, deployment, replicate: str = "replicate", ts: str = "
     deployment = [deployment] if isinstance(deployment, str) else list(deployment)
     signals = [temperature, light, flag_t, flag_lux]
     stamped = stamp_conflicts(df, [*deployment, replicate], signals, ts)
-    refused = stamped.where("conflict").select(*deployment).distinct()
-    clean = stamped.join(refused, deployment, "left_anti").select(*deployment, replicate, ts, *signals)
+    judged = attach_aggregates(stamped, deployment, {"_refused": F.bool_or("conflict")})
+    clean = judged.where(~F.col("_refused")).select(*deployment, replicate, ts, *signals)
     rows = _aligned(clean, deployment, replicate, ts, signals, None)
     ok_t = (F.col(flag_t) <= 2) & F.col(temperature).isNotNull()
     t = F.when(ok_t, F.col(temperature))

@@ -74,7 +74,11 @@ def valid_window(start: Column, end: Column, low: Column, high: Column) -> Colum
 def gap_nodes(df: DataFrame, nexts: Column, ts: str, value: str) -> DataFrame:
     """Add a null point one hour after each sample that is followed by a gap of
     more than an hour. ``nexts`` is the series' next timestamp."""
-    hour = F.expr("INTERVAL 1 HOUR")
-    holes = df.where(nexts > F.col(ts) + hour).withColumns(
-        {ts: F.col(ts) + hour, value: F.lit(None).cast("double")})
-    return df.unionByName(holes)
+    later = F.col(ts) + F.expr("INTERVAL 1 HOUR")
+    here = F.struct(F.col(ts).alias("t"), c(value).alias("v"))
+    hole = F.struct(later.alias("t"), F.lit(None).cast("double").alias("v"))
+    points = F.when(nexts > later, F.array(here, hole)).otherwise(F.array(here))
+    rest = [x for x in df.columns if x not in (ts, value)]
+    out = df.select(*[c(x) for x in rest], F.explode(points).alias("_pt"))
+    return out.select(*[F.col("_pt.t").alias(x) if x == ts else F.col("_pt.v").alias(x) if x == value else c(x)
+                        for x in df.columns])

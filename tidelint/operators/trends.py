@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelint.operators.ordering import Position, RunningSum, attach, attach_aggregates, ordered
+from tidelint.operators.ordering import Position, RunningSum, attach, attach_aggregates, ordered, reusable
 from tidelint.operators.qc_tests import c
 
 
@@ -28,34 +28,51 @@ def _polynomial(x: Column, coefficients: Column, degree: int) -> Column:
     return total
 
 
-def fit(df: DataFrame, keys, x: Column, y: Column, degree: int, out: str = "fit") -> DataFrame:
+def fit(df: DataFrame, keys, x: Column, y: Column, degree: int, out: str = "fit",
+        used: Column | None = None) -> DataFrame:
     """Least-squares polynomial of y over x, per group, floored at 0.
 
-    x is scaled to [-1, 1] per group; each group is reduced to 3 d + 2 sums and
-    only those are solved. Groups with fewer points than coefficients get null.
+    Every row of ``df`` is returned; rows outside ``used`` get null. x is
+    scaled to [-1, 1] per group and a group is reduced to sums. A straight line
+    is solved in closed form; higher degrees solve one small system per group.
+    Groups with fewer points than coefficients get null.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    work = attach_aggregates(df.withColumns({"_x": x.cast("double"), "_y": y.cast("double")}), keys,
-                             {"_lo": F.min("_x"), "_hi": F.max("_x")})
+    kept = [c(n) for n in df.columns]
+    on = F.coalesce(used, F.lit(False)) if used is not None else F.lit(True)
+    work = df.withColumns({"_x": F.when(on, x.cast("double")), "_y": F.when(on, y.cast("double"))})
+    work = attach_aggregates(work, keys, {"_lo": F.min("_x"), "_hi": F.max("_x")})
     span = F.col("_hi") - F.col("_lo")
-    work = work.withColumn("_u", F.when(span > 0, 2 * (F.col("_x") - F.col("_lo")) / span - 1).otherwise(F.lit(0.0)))
+    work = work.withColumn("_u", F.when(F.col("_x").isNotNull(), F.when(
+        span > 0, 2 * (F.col("_x") - F.col("_lo")) / span - 1).otherwise(F.lit(0.0))))
+    u, v = F.col("_u"), F.col("_y")
+    if degree == 1:
+        work = attach_aggregates(work, keys, {"_n": F.count(u), "_su": F.sum(u), "_sv": F.sum(v),
+                                              "_suu": F.sum(u * u), "_suv": F.sum(u * v)})
+        det = F.col("_n") * F.col("_suu") - F.col("_su") * F.col("_su")
+        slope = F.when(det > 0, (F.col("_n") * F.col("_suv") - F.col("_su") * F.col("_sv")) / det)
+        value = F.greatest((F.col("_sv") - slope * F.col("_su")) / F.col("_n") + slope * u, F.lit(0.0))
+        return work.select(*kept, F.when(u.isNotNull() & slope.isNotNull(), value).alias(out))
     power = [F.lit(1.0)]
     for _ in range(2 * degree):
-        power.append(power[-1] * F.col("_u"))
-    sums = work.groupBy(*keys).agg(
+        power.append(power[-1] * u)
+    work = reusable(work)
+    sums = work.where(u.isNotNull()).groupBy(*keys).agg(
         F.array(*[F.sum(p) for p in power]).alias("_s"),
-        F.array(*[F.sum(p * F.col("_y")) for p in power[:degree + 1]]).alias("_m"),
+        F.array(*[F.sum(p * v) for p in power[:degree + 1]]).alias("_m"),
         F.count(F.lit(1)).alias("_n")).where(F.col("_n") > degree)
     coef = sums.select(*keys, F.pandas_udf(_solve, "array<double>")("_s", "_m").alias("_c"))
-    value = F.greatest(_polynomial(F.col("_u"), F.col("_c"), degree), F.lit(0.0))
-    return attach(work, coef, keys).select(*[c(n) for n in df.columns], value.alias(out))
+    value = F.greatest(_polynomial(u, F.col("_c"), degree), F.lit(0.0))
+    return attach(work, coef, keys).select(*kept, F.when(u.isNotNull() & F.col("_c").isNotNull(), value).alias(out))
 
 
-def series_trend(df: DataFrame, keys, by, value: str, degree: int, out: str = "fit") -> DataFrame:
+def series_trend(df: DataFrame, keys, by, value: str, degree: int, out: str = "fit",
+                 only: Column | None = None, keep_all: bool = False) -> DataFrame:
     """Tendency of a series over its sample index.
 
     The series is trimmed to its first and last reading. With at most a quarter
-    missing, gaps take the mean; otherwise they are left out.
+    missing, gaps take the mean; otherwise they are left out. ``only`` limits
+    the series that are fitted; ``keep_all`` returns unfitted rows as well.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     v = c(value)
@@ -66,10 +83,13 @@ def series_trend(df: DataFrame, keys, by, value: str, degree: int, out: str = "f
         "_valid": F.count(v), "_mean": F.avg(v)})
     length = F.col("_last") - F.col("_first") + 1
     sparse = length - F.col("_valid") > 0.25 * length
-    rows = rows.where(F.col("_pos").between(F.col("_first"), F.col("_last")) & (~sparse | known))
+    used = F.col("_pos").between(F.col("_first"), F.col("_last")) & (~sparse | known)
     rows = rows.withColumns({"_idx": F.when(sparse, F.col("_seen") - 1).otherwise(F.col("_pos") - F.col("_first")),
-                             "_val": F.coalesce(v, F.col("_mean"))})
-    fitted = fit(rows, keys, F.col("_idx"), F.col("_val"), degree, out)
+                             "_val": F.coalesce(v, F.col("_mean")), "_used": F.coalesce(used, F.lit(False))})
+    wanted = F.col("_used") if only is None else F.col("_used") & only
+    fitted = fit(rows, keys, F.col("_idx"), F.col("_val"), degree, out, wanted)
+    if not keep_all:
+        fitted = fitted.where("_used")
     return fitted.select(*[c(n) for n in df.columns], out)
 
 

@@ -38,9 +38,7 @@ def with_gap_nodes(df: DataFrame, keys, value: str = "value") -> DataFrame:
 def _fitted(df: DataFrame, keys: list[str], degree: int | None, unfitted: list[str]) -> DataFrame:
     if degree is None:
         return df.withColumn("fit", F.lit(None).cast("double"))
-    wanted = ~F.col("var").isin(list(unfitted))
-    trend = series_trend(df.where(wanted), keys, ["ts", TIE], "value", degree)
-    return attach(df, trend.select(*keys, "ts", TIE, "fit"), [*keys, "ts", TIE])
+    return series_trend(df, keys, ["ts", TIE], "value", degree, only=~F.col("var").isin(list(unfitted)), keep_all=True)
 
 
 def site_parameters(df: DataFrame, variables: list[str], sites: list[str], year: int, start=None, end=None,
@@ -84,9 +82,7 @@ def profile_parameters(df: DataFrame, variables: list[str], depth: str, sites: l
     keys = ["site", "semester", "var"]
     long = valid_interval(drop_null_repeats(long, keys, "ts", "value"), keys, ["ts", TIE], "value")
     both = F.col("value").isNotNull() & F.col("_z").isNotNull()
-    fitted = fit(long.where(both), keys, F.col("_z"), F.col("value"), degree)
-    rest = long.where(~both).withColumn("fit", F.lit(None).cast("double"))
-    return fitted.unionByName(rest).withColumnRenamed("_z", "depth")
+    return fit(long, keys, F.col("_z"), F.col("value"), degree, used=both).withColumnRenamed("_z", "depth")
 
 
 def light_at_site(df: DataFrame, sites: list[str], years: list[int] | None = None, start=None, end=None,

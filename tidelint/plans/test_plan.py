@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.flags import (BAD, DISMISSED, MISSING, SUSPECT, UNKNOWN, flag, range_flag,
-                                      worst_of)
+                                      worst_of_columns)
 from tidelint.functions.timespec import window_samples
 from tidelint.operators.ordering import Next, Position, Prev, ordered
 from tidelint.operators.qc_tests import (c, density_inversion, flat_line, rate_flag, spike_flag,
@@ -212,9 +212,9 @@ def rollup(df: DataFrame, plan: list[Test], extra: tuple[str, ...] = ()) -> Data
             per.setdefault(bucket, []).append(column_of(t))
     out = {"Flag": F.concat(*[F.col(n).cast("string") for n in names])}
     for bucket, cols in per.items():
-        out[f"Flag_{bucket}"] = worst_of([F.col(n) for n in cols])
+        out[f"Flag_{bucket}"] = worst_of_columns(cols)
     df = df.withColumns(out)
-    return df.withColumns({"Flag_dens": worst_of([F.col("Flag_T"), F.col("Flag_S")]),
+    return df.withColumns({"Flag_dens": worst_of_columns(["Flag_T", "Flag_S"]),
                            "Flag_depth": F.col("Flag_P")})
 
 

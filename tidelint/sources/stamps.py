@@ -23,8 +23,28 @@ def normal_clock(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), _WORDY_CLOCK, r"$1:$2:$3")
 
 
+_FIXED = r"^\d{2}/\d{2}/(\d{4}|\d{2}) \d{2}:\d{2}:\d{2}$"
+
+
 def stamp(text: Column, day_first: Column) -> Column:
-    """Timestamp of one cell given the file's field order; null if impossible."""
+    """Timestamp of one cell given the file's field order; null if impossible.
+
+    The usual fixed-width form is cut by position; every other one is matched.
+    """
+    wide = F.length(text) == 19
+
+    def cut(at: int, size: int = 2, extra: int = 0) -> Column:
+        start = F.when(wide, F.lit(at + extra)).otherwise(F.lit(at)) if extra else F.lit(at)
+        return F.substring(text, start, F.lit(size)).cast("int")
+
+    year = F.when(wide, cut(7, 4)).otherwise(F.when(cut(7) < 69, cut(7) + 2000).otherwise(cut(7) + 1900))
+    quick = F.try_make_timestamp_ntz(
+        year, F.when(day_first, cut(4)).otherwise(cut(1)), F.when(day_first, cut(1)).otherwise(cut(4)),
+        cut(10, extra=2), cut(13, extra=2), cut(16, extra=2).cast("double"))
+    return F.when(F.rlike(text, F.lit(_FIXED)), quick).otherwise(_matched_stamp(text, day_first))
+
+
+def _matched_stamp(text: Column, day_first: Column) -> Column:
     t = normal_clock(text)
     first, second = _int(t, _DATE, 1), _int(t, _DATE, 2)
     year = _int(t, _DATE, 3)
