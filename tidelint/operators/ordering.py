@@ -135,13 +135,13 @@ class Ordered:
 
     def scan(self, **scans: Scan) -> Ordered:
         """Add one column per scan; all scans of a call share the sorts."""
-        local = self.df.select("*", *[self._local(s).alias(n) for n, s in scans.items()])
+        up, down = self._window(), self._window(True)
+        local = self.df.select("*", *[self._local(s, up, down).alias(n) for n, s in scans.items()])
         if not self.split:
             return Ordered(local, self.keys, self.by, False)
-        firsts = self._window()
-        local = local.withColumn("_first", F.row_number().over(firsts) == 1)
+        local = local.withColumn("_first", F.row_number().over(up) == 1)
         if any(isinstance(s, Next) for s in scans.values()):
-            local = local.withColumn("_last", F.row_number().over(self._window(True)) == 1)
+            local = local.withColumn("_last", F.row_number().over(down) == 1)
         carried = self._carry(scans)
         join = [F.col(f"a.{k}") == F.col(f"b._k_{k}") for k in self.keys]
         join.append(F.col(f"a.{PIECE}") == F.col("b._k_piece"))
@@ -150,8 +150,7 @@ class Ordered:
         done = both.select(*kept, *[self._merge(s, n).alias(n) for n, s in scans.items()])
         return Ordered(cut_lineage(done), self.keys, self.by, True)
 
-    def _local(self, s: Scan) -> Column:
-        up, down = self._window(), self._window(True)
+    def _local(self, s: Scan, up, down) -> Column:
         if isinstance(s, Prev):
             return F.lag(_col(s.value)).over(up)
         if isinstance(s, Next):

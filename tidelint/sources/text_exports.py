@@ -40,22 +40,30 @@ ENDED_HEADER = r"acoplador ligado|coupler attached|anfitri|host|parado|stopped|f
 LUX_PER_LUMEN_FT2 = 10.7639
 
 
+def _windows_extras() -> tuple[str, str]:
+    """Where Windows-1252 differs from Latin-1: the bytes 80 to 9F."""
+    codes = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    return "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+
+
+_WINDOWS_EXTRAS = _windows_extras()
+
+
 def read_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Numbered lines of every matching file below ``path``.
 
-    Bytes are read losslessly and decoded per line: UTF-8 where valid, else
-    Windows-1252.
+    The text source keeps a line's bytes as they are, so each line is decoded
+    on its own: UTF-8 where valid, else Windows-1252.
     """
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .option("encoding", "ISO-8859-1").text(path)
+           .text(path)
            .select(F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("_block"), F.encode("value", "ISO-8859-1").alias("_b"))
+                   F.col("_metadata.file_block_start").alias("_block"), "value")
            .withColumn("_row", F.monotonically_increasing_id()))
     # a split's rows keep their order, and splits are ordered by their offset
     s = ordered(raw, "file", ["_block", "_row"]).scan(line_no=Position())
-    as_utf8 = F.decode("_b", "UTF-8")
-    valid = F.encode(as_utf8, "UTF-8") == F.col("_b")
-    text = F.when(valid, as_utf8).otherwise(F.decode("_b", "windows-1252"))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.translate(latin, *_WINDOWS_EXTRAS))
     return s.rows.select("file", "line_no", F.regexp_replace(text, "^﻿", "").alias("line"))
 
 
