@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelint.functions.flags import (BAD, DISMISSED, GOOD, MISSING, SUSPECT, UNKNOWN, flag)
 from tidelint.functions.timespec import micros
 from tidelint.operators.ordering import (Last, Next, Position, Prev, RunningSum, attach,
-                                         attach_aggregates, fits_whole, ordered)
+                                         attach_aggregates, fits_whole, ordered, reusable)
 from tidelint.operators.qc_tests import CurrentLimits, c
 
 # Order of the digits in a current flag string.
@@ -167,14 +167,12 @@ def transit_windows(df: DataFrame, keys, by, depth: str, ts: str = "ts", rate: f
         w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(0, span)
         rows = rows.withColumn("_far", F.max(F.struct("_pos", "_me")).over(w))
     else:
-        # two-minute look-ahead inside time buckets: a row is also sent to the
-        # bucket before its own when that bucket can see it
-        width = 3600 * 1000000
-        own = F.floor(F.col("_t") / width)
-        seen = rows.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_t") - span) / width), own)))
-        w = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(0, span)
-        rows = (seen.withColumn("_far", F.max(F.struct("_pos", "_me")).over(w))
-                .where(F.col("_b") == own).drop("_b"))
+        # the last sample before a probe two minutes ahead of each sample
+        rows = reusable(rows)
+        seen = rows.select(*keys, F.col("_t").alias("_at"), F.lit(0).alias("_kind"), "_pos", F.struct("_pos", "_me").alias("_cand"))
+        probe = rows.select(*keys, (F.col("_t") + span).alias("_at"), F.lit(1).alias("_kind"), "_pos")
+        u = ordered(probe.unionByName(seen, allowMissingColumns=True), keys, ("_at", "_kind", "_pos")).scan(_far=Last("_cand"))
+        rows = attach(rows, u.rows.where("_kind = 1").select(*keys, "_pos", "_far"), [*keys, "_pos"])
     ahead = F.when(F.col("_far._pos") > F.col("_pos"), F.col("_far")).otherwise(
         F.struct((F.col("_pos") + 1).alias("_pos"), F.col("_nx").alias("_me")))
     rows = rows.withColumn("_pt", ahead)

@@ -41,10 +41,19 @@ def input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     total = 0
     for i in range(leaves.size()):
-        total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        leaf = leaves.apply(i)
+        stored = _STORED.get(leaf.rdd().id()) if leaf.nodeName().startswith("LogicalRDD") else None
+        total += stored if stored is not None else int(str(leaf.stats().sizeInBytes()))
     return total
 
 
+# sizes of stored frames, by the id of their rows: the statistics a checkpoint
+# keeps come from join estimates, which multiply
+_STORED: dict[int, int] = {}
+_UNKNOWN = 2 ** 60
+_MOST_PIECES = 1_000_000
+
+
 def fits_whole(df: DataFrame) -> bool:
     """True when no group of ``df`` can exceed one task's share."""
     conf = df.sparkSession.conf
@@ -57,7 +66,11 @@ def fits_whole(df: DataFrame) -> bool:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the session names."""
     ready_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    size = input_bytes(df)
+    stored = df.checkpoint()
+    leaves = stored._jdf.queryExecution().analyzed().collectLeaves()
+    _STORED[leaves.apply(0).rdd().id()] = size
+    return stored
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
@@ -134,7 +147,13 @@ class Ordered:
         return Ordered(self.df.withColumns(columns), self.keys, self.by, self.split)
 
     def scan(self, **scans: Scan) -> Ordered:
-        """Add one column per scan; all scans of a call share the sorts."""
+        """Add one column per scan; all scans of a call share the sorts.
+
+        A split scan reads its input twice (rows and summaries), so an input
+        that is not stored yet - an earlier scan - is stored first.
+        """
+        if self.split:
+            self = Ordered(reusable(self.df), self.keys, self.by, True)
         up, down = self._window(), self._window(True)
         local = self.df.select("*", *[self._local(s, up, down).alias(n) for n, s in scans.items()])
         if not self.split:
@@ -148,7 +167,7 @@ class Ordered:
         both = local.alias("a").join(carried.alias("b"), join, "left")
         kept = [F.col(f"a.`{c}`") for c in self.df.columns]
         done = both.select(*kept, *[self._merge(s, n).alias(n) for n, s in scans.items()])
-        return Ordered(cut_lineage(done), self.keys, self.by, True)
+        return Ordered(done, self.keys, self.by, True)
 
     def _local(self, s: Scan, up, down) -> Column:
         if isinstance(s, Prev):
@@ -236,7 +255,7 @@ def ordered(df: DataFrame, keys, by) -> Ordered:
     shuffle = int(conf.get("spark.sql.shuffle.partitions"))
     target = int(conf.get(SPLIT_BYTES_CONF, str(SPLIT_BYTES)))
     # sizes past an exabyte mean "unknown" in Catalyst
-    pieces = shuffle if size > 2 ** 60 else max(shuffle, math.ceil(size / target))
+    pieces = shuffle if size > _UNKNOWN else min(max(shuffle, math.ceil(size / target)), _MOST_PIECES)
     cut = (df.repartitionByRange(pieces, *keys, *by)
            .withColumn(PIECE, F.spark_partition_id().cast("long")))
     # the stored piece number must not change if a task is run again

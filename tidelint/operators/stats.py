@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelint.operators.ordering import attach, fits_whole, reusable
+from tidelint.operators.ordering import RunningSum, attach, fits_whole, ordered, reusable
 
 _ACCURACY = 10000          # percentile_approx: rank error at most n / accuracy
 _MARGIN = 0.001            # bracket half-width, ten times that error
@@ -59,10 +59,11 @@ def _bracketed(df: DataFrame, keys: list[str], q: float, name: str) -> DataFrame
     below = marked.groupBy(*keys).agg(F.sum((F.col("_v") < low).cast("long")).alias("_below"))
     near = (marked.where((F.col("_v") >= low) & (F.col("_v") <= high))
             .groupBy(*keys, "_v").count())
-    w = Window.partitionBy(*keys).orderBy("_v")
-    ranked = (near.join(below, keys).join(sketch.select(*keys, "_n"), keys)
-              .withColumn("_to", F.col("_below") + F.sum("count").over(
-                  w.rowsBetween(Window.unboundedPreceding, 0)))
+    # the bracket of a very large group may itself be large: its ranks are a
+    # running sum, which is split like any other scan
+    ranked = ordered(near, keys, "_v").scan(_upto=RunningSum("count")).rows
+    ranked = (ranked.join(below, keys).join(sketch.select(*keys, "_n"), keys)
+              .withColumn("_to", F.col("_below") + F.col("_upto"))
               .withColumn("_from", F.col("_to") - F.col("count")))
     at = F.lit(q) * (F.col("_n") - 1)
     floor, ceil = F.floor(at), F.ceil(at)

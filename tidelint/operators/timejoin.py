@@ -123,29 +123,50 @@ def merge_sensor_groups(groups: DataFrame, keys, group: str, members: list[int],
     return out
 
 
+_BASE, _LEVELS = 16, 13        # 16^13 microseconds reach past the year 2100
+
+
+def _blocks(lo: Column, hi: Column) -> Column:
+    """The few aligned time blocks that make up [lo, hi], largest first.
+
+    Blocks of a level are 16 times those of the level below; a block is taken
+    when it lies inside and its parent does not.
+    """
+    def part(level: int, a: Column, b: Column) -> Column:
+        run = F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(run, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))
+
+    out = []
+    for level in range(_LEVELS):
+        size, parent = _BASE ** level, _BASE ** (level + 1)
+        a, b = F.ceil(lo / F.lit(size)), F.floor((hi + 1) / F.lit(size)) - 1
+        if level == _LEVELS - 1:
+            out.append(part(level, a, b))
+            continue
+        pa, pb = F.ceil(lo / F.lit(parent)), F.floor((hi + 1) / F.lit(parent)) - 1
+        whole = pa <= pb
+        out.append(part(level, a, F.when(whole, F.least(b, pa * _BASE - 1)).otherwise(b)))
+        out.append(part(level, F.when(whole, F.greatest(a, (pb + 1) * _BASE)).otherwise(b + 1), b))
+    return F.concat(*out)
+
+
 def covering_interval(points: DataFrame, intervals: DataFrame, keys, at: str, start: str, end: str,
                       label: str, slack_s: int = 3600) -> DataFrame:
     """Label of the shortest interval, widened by the slack, that holds each
     point; null when none does.
 
-    Both sides are cut into buckets of a day. Inside a bucket an interval that
-    spans it entirely competes only by length, so one survives per bucket;
-    intervals that start or end inside are compared with the bucket's points.
+    Intervals are cut into aligned blocks and each block keeps only its
+    shortest interval; a point looks up the one block per level it lies in.
+    The work grows with points plus intervals, never with their pairs.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    day = 86400 * 1000000
-    t = micros(F.col(at))
-    pts = points.withColumns({"_t": t, "_b": F.floor(t / day)})
     lo, hi = micros(F.col(start)) - slack_s * 1000000, micros(F.col(end)) + slack_s * 1000000
     length = micros(F.col(end)) - micros(F.col(start))
-    spans = (intervals.where(F.col(start).isNotNull())
-             .select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.struct(length.alias("len"), c(label).alias("lab")).alias("_i"))
-             .withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / day), F.floor(F.col("_hi") / day)))))
-    full = (F.col("_lo") <= F.col("_b") * day) & (F.col("_hi") >= (F.col("_b") + 1) * day)
-    whole = spans.where(full).groupBy(*keys, "_b").agg(F.min("_i").alias("_w"))
-    part = spans.where(~full)
-    near = (pts.select(*keys, "_t", "_b").distinct().join(part, [*keys, "_b"])
-            .where(F.col("_t").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*keys, "_t").agg(F.min("_i").alias("_p")))
-    out = attach(attach(pts, whole, [*keys, "_b"]), near, [*keys, "_t"])
-    return out.select(*[c(x) for x in points.columns], F.least("_w", "_p")["lab"].alias(label))
+    cut = intervals.where(F.col(start).isNotNull()).select(
+        *keys, F.struct(length.alias("len"), c(label).alias("lab")).alias("_i"), F.explode(_blocks(lo, hi)).alias("_k"))
+    best = cut.groupBy(*keys, "_k").agg(F.min("_i").alias("_i"))
+    pts = points.withColumn("_t", micros(F.col(at)))
+    own = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("_t") / F.lit(_BASE ** n)).alias("block")) for n in range(_LEVELS)])
+    asked = pts.select(*keys, "_t").distinct().withColumn("_k", F.explode(own))
+    found = asked.join(best, [*keys, "_k"]).groupBy(*keys, "_t").agg(F.min("_i").alias("_i"))
+    return attach(pts, found, [*keys, "_t"]).select(*[c(x) for x in points.columns], F.col("_i.lab").alias(label))
