@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
 from tidelint.operators.light import clock_phase, hours_from, temperature_peak_hour
-from tidelint.operators.ordering import Prev, RunningMax, attach, attach_aggregates, ordered
+from tidelint.operators.ordering import Prev, RunningMax, attach, attach_aggregates, cut_lineage, ordered
 from tidelint.operators.qc_tests import c
 
 # Gates of the repairs.
@@ -83,7 +83,7 @@ def repair_collapsed(df: DataFrame, keys, row: str, ts: str = "ts", light: str =
     morning rows are missing reads as morning and fails that gate.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    both = unfold_clock(df, keys, row, ts)
+    both = cut_lineage(unfold_clock(df, keys, row, ts))      # judged three ways, then rewritten
     # both readings are judged in one pass, as two series
     halves = F.array(*[F.struct(F.lit(h).alias("half"), F.col(h).alias("t")) for h in ("am", "pm")])
     long = both.withColumn("_h", F.explode(halves))

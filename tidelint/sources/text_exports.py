@@ -68,7 +68,9 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame
 
 
 def _number(text: Column) -> Column:
-    return F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double")
+    # an empty cell must not reach the parser: it fails by exception
+    clean = F.trim(text)
+    return F.when(clean != "", F.replace(clean, F.lit(","), F.lit("."))).try_cast("double")
 
 
 def _header_of(lines: DataFrame, is_header: Column) -> DataFrame:
@@ -124,17 +126,19 @@ def parse_scalar(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = headers.where(F.col("_m.refused").isNull())
     rows = lines.join(good, "file").where(F.col("line_no") > F.col("_no"))
     rows = rows.withColumn("_c", F.split("line", ";"))
-    out = []
-    for i, (name, _p) in enumerate(SCALAR_HEADERS):
-        cell = F.when(F.col("_m.at")[i] >= 0, F.get("_c", F.col("_m.at")[i]))
-        if name == "Datetime":
-            value = stamp(cell, F.lit(True))
-        else:
-            value = _number(cell)
-            if name == "Pressure (dbar)":
-                value = to_dbar(value, F.coalesce(F.col("_m.pressure"), F.lit("dbar")))
-            elif name == "Conductivity (mS/cm)":
-                value = to_ms_cm(value, F.coalesce(F.col("_m.conductivity"), F.lit("mS/cm")))
+    # one parsing expression for all columns keeps the generated code small
+    # enough to be compiled
+    numbers = F.transform("_m.at", lambda i: F.when(i >= 0, _number(F.get("_c", i))))
+    at_time = F.col("_m.at")[0]
+    rows = rows.select("file", "line_no", "_m.pressure", "_m.conductivity", numbers.alias("_v"),
+                       stamp(F.when(at_time >= 0, F.get("_c", at_time)), F.lit(True)).alias("Datetime"))
+    out = [F.col("Datetime")]
+    for i, (name, _p) in enumerate(SCALAR_HEADERS[1:], start=1):
+        value = F.col("_v")[i]
+        if name == "Pressure (dbar)":
+            value = to_dbar(value, F.coalesce("pressure", F.lit("dbar")))
+        elif name == "Conductivity (mS/cm)":
+            value = to_ms_cm(value, F.coalesce("conductivity", F.lit("mS/cm")))
         out.append(value.alias(name))
     return rows.select("file", "line_no", *out).where(F.col("Datetime").isNotNull()), refused
 
