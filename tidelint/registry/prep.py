@@ -12,8 +12,7 @@ from tidelint.operators.reports import unpivot
 from tidelint.plans import layouts
 from tidelint.plans.criteria import Criteria
 from tidelint.plans.test_plan import Test, run_plan
-from tidelint.registry.base import (CELLS, EV, LIGHT, WATER, cells, light_series, scalar_series, table,
-                                    water_series)
+from tidelint.registry.base import CELLS, EV, WATER, cells, scalar_series, table, water_series
 from tidelint.sources import stamps
 
 KEYS = ["series_id"]
