@@ -6,20 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelint.llm import order_minhash, repeat_blocks
+from tidelint.llm import order_minhash, piece_codec, repeat_blocks, residual_packing
 from tidelint.llm.frames import table
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoded(table(spark, sf_dir, "documents"), keep=False)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeat_blocks.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op6_near_duplicates, op9_repeated_passages)}
+    op3_piece_codec, op6_near_duplicates, op7_residual_packing, op9_repeated_passages)}
 
 SQL: dict[str, str] = {}
