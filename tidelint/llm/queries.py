@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelint.llm import order_minhash, piece_codec, repeat_blocks, residual_packing
+from tidelint.llm import divergence_rules, license_dice, line_spread, order_minhash, piece_codec, repeat_blocks, residual_packing
 from tidelint.llm.frames import table
 
 
@@ -14,6 +14,14 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(table(spark, sf_dir, "documents"), keep=False)
 
 
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.spread_report(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_dice.scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,13 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_blocks.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.judged(table(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_piece_codec, op6_near_duplicates, op7_residual_packing, op9_repeated_passages)}
+    op3_piece_codec, op4_line_spread, op5_license_scan, op6_near_duplicates, op7_residual_packing, op9_repeated_passages,
+    op10_divergence_rules)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_spread": line_spread.SQL, "op5_license_scan": license_dice.SQL, "op10_divergence_rules": divergence_rules.SQL}
