@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelint.llm import divergence_rules, license_dice, line_spread, order_minhash, piece_codec, repeat_blocks, residual_packing
+from tidelint.llm import divergence_rules, license_dice, line_spread, order_minhash, piece_codec, repeat_blocks, residual_packing, topk_index
 from tidelint.llm.frames import table
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_index.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(table(spark, sf_dir, "documents"), keep=False)
 
@@ -40,8 +45,9 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_piece_codec, op4_line_spread, op5_license_scan, op6_near_duplicates, op7_residual_packing, op9_repeated_passages,
+    op1_top_k, op3_piece_codec, op4_line_spread, op5_license_scan, op6_near_duplicates, op7_residual_packing, op9_repeated_passages,
     op10_divergence_rules)}
 
 SQL: dict[str, str] = {
+    "op1_top_k": topk_index.SQL,
     "op4_line_spread": line_spread.SQL, "op5_license_scan": license_dice.SQL, "op10_divergence_rules": divergence_rules.SQL}
