@@ -74,27 +74,30 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (a, b): root is the least node that can be reached.
 
-    Each round takes the least label among the neighbours and then the label of
-    that label, so long chains shrink geometrically. Rounds are cut by a
-    reliable store; only the number of changed labels comes to the driver.
+    Each round points every node at its least neighbour, doubles the pointers
+    until all end at a node that points nowhere, and contracts the edges to those
+    between such nodes. A round at least halves the nodes that still have edges.
+    Steps are cut by a reliable store; only whether any are left comes to the
+    driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                  .where("a <> b").distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-                    .select("node", F.least("node", "near").alias("root")))
+    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     for _ in range(most_rounds):
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
-        # A node's old root learns of the lower label too, so whole trees are hooked at once.
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        hooks = (lower.select(F.col("root").alias("node"), "low")
-                 .union(lower.select("node", "low")).groupBy("node").agg(F.min("low").alias("low")))
-        hooked = hooks.select("node", F.col("low").alias("root"))
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = stored(hooked.join(above, "root", "left")
-                       .select("node", F.least("root", F.coalesce("top", "root")).alias("root")))
-        changed = after.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+        if left.isEmpty():
+            return labels if labels is not None else left.toDF("node", "root")
+        steps = stored(left.select(F.col("b").alias("node"), F.col("a").alias("low")).union(left.select("a", "a"))
+                       .groupBy("node").agg(F.min("low").alias("low")))
+        while True:
+            above = steps.where("node <> low").select(F.col("node").alias("low"), F.col("low").alias("lower"))
+            steps = stored(steps.join(above, "low", "left").select("node", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")))
+            moved = not steps.where("moved").isEmpty()
+            steps = steps.drop("moved")
+            if not moved:
+                break
+        if labels is None:
+            labels = steps.toDF("node", "root")
+        else:
+            labels = stored(labels.join(steps.toDF("root", "low"), "root", "left").select("node", F.coalesce("low", "root").alias("root")))
+        left = stored(left.join(steps.toDF("a", "low_a"), "a").join(steps.toDF("b", "low_b"), "b")
+                      .where("low_a <> low_b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct())
+    raise RuntimeError(f"edges are left after {most_rounds} rounds")

@@ -11,8 +11,8 @@ connected components of the links and of equal texts.
 
 No group is held whole: equal texts meet in a partial aggregate; a sketch shared
 by up to eight texts gives their pairs, a larger one pairs inside random
-sub-groups of about six and the pairs with its least and its greatest text, in
-each of the 16 sketches anew. One text is compared with at most about 64 others
+sub-groups of about four and the pairs with its least text, in each of the 16
+sketches anew. One text is compared with at most about 64 others
 in a task.
 
 Null counts as an empty text; texts without words are duplicates of the equal
@@ -38,7 +38,7 @@ WORDS = 5
 SKETCHES = 16
 SIMILARITY = 0.8
 _WHOLE = 8          # texts of a sketch that are paired without sub-groups
-_SUBGROUP = 6       # mean size of a sub-group of a larger one
+_SUBGROUP = 4       # mean size of a sub-group of a larger one
 _PARTNERS = 64      # texts compared with one text in a task
 _SEEDS = np.random.Generator(np.random.PCG64(7_081_971)).integers(1, 2**63, (2, SKETCHES), dtype=np.uint64)
 
@@ -109,7 +109,7 @@ def linked(docs: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame) -> DataFrame:
     """(a, b): digests of texts that share a sketch and are close enough in length, each pair once."""
     rows = (docs.select(F.col("text")).mapInArrow(_sketched, "sketch bigint, node binary, n int").distinct())
-    shared = (rows.groupBy("sketch").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
+    shared = (rows.groupBy("sketch").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("low"))
               .where("texts > 1"))
     members = rows.join(shared, "sketch")
     part = F.when(F.col("texts") <= _WHOLE, F.lit(0)).otherwise(
@@ -118,9 +118,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             .select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(
                 F.slice("g", i + 2, F.greatest(F.size("g") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
             .select("p.x", "p.y"))
-    hubs = (members.where(F.col("texts") > _WHOLE)
-            .select(F.explode(F.array(F.struct(F.col("low").alias("x"), F.struct("node", "n").alias("y")),
-                                      F.struct(F.struct("node", "n").alias("x"), F.col("high").alias("y")))).alias("p")).select("p.x", "p.y"))
+    hubs = members.where(F.col("texts") > _WHOLE).select(F.col("low").alias("x"), F.struct("node", "n").alias("y"))
     pairs = near.union(hubs).where(F.col("x.node") != F.col("y.node"))
     close = F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n")
     return pairs.where(close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
