@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that nothing above it runs again.
+    """`df` written to the shared checkpoint folder, so that nothing above it runs again."""
+    _ensure_folder(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session that names none gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
+
+def _ensure_folder(spark: SparkSession) -> None:
+    """The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session that names none gets its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -29,7 +32,6 @@ def stored(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tidelint-llm-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -101,3 +103,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         left = stored(left.join(steps.toDF("a", "low_a"), "a").join(steps.toDF("b", "low_b"), "b")
                       .where("low_a <> low_b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct())
     raise RuntimeError(f"edges are left after {most_rounds} rounds")
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to a fresh folder beside the stores, and read again."""
+    spark = df.sparkSession
+    _ensure_folder(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/rewritten-{uuid.uuid4()}"
+    df.write.parquet(out)
+    return spark.read.parquet(out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelint.llm import divergence_rules, license_dice, line_spread, order_minhash, piece_codec, repeat_blocks, residual_packing, topk_index
+from tidelint.llm import divergence_rules, license_dice, line_spread, order_minhash, page_content, piece_codec, quality_bayes, repeat_blocks, residual_packing, topk_index
 from tidelint.llm.frames import table
 
 
@@ -15,6 +15,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_index.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(table(spark, sf_dir, "documents"), keep=False)
 
@@ -35,6 +39,10 @@ def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_content.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeat_blocks.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -45,8 +53,8 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_top_k, op3_piece_codec, op4_line_spread, op5_license_scan, op6_near_duplicates, op7_residual_packing, op9_repeated_passages,
-    op10_divergence_rules)}
+    op1_top_k, op2_quality_bayes, op3_piece_codec, op4_line_spread, op5_license_scan, op6_near_duplicates, op7_residual_packing, op8_page_content,
+    op9_repeated_passages, op10_divergence_rules)}
 
 SQL: dict[str, str] = {
     "op1_top_k": topk_index.SQL,
