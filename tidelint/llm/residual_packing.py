@@ -15,7 +15,9 @@ rows are separate documents.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from tidelint.llm import frames
 CAPACITY = 2048
 _FAN = 8
 _PASSED = 8_000
-_REMEMBERED, _LONGEST = 500_000, 48
+_REMEMBERED, _LONGEST = 1_000_000, 48
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -46,35 +48,43 @@ class WordEncoder:
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, an id 0 at its end."""
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        stems = [_stem(w) for w in new]
-        unseen = list({s for stem in stems for s in stem}.difference(self.known))
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in unseen], add_special_tokens=False)
-        ids = {w: np.asarray(c.ids, "<u4").tobytes() for w, c in zip(unseen, coded, strict=True)}
         known = self.known
-        for w, stem in zip(new, stems, strict=True):
-            if w not in ids:
-                ids[w] = b"".join([known[s] if s in known else ids[s] for s in stem])
-        known.update(ids)
+        new = list(set().union(*split).difference(known))
+        stems = list(map(_stem, new))
+        unseen = list(set().union(*stems).difference(known))
+        coded = self.tokenizer.encode_batch_fast([s.decode() for s in unseen], add_special_tokens=False)
+        known.update(zip(unseen, [_bytes(c.ids) for c in coded], strict=True))
+        known.update([(w, known[stem[0]] if len(stem) == 1 else known[stem[0]] + known[stem[1]]) for w, stem in zip(new, stems, strict=True)])
         end = bytes(4)
         out = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        own = list(ids)
-        excess = max(0, len(known) - _REMEMBERED)
-        for w in [*own[len(own) - excess:], *(w for w in own[:len(own) - excess] if len(w) > _LONGEST)]:
-            del known[w]
+        for own in (new, unseen):
+            excess = min(len(own), max(0, len(known) - _REMEMBERED))
+            for w in own[:excess] + [w for w in own[excess:] if len(w) > _LONGEST]:
+                known.pop(w, None)
         return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
+
+
+_SIGNS = b".,;:!?%&*#$|-/\\\"()[]{}<>=+_@^~"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+
+
 def _stem(word: bytes) -> tuple[bytes, ...]:
-    """Parts of a word that the tokenizer keeps apart: letters or digits, in lower case, and the signs after them.
+    """Parts of a word that the tokenizer keeps apart: what ends in a letter, in lower case, and the signs after it.
 
     A word with `<|` may hold a special token and is left whole.
     """
     if b"<|" in word:
         return (word,)
     lower = word.lower()
-    stem = lower.rstrip(b".,;:!?%&*#$|-/\"()[]{}<>=+_@^~")
-    if len(stem) == len(lower) or not stem or not stem.decode()[-1].isalpha():
+    stem = lower.rstrip(_SIGNS)
+    if len(stem) == len(lower) or not stem or stem[-1] not in _LETTERS and not (stem[-1] > 127 and stem.decode()[-1].isalpha()):
         return (lower,)
     return stem, lower[len(stem):]
 
