@@ -60,15 +60,22 @@ def test_quantiles_are_exact_for_large_groups(spark, layout):
     np.testing.assert_allclose(got.loc[want.index, "hi"], want[0.995])
 
 
-def reference_sigma(pop, win):
-    n = len(pop)
-    if win >= n or win < 11:
-        mad = (pop - pop.median()).abs().median()
-        s = 1.4826 * mad
-        return pd.Series(s if np.isfinite(s) and s > 0 else pop.std(ddof=0), index=pop.index)
-    roll = dict(window=win, center=True, min_periods=3)
-    sigma = 1.4826 * (pop - pop.rolling(**roll).median()).abs().rolling(**roll).median()
-    return sigma.where(sigma > 0, pop.rolling(**roll).std()).bfill().ffill()
+def defined_sigma(pop, win):
+    """The spread row by row, from slices."""
+    v, n = pop.to_numpy(float), len(pop)
+
+    def rows(x, f):
+        first = np.arange(n) - win + 1 + (win - 1) // 2
+        cuts = [x[max(a, 0):a + win] for a in first]
+        return np.array([f(c) if np.isfinite(c).sum() >= 3 else np.nan for c in cuts])
+
+    if not 11 <= win < n:
+        whole = 1.4826 * np.nanmedian(np.abs(v - np.nanmedian(v))) if np.isfinite(v).any() else np.nan
+        return pd.Series(whole if whole > 0 else np.nanstd(v), index=pop.index)
+    mad = 1.4826 * rows(np.abs(v - rows(v, np.nanmedian)), np.nanmedian)
+    own = np.where(mad > 0, mad, rows(v, lambda c: np.nanstd(c, ddof=1)))
+    later = [next((x for x in [*own[i:], *own[:i][::-1]] if np.isfinite(x)), np.nan) for i in range(n)]
+    return pd.Series(later, index=pop.index)
 
 
 @pytest.mark.parametrize("piece_rows", [50_000, 40])
@@ -83,6 +90,6 @@ def test_rolling_sigma(spark, layout, data, monkeypatch, piece_rows):
                          "w": F.element_at(F.create_map(*[F.lit(x) for kv in win.items() for x in kv]), F.col("k")).cast("long")})
     got = sg.rolling_sigma(df, "k", "pos", "n", {"s": (F.col("v"), "w")}).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
     want = gap.sort_values(["k", "t"]).reset_index(drop=True)
-    want["s"] = pd.concat([reference_sigma(g["v"], win[k]) for k, g in want.groupby("k")])
+    want["s"] = pd.concat([defined_sigma(g["v"], win[k]) for k, g in want.groupby("k")])
     assert len(got) == len(want)
     np.testing.assert_allclose(got["s"].astype(float), want["s"].astype(float))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,48 +113,62 @@ def cast_numbers(df: DataFrame, keys, by, start: str, gap_s: int = 900) -> DataF
     return s.rows.drop("_t", "_before", "_open")
 
 
-def _same_deployment(s, e, gs, ge) -> bool:
-    day = pd.Timedelta(days=1)
-    ds, de = abs(s - gs), abs(e - ge)
-    if ds <= day and de <= day:
-        return True
-    if ds <= 3 * day and de <= 3 * day:
-        a, b = (e - s).total_seconds(), (ge - gs).total_seconds()
-        return min(a, b) > 0 and abs(a - b) / max(a, b) <= 0.05
-    return False
+_DAY_US = 86_400_000_000                # stamps and spans are microseconds
+_REACH = 3 * _DAY_US
+
+
+def _one_deployment(start: int, end: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the spans are the same deployment as (start, end).
+
+    Both ends within a day, or within three days when the lengths differ by at
+    most a twentieth of the longer.
+    """
+    apart = np.maximum(np.abs(starts - start), np.abs(ends - end))
+    lengths = np.stack([np.full(len(starts), end - start), ends - starts])
+    alike = (lengths.min(0) > 0) & (np.abs(lengths[0] - lengths[1]) <= 0.05 * lengths.max(0))
+    return (apart <= _DAY_US) | (alike & (apart <= _REACH))
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deployments of files that come in order of chain and start; holds the groups of the last three days only."""
+    chain, names = None, []
+    starts = ends = np.zeros(0, np.int64)
+    for batch in batches:
+        out = []
+        for key, name, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if key != chain:
+                chain, names, starts, ends = key, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+            past = int(np.searchsorted(starts, start - _REACH))         # too old to take this file or a later one
+            names, starts, ends = names[past:], starts[past:], ends[past:]
+            fits = np.flatnonzero(_one_deployment(start, end, starts, ends))
+            if len(fits):
+                ends[fits[0]] = max(ends[fits[0]], end)
+                out.append(names[fits[0]])
+            else:
+                names, starts, ends = [*names, name], np.append(starts, start), np.append(ends, end)
+                out.append(name)
+        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(1), pa.array(out, pa.string())], ["site", "name", "deployment"])
 
 
 def group_replicates(spans: DataFrame, site: str, name: str, start: str, end: str) -> DataFrame:
     """Group files whose spans are the same deployment, in start order.
 
-    A group can only take a file that starts within three days of its own
-    start, so a longer pause between starts cuts the work into independent
-    chains; each chain holds one small row per file. Files without a span are
-    groups of their own.
+    A file joins the oldest group that it fits, and widens it. A group can only
+    take files that start within three days of its own start, so a longer pause
+    between starts parts the files of a site into independent chains. Chains
+    stream through the tasks in order, one small row per file, and only groups
+    of the last three days are kept. Files without a span are groups of their own.
     """
     known = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(site, name, start, end)
     s = ordered(known, site, [start, name]).scan(_before=Prev(start))
     opens = F.coalesce(F.col(start) > F.col("_before") + F.expr("INTERVAL 3 DAYS"), F.lit(True))
     s = s.with_columns(_open=opens.cast("long")).scan(_chain=RunningSum("_open"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, name], kind="stable")
-        groups, label = [], []
-        for f, a, z in zip(pdf[name], pdf[start], pdf[end], strict=True):
-            for g in groups:
-                if _same_deployment(a, z, g[1], g[2]):
-                    g[1], g[2] = min(a, g[1]), max(z, g[2])
-                    label.append(g[0])
-                    break
-            else:
-                groups.append([f, a, z])
-                label.append(f)
-        return pdf[[site, name]].assign(deployment=label)
-
+    chains = s.rows.select(F.concat_ws(" ", F.col("_chain").cast("string"), F.col(site).cast("string")).alias("chain"), F.col(name).cast("string").alias("name"),
+                           micros(F.col(start)).alias("start"), micros(F.col(end)).alias("end"), F.col(site).alias("site"))
     types = dict(spans.dtypes)
-    schema = f"`{site}` {types[site]}, `{name}` {types[name]}, deployment string"
-    chains = s.rows.select(site, name, start, end, "_chain")
-    grouped = chains.groupBy(site, "_chain").applyInPandas(walk, schema)
+    grouped = (chains.repartition("chain").sortWithinPartitions("chain", "start", "name")
+               .mapInArrow(_assigned, f"site {types[site]}, name string, deployment string")
+               .select(F.col("site").alias(site), F.col("name").cast(types[name]).alias(name), "deployment"))
     lone = spans.where(F.col(start).isNull() | F.col(end).isNull()).select(site, name, F.col(name).cast("string").alias("deployment"))
     return grouped.unionByName(lone)
 

@@ -74,9 +74,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
+    """Stores go to the folder in spark.checkpoint.dir; only a local session may do without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelint-ckpt-"))
 
 

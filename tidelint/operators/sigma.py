@@ -37,16 +37,26 @@ def attach_global_sigma(df: DataFrame, keys, columns: dict[str, Column]) -> Data
         .otherwise(F.col(f"_p_{n}")).alias(n) for n in columns])
 
 
+def _around(values: np.ndarray, win: int):
+    """Windows of `win` rows around each row that hold three values at least."""
+    return pd.Series(values).rolling(win, center=True, min_periods=3)
+
+
 def _rolling(values: np.ndarray, win: int, fill: bool) -> np.ndarray:
-    """Local spread of one ordered piece of a series."""
-    v = pd.Series(values)
-    roll = {"window": win, "center": True, "min_periods": 3}
-    mad = (v - v.rolling(**roll).median()).abs().rolling(**roll).median()
-    sigma = MAD_TO_SIGMA * mad
-    weak = ~(sigma > 0)
-    if weak.any():
-        sigma = sigma.where(~weak, v.rolling(**roll).std())
-    return (sigma.bfill().ffill() if fill else sigma).to_numpy()
+    """Local spread of one ordered piece of a series.
+
+    With ``fill``, a row without a spread takes that of the next row that has
+    one, and of the last such row behind it.
+    """
+    center = _around(values, win).median().to_numpy()
+    spread = MAD_TO_SIGMA * _around(np.abs(values - center), win).median().to_numpy()
+    flat = np.flatnonzero(~(spread > 0))
+    if len(flat):
+        spread[flat] = _around(values, win).std().to_numpy()[flat]
+    known = np.flatnonzero(~np.isnan(spread))
+    if not fill or not len(known):
+        return spread
+    return spread[known[np.minimum(np.searchsorted(known, np.arange(len(spread))), len(known) - 1)]]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:

@@ -212,16 +212,15 @@ CASE WHEN mon IS NOT NULL THEN CAST(make_date(year(o_orderdate), mon, 1) AS VARC
 
 
 def b13_first_midnight(spark, path):
-    s = sel.select_rows(scalar_series(spark, path), ["S1", "S2", "S3", "S4"])
-    s = sel.first_midnight_hours(s, ["site"])
+    s = sel.first_midnight_hours(scalar_series(spark, path), ["site"])
     anchor = s.agg(F.min("ts").alias("first"))
     s = sel.clock_window(s, anchor, "2024-01-02 06:00:00", "2024-01-12 18:00:00")
     return s.select("site", "sample_no", F.round("hours", 6).alias("hours"))
 
 
-add("b13_first_midnight", b13_first_midnight, f"""WITH {EV}, s AS (SELECT * FROM ev WHERE site IN ('S1', 'S2', 'S3', 'S4')),
+add("b13_first_midnight", b13_first_midnight, f"""WITH {EV},
 h AS (SELECT *, (epoch_us(ts) - epoch_us(date_trunc('day', min(ts) OVER (PARTITION BY site)))) / 3.6e9 AS hours,
-  date_trunc('day', min(ts) OVER ()) AS anchor FROM s)
+  date_trunc('day', min(ts) OVER ()) AS anchor FROM ev)
 SELECT site, sample_no, round(hours, 6) AS hours FROM h
 WHERE hours BETWEEN (epoch_us(TIMESTAMP '2024-01-02 06:00:00') - epoch_us(anchor)) / 3.6e9
 AND (epoch_us(TIMESTAMP '2024-01-12 18:00:00') - epoch_us(anchor)) / 3.6e9""")

@@ -356,13 +356,13 @@ def q18_derived_flags(spark, path):
 def g2_test_report(spark, path):
     plan = mooring_plan()
     long = flags_long(_planned(spark, path), plan, ["series_id"])
-    return reports.test_report(long.where(F.col("var").isin("T", "S")), ["series_id", "test", "var"])
+    return reports.test_report(long, ["series_id", "test", "var"])
 
 
 def g3_overall_report(spark, path):
     rolled = rollup(_planned(spark, path), mooring_plan())
     base = [f"Flag_{v}" for v in ("T", "S", "C", "P", "pH", "chl", "O2", "org", "tur")]
-    rep = reports.overall_report(rolled, KEYS, base[:4], base)
+    rep = reports.overall_report(rolled, KEYS, base, base)
     prof = sampling_profile(water_series(spark, path), KEYS, BY).select(
         "series_id", "t_start", "t_end", "backwards", "duplicates", "gaps", F.round("max_gap_s", 6).alias("max_gap_s"))
     return rep.join(prof, "series_id")
@@ -415,7 +415,7 @@ SQL["q16_test_plan"] = f"""WITH {_PLAN}, {_LONG}
 SELECT CAST(e.position AS INTEGER) AS position, e.test AS test, e.var AS var, {_COUNTS} FROM lg GROUP BY 1, 2, 3"""
 QUERIES["g2_test_report"] = g2_test_report
 SQL["g2_test_report"] = f"""WITH {_PLAN}, {_LONG}
-SELECT series_id, e.test AS test, e.var AS var, {_COUNTS} FROM lg WHERE e.var IN ('T', 'S') GROUP BY 1, 2, 3"""
+SELECT series_id, e.test AS test, e.var AS var, {_COUNTS} FROM lg GROUP BY 1, 2, 3"""
 _FLAG = " || ".join(f"CAST({_digit(t)} AS VARCHAR)" for t in mooring_plan())
 _ROLL = {v: _WORST.format(", ".join(f"{v}{i}" for i in range(1, 6))) for v in "TSCP"}
 QUERIES["q17_rollup"] = q17_rollup
@@ -426,7 +426,8 @@ QUERIES["g3_overall_report"] = g3_overall_report
 SQL["g3_overall_report"] = f"""WITH {_PLAN}, r AS (SELECT series_id,
 {', '.join(f'{_ROLL[v]} AS "{v}"' for v in 'TSCP')} FROM pl),
 c AS (SELECT series_id, count(*) AS total, count(*) FILTER (4 NOT IN ("T", "S", "C", "P")) AS valid,
-{', '.join(f'count(*) FILTER ("{v}" = {k}) AS "{v}_{w}"' for v in 'TSCP' for k, w in ((4, 'bad'), (3, 'suspect'), (9, 'missing')))}
+{', '.join(f'count(*) FILTER ("{v}" = {k}) AS "{v}_{w}"' for v in 'TSCP' for k, w in ((4, 'bad'), (3, 'suspect'), (9, 'missing')))},
+{', '.join(f'0::BIGINT AS "{v}_{w}"' for v in ('pH', 'chl', 'O2', 'org', 'tur') for w in ('bad', 'suspect', 'missing'))}
 FROM r GROUP BY 1),
 p AS (SELECT series_id, min(ts) AS t_start, max(ts) AS t_end, count(*) FILTER (step < 0) AS backwards,
   count(*) - count(DISTINCT ts) AS duplicates, count(*) FILTER (step > 3 * interval_s * 1e6) AS gaps, max(step) AS mx

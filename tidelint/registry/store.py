@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from tidelint.functions import labels
 from tidelint.operators import catalog as ca
 from tidelint.operators import database as db
-from tidelint.operators.ordering import Position, ordered
+from tidelint.operators.ordering import Position, ordered, ready_checkpoints
 from tidelint.plans.criteria import VARIABLES
 from tidelint.plans.layouts import known_instrument, layout_of
 from tidelint.registry.base import EV, LIGHT, WATER, light_series, scalar_series, table, water_series
@@ -164,9 +164,8 @@ add("a7_layouts", a7_layouts, """SELECT ['currents', 'light', 'scalar', 'bare'][
 
 def a8_table_sink(spark, path):
     """Written by site and read back from the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    out = f"{base.rstrip('/')}/tidelint-tables" if base else tempfile.mkdtemp(prefix="tidelint-tables-")
-    target = f"{out}/{path.rstrip('/').split('/')[-1]}"
+    ready_checkpoints(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4()}"
     pr.write_table(water_series(spark, path).select("site", "series_id", "sample_no", "ts", "T", "S"), target)
     return pr.read_table(spark, target).select("site", "series_id", "sample_no", "ts", "T", "S")
 
@@ -414,7 +413,18 @@ def s6_replicate_groups(spark, path):
     return ca.group_replicates(spans, "site", "name", "start", "end")
 
 
-add("s6_replicate_groups", s6_replicate_groups, None)
+add("s6_replicate_groups", s6_replicate_groups, f"""WITH RECURSIVE {EV},
+sp AS (SELECT site, series_id || 'w' || CAST(ceil(day(ts) / 7.0) AS INTEGER) AS name, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM ev GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY a, name) AS k FROM sp),
+w AS (SELECT site, k, name, name AS deployment, [{{'n': name, 'a': a, 'z': z}}] AS g FROM f WHERE k = 1
+  UNION ALL SELECT site, k, name, CASE WHEN p IS NULL THEN name ELSE g[p].n END,
+    CASE WHEN p IS NULL THEN list_append(g, {{'n': name, 'a': a, 'z': z}})
+      ELSE list_concat(list_concat(g[:p - 1], [{{'n': g[p].n, 'a': least(g[p].a, a), 'z': greatest(g[p].z, z)}}]), g[p + 1:]) END
+  FROM (SELECT f.*, w.g, nullif(list_position(list_transform(w.g, lambda x: greatest(abs(x.a - f.a), abs(x.z - f.z)) <= 86400000000
+    OR greatest(abs(x.a - f.a), abs(x.z - f.z)) <= 259200000000 AND least(x.z - x.a, f.z - f.a) > 0
+      AND abs((x.z - x.a) - (f.z - f.a)) <= 0.05 * greatest(x.z - x.a, f.z - f.a)), true), 0) AS p
+    FROM w JOIN f ON f.site = w.site AND f.k = w.k + 1))
+SELECT site, name, deployment FROM w""")
 
 
 def s7_identical_sets(spark, path):

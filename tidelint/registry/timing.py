@@ -95,13 +95,12 @@ def j4_covering_interval(spark, path):
     files = (s.groupBy("site", "series_id", F.to_date("ts").alias("d")).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
              .withColumn("file", F.concat("series_id", F.lit("_"), F.col("d").cast("string"))))
     casts = s.select("site", "sample_no", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"))
-    out = tj.covering_interval(casts, files.where(F.col("t1") > F.col("t0")), "site", "start", "t0", "t1", "file")
+    out = tj.covering_interval(casts, files, "site", "start", "t0", "t1", "file")
     return out.select("site", "sample_no", "file")
 
 
 add("j4_covering_interval", j4_covering_interval, f"""WITH {EV},
-f AS (SELECT site, series_id || '_' || CAST(ts AS DATE) AS file, min(ts) AS t0, max(ts) AS t1 FROM ev GROUP BY site, series_id, CAST(ts AS DATE)
-  HAVING max(ts) > min(ts)),
+f AS (SELECT site, series_id || '_' || CAST(ts AS DATE) AS file, min(ts) AS t0, max(ts) AS t1 FROM ev GROUP BY site, series_id, CAST(ts AS DATE)),
 c AS (SELECT DISTINCT site, date_trunc('hour', ts) AS start FROM ev),
 b AS (SELECT c.site, c.start, arg_min(file, (t1 - t0, file)) AS file FROM c JOIN f ON c.site = f.site
   AND c.start >= t0 - INTERVAL 1 HOUR AND c.start <= t1 + INTERVAL 1 HOUR GROUP BY 1, 2)
