@@ -149,7 +149,14 @@ def g17_trend_cubic(spark, path):
     return out.select("event_type", "sample_no", F.round("fit", 4).alias("fit"))
 
 
-add("g17_trend_cubic", g17_trend_cubic, None)
+# The cubic in SQL: projections on orthogonal polynomials of the index, made by their three-term recurrence.
+add("g17_trend_cubic", g17_trend_cubic, f"""WITH {EV}, {_trend_sql('ev', 'event_type', 'ts, sample_no', 'tr')},
+o0 AS (SELECT event_type, sample_no, y, idx / 1000.0 - avg(idx / 1000.0) OVER (PARTITION BY event_type) AS p1 FROM tr3),
+o1 AS (SELECT *, p1 * p1 - sum(p1 * p1 * p1) OVER w / sum(p1 * p1) OVER w * p1 - avg(p1 * p1) OVER w AS p2 FROM o0 WINDOW w AS (PARTITION BY event_type)),
+o2 AS (SELECT *, p1 * p2 - sum(p1 * p2 * p2) OVER w / sum(p2 * p2) OVER w * p2 - sum(p2 * p2) OVER w / sum(p1 * p1) OVER w * p1 AS p3 FROM o1
+  WINDOW w AS (PARTITION BY event_type))
+SELECT event_type, sample_no, round(greatest(avg(y) OVER w + sum(y * p1) OVER w / sum(p1 * p1) OVER w * p1 + sum(y * p2) OVER w / sum(p2 * p2) OVER w * p2
+  + sum(y * p3) OVER w / sum(p3 * p3) OVER w * p3, 0), 4) AS fit FROM o2 WINDOW w AS (PARTITION BY event_type)""")
 
 
 def g18_profile_trend(spark, path):
