@@ -1,4 +1,7 @@
-"""Published fixtures of the per-sample tests."""
+"""Published fixtures of the per-sample tests.
+
+Fixed values: the inputs (seeds, arrays) and the digits expected of them.
+"""
 
 import numpy as np
 import pandas as pd

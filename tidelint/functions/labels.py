@@ -38,31 +38,40 @@ def campaign_date(label: Column) -> Column:
     return F.make_date(campaign_year(label), campaign_month(label), F.lit(1))
 
 
+# How folders and files name stations, loggers and date spans.
+_RH_STATION = r"(?i)RH\s*_?(\d{1,2})"
+_CENTROID_STATION = r"(?i)CENTROID\w*\s*(\d+)"
+_NO_STATION = "EXPERIMENTO"
+_LEADING_LOGGER = r"(?i)^hobo\s*\d*[_\-\s]*"
+_TRAILING_LOGGER = r"(?i)[_\-\s]*hobo\s*\d*$"
+_DATE_SPAN = r"(\d{6})[_\-](\d{6})"
+_LABEL_LENGTH = 24
+
+
 def station_label(subpath: Column, names: Column) -> Column:
     """Station of an experiment folder from its path and file names."""
     hay = F.concat_ws(" ", subpath, names)
-    rh = F.regexp_extract(hay, r"(?i)RH\s*_?(\d{1,2})", 1)
-    centre = F.regexp_extract(hay, r"(?i)CENTROID\w*\s*(\d+)", 1)
+    rh, centre = (F.regexp_extract(hay, p, 1) for p in (_RH_STATION, _CENTROID_STATION))
     leaf = F.element_at(F.split(subpath, r"[/\\]"), -1)
-    clean = F.substring(F.upper(F.trim(F.regexp_replace(leaf, "[^A-Za-z0-9]+", "_"), F.lit("_"))), 1, 24)
+    clean = F.substring(F.upper(F.trim(F.regexp_replace(leaf, "[^A-Za-z0-9]+", "_"), F.lit("_"))), 1, _LABEL_LENGTH)
     return (F.when(rh != "", F.concat(F.lit("RH"), rh))
             .when(centre != "", F.concat(F.lit("CENTROID"), centre))
-            .when(F.coalesce(subpath, F.lit("")).isin("", ".") | (clean == ""), "EXPERIMENTO")
+            .when(F.coalesce(subpath, F.lit("")).isin("", ".") | (clean == ""), _NO_STATION)
             .otherwise(clean))
 
 
 def replicate_stem(name: Column) -> Column:
     """File stem without its logger number and separators."""
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    stem = F.regexp_replace(stem, r"(?i)^hobo\s*\d*[_\-\s]*", "")
-    stem = F.regexp_replace(stem, r"(?i)[_\-\s]*hobo\s*\d*$", "")
+    stem = F.regexp_replace(stem, _LEADING_LOGGER, "")
+    stem = F.regexp_replace(stem, _TRAILING_LOGGER, "")
     return F.regexp_replace(F.lower(stem), "[^a-z0-9]+", "")
 
 
 def named_dates(name: Column) -> Column:
     """First and last day written as ``ddMMyy_ddMMyy`` in a file name."""
     def day(group: int) -> Column:
-        text = F.regexp_extract(name, r"(\d{6})[_\-](\d{6})", group)
+        text = F.regexp_extract(name, _DATE_SPAN, group)
         part = [F.substring(text, i, 2).try_cast("int") for i in (1, 3, 5)]
         made = F.try_make_timestamp_ntz(part[2] + 2000, part[1], part[0], F.lit(0), F.lit(0), F.lit(0.0))
         return F.when(text != "", made)

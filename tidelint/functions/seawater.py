@@ -135,7 +135,10 @@ def with_density(df: DataFrame, sa: Column, ct: Column, p: Column, out: str) ->
 
 
 def depth_from_pressure(p: Column, latitude: float, subtract_atmosphere: bool = True) -> Column:
-    """UNESCO (1983) depth in metres, rounded half-even to centimetres."""
+    """UNESCO (1983) depth in metres, rounded half-even to centimetres.
+
+    Fixed values: the coefficients are those of the published formula.
+    """
     if subtract_atmosphere:
         p = p - F.lit(10.1325)
     x = math.sin(latitude / 57.29578) ** 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelint.operators.ordering import attach_aggregates
 from tidelint.operators.qc_tests import c
 
+# The forms in which exports write dates and clocks.
 _DATE = r"^\s*(\d{1,2})\s*[/-]\s*(\d{1,2})\s*[/-]\s*(\d{2,4})"
 _ISO = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})"
 _CLOCK = r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?\s*([AaPp][Mm])?"
