@@ -239,3 +239,16 @@ def test_posteriors_shrink_sparse_sites(spark):
     assert share == pytest.approx((180 + 20 + 0.2 + 40) / 352)
     assert abs(got["small", "p"].path_share - share) < abs(0.1 - share) * 0.9       # two documents say little
     assert abs(got["big", "p"].path_share - 0.9) < 0.05 and (None, None) in got
+
+
+def test_license_anchors_lose_no_match():
+    r = random.Random(4)
+    for text in license_dice.TEMPLATES.values():
+        template = text.lower().split()
+        need = license_dice.anchors(template, 0.8 / 1.2)
+        whole = set(zip(template, template[1:]))
+        for _ in range(200):
+            unit = [w for w in template if r.random() > 0.25]
+            own = set(zip(unit, unit[1:]))
+            if 2 * len(own & whole) >= 0.8 * (len(own) + len(whole)):
+                assert need & set(unit)

@@ -4,7 +4,9 @@ Units of a text are its lines, its paragraphs of several lines (parted by blank
 lines) and, where it has several paragraphs, the whole. A unit is lower-cased and cut into words of
 letters and digits; its distinct word bigrams are compared with those of each
 template whose size allows the coefficient to reach the limit: with a and b
-bigrams it is at most 2 min(a, b) / (a + b). The best template of a unit is
+bigrams it is at most 2 min(a, b) / (a + b). By the same bound a match shares so
+many bigrams with a template that it must have one of a few of its words, so
+texts and units without any of these are passed over. The best template of a unit is
 reported if it reaches the limit; equal coefficients go to the first name.
 
 Each row is scanned by itself, without a shuffle; the templates are a literal of
@@ -58,39 +60,58 @@ def _normal(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^\\p{L}\\p{N}\n]+", " "))
 
 
-def _grams(unit: Column) -> Column:
-    """Hashes of the distinct word bigrams of a normalised unit."""
-    words = F.array_remove(F.split(unit, "[ \n]+"), "")
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-                                       lambda x, y: F.xxhash64(x, y)))
+def _words(unit: Column) -> Column:
+    return F.array_remove(F.split(unit, "[ \n]+"), "")
 
 
-def _templates(docs: DataFrame, templates: dict[str, str]) -> list[tuple[str, list[int]]]:
-    spark = docs.sparkSession
-    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", _grams(_normal(F.col("text"))).alias("g")).collect()
-    return [(r.name, r.g) for r in sorted(rows, key=lambda r: r.name)]
+def _grams(words: Column) -> Column:
+    """Hashes of the distinct bigrams of a list of words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.xxhash64(x, y)))
+
+
+def anchors(words: list[str], slack: float) -> set[str]:
+    """Words of a template one of which any matching unit must have.
+
+    A match shares at least `slack` of the template's bigrams. Long words are
+    taken until fewer bigrams than that are without one.
+    """
+    left = set(zip(words, words[1:], strict=False))
+    most, out = slack * len(left) - 1e-9, set()
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(left) < most:
+            break
+        out.add(word)
+        left = {g for g in left if word not in g}
+    return out
+
+
+def _templates(docs: DataFrame, templates: dict[str, str]) -> list[tuple[str, list[int], list[str]]]:
+    rows = docs.sparkSession.createDataFrame(sorted(templates.items()), "name string, text string").select("name", _words(_normal(F.col("text"))).alias("w"))
+    rows = rows.select("name", _grams(F.col("w")).alias("g"), "w").collect()
+    return [(r.name, r.g, r.w) for r in sorted(rows, key=lambda r: r.name)]
 
 
 def scanned(docs: DataFrame, limit: float = LIMIT, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, kind, unit, license, dice): each unit of a text that matches a template; units count from 0 within a kind."""
     known = _templates(docs, templates)
     slack = limit / (2 - limit)
-    low, high = min(len(g) for _, g in known) * slack, max(len(g) for _, g in known) / slack
+    low, high = min(len(g) for _, g, _ in known) * slack, max(len(g) for _, g, _ in known) / slack
+    needed = F.array(*map(F.lit, sorted(set().union(*(anchors(w, slack) for *_, w in known)))))
     pars = F.split("t", "\n(?: *\n)+")
     units = F.concat(
         F.transform(F.split("t", "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("unit"), x.alias("text"))),
         F.filter(F.transform(pars, lambda x, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("unit"), x.alias("text"))), lambda x: F.instr(x.text, "\n") > 0),
         F.when(F.size(pars) > 1, F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("unit"), F.col("t").alias("text")))).otherwise(F.array()))
-    # A unit of n characters has at most n / 2 words, and a template's bigrams need their words: most units are settled by length.
-    rows = (docs.where("text is not null").select("doc_id", _normal(F.col("text")).alias("t"))
-            .select("doc_id", F.explode(units).alias("u")).where(F.length("u.text") >= int(2 * low))
-            .select("doc_id", "u.kind", "u.unit", _grams(F.col("u.text")).alias("g"))
+    rows = docs.where("text is not null").select("doc_id", _normal(F.col("text")).alias("t")).where(F.arrays_overlap(_words(F.col("t")), needed))
+    rows = (rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.kind", "u.unit", _words(F.col("u.text")).alias("w"))
+            .where((F.size("w") > low) & F.arrays_overlap("w", needed)).withColumn("g", _grams(F.col("w")))
             .where((F.size("g") >= low - 1e-9) & (F.size("g") <= high + 1e-9)))
     size = F.size("g")
     scores = [F.when((size >= len(g) * slack - 1e-9) & (size * slack <= len(g) + 1e-9),
-                     F.lit(2.0) * F.size(F.array_intersect("g", F.array(*map(F.lit, g)))) / (size + len(g))).otherwise(0.0) for _, g in known]
+                     F.lit(2.0) * F.size(F.array_intersect("g", F.array(*map(F.lit, g)))) / (size + len(g))).otherwise(0.0) for _, g, _ in known]
     best = F.array_max(F.array(*[F.struct(s.alias("dice"), F.lit(-k).alias("k")) for k, s in enumerate(scores)]))
-    names = F.array(*[F.lit(name) for name, _ in known])
+    names = F.array(*[F.lit(name) for name, *_ in known])
     return (rows.withColumn("best", best).where(F.col("best.dice") >= limit)
             .select("doc_id", "kind", F.col("unit").cast("int").alias("unit"), F.get(names, -F.col("best.k")).alias("license"), F.col("best.dice").alias("dice")))
 
