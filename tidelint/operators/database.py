@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelint.operators.ordering import Prev, attach_aggregates, ordered
@@ -53,9 +53,10 @@ def drop_exact_duplicates(df: DataFrame, provenance: list[str], order: list[str]
 def overlaps(df: DataFrame, key: list[str], source: str = SOURCE) -> DataFrame:
     """Keys held by several rows with different values, and who holds them.
     Expects exact duplicates to be gone."""
-    per = df.groupBy(*[c(k) for k in key], source).agg(F.count(F.lit(1)).alias("rows"))
-    hot = per.groupBy(*[c(k) for k in key]).agg(F.sum("rows").alias("_all")).where(F.col("_all") > 1).drop("_all")
-    return per.join(hot, key, "left_semi")
+    known = df.dropna(subset=[k for k in key])
+    per = known.groupBy(*[c(k) for k in key], source).agg(F.count(F.lit(1)).alias("rows"))
+    whole = F.sum("rows").over(Window.partitionBy(*[c(k) for k in key]))     # one row per source of a key
+    return per.withColumn("_all", whole).where(F.col("_all") > 1).drop("_all")
 
 
 def overlap_offenders(overlapping: DataFrame, source: str = SOURCE) -> DataFrame:

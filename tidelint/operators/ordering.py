@@ -42,14 +42,14 @@ def input_bytes(df: DataFrame) -> int:
     total = 0
     for i in range(leaves.size()):
         leaf = leaves.apply(i)
-        stored = _STORED.get(leaf.rdd().id()) if leaf.nodeName().startswith("LogicalRDD") else None
+        stored = _STORED.get((df.sparkSession.sparkContext.applicationId, leaf.rdd().id())) if leaf.nodeName().startswith("LogicalRDD") else None
         total += stored if stored is not None else int(str(leaf.stats().sizeInBytes()))
     return total
 
 
-# sizes of stored frames, by the id of their rows: the statistics a checkpoint
+# sizes of stored frames, by application and the id of their rows: the statistics a checkpoint
 # keeps come from join estimates, which multiply
-_STORED: dict[int, int] = {}
+_STORED: dict[tuple[str, int], int] = {}
 _UNKNOWN = 2 ** 60
 _MOST_PIECES = 1_000_000
 
@@ -69,7 +69,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     size = input_bytes(df)
     stored = df.checkpoint()
     leaves = stored._jdf.queryExecution().analyzed().collectLeaves()
-    _STORED[leaves.apply(0).rdd().id()] = size
+    _STORED[df.sparkSession.sparkContext.applicationId, leaves.apply(0).rdd().id()] = size
     return stored
 
 

@@ -132,20 +132,15 @@ def density_inversion(df: DataFrame, keys, tie: str, temperature: Column, salini
     # tested on the inputs: a filter on the density itself would be pushed below
     # the polynomial and evaluate it once more per use
     dense = F.coalesce((salinity >= 0) & temperature.isNotNull() & pressure.isNotNull(), F.lit(False))
-    work = df.withColumns({"_vz": vertical, "_dense": dense})
-    valid = F.col("_dense") & F.col("_vz").isNotNull()
-    weighed = seawater.with_seawater(work.where(valid), salinity, temperature, pressure)
-    s = ordered(weighed, keys, ("_vz", tie)).scan(_up=Prev("sigma0"), _dn=Next("sigma0"))
+    # rows without a density or a place are a series of their own, which is not looked at
+    work = df.withColumns({"_vz": vertical, "_dense": dense}).withColumn("_valid", F.col("_dense") & F.col("_vz").isNotNull())
+    weighed = seawater.with_seawater(work, salinity, temperature, pressure)
+    s = ordered(weighed, [*keys, "_valid"], ("_vz", tie)).scan(_up=Prev("sigma0"), _dn=Next("sigma0"))
     here = F.col("sigma0")
-    hit = (here < F.col("_up") - tolerance) | (F.col("_dn") < here - tolerance)
-    judged = s.rows.select(*[c(x) for x in df.columns],
-                           F.when(F.coalesce(hit, F.lit(False)), flag(SUSPECT))
-                           .otherwise(flag(GOOD)).alias(out))
-    # no vertical position: never visited by the walk, good when it has a density
-    rest = work.where(~valid).select(
-        *[c(x) for x in df.columns],
-        F.when(F.col("_dense"), flag(GOOD)).otherwise(flag(UNKNOWN)).alias(out))
-    return judged.unionByName(rest)
+    hit = F.coalesce((here < F.col("_up") - tolerance) | (F.col("_dn") < here - tolerance), F.lit(False))
+    # without a vertical position: never visited by the walk, good when it has a density
+    return s.rows.select(*[c(x) for x in df.columns],
+                         F.when(F.col("_valid") & hit, flag(SUSPECT)).when(F.col("_dense"), flag(GOOD)).otherwise(flag(UNKNOWN)).alias(out))
 
 
 @dataclass(frozen=True)
