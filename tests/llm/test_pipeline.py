@@ -1,5 +1,6 @@
 """The pipeline against a plain version of every stage, and the registered queries."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidelint.llm import line_spread, residual_packing
+from tidelint.llm import line_spread, piece_codec, residual_packing
 from tidelint.llm.queries import QUERIES, SQL
 
 FOOTER = "Read more on our pages today"
@@ -121,3 +122,43 @@ def test_oracles(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rounded = lambda df: sorted(map(str, df[sorted(df.columns)].round(9).itertuples(index=False, name=None)))
     assert rounded(got) == rounded(want)
+
+
+def test_queries_with_production_parameters(spark, folder):
+    """Each query without SQL over the whole table of a folder, against its plain version."""
+    sentencepiece, tokenizers = pytest.importorskip("sentencepiece"), pytest.importorskip("tokenizers")
+    data = rows()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_codec.model_path())
+    coded = [(r[0], library.encode(r[1], add_eos=True)) for r in data]
+    got = QUERIES["op3_piece_codec"](spark, folder).collect()
+    assert Counter(map(tuple, got)) == Counter((i, len(x), sha(" ".join(map(str, x))), sha(library.decode(x))) for i, x in coded)
+
+    library = tokenizers.Tokenizer.from_file(residual_packing.tokenizer_path())
+    cut = Counter()
+    for i, text, *_ in data:
+        ids = np.asarray([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        cut.update((i, k // 2048, k, len(ids[k:k + 2048]), zlib.crc32(ids[k:k + 2048].tobytes())) for k in range(0, len(ids), 2048))
+    got = QUERIES["op7_residual_packing"](spark, folder).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == cut
+    assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 2048) + 1
+
+    seen = Counter(tuple(r[1].split()[k:k + 35]) for r in data for k in range(len(r[1].split()) - 34))
+    want = Counter()
+    for i, text, *_ in data:
+        w = text.split()
+        gone = {k + j for k in range(len(w) - 34) if seen[tuple(w[k:k + 35])] > 1 for j in range(35)}
+        want[i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))] += 1
+    assert Counter(map(tuple, QUERIES["op9_repeated_passages"](spark, folder).collect())) == want
+
+    texts = sorted({(r[1], r[0]) for r in data}, key=lambda x: x[1])
+    root = {i: i for _, i in texts}
+    for n, (a, i) in enumerate(texts):
+        for b, j in texts[:n]:
+            if lcs(a.split(), b.split()) >= 0.8 * max(len(a.split()), len(b.split())) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert {(r.doc_id, r.class_id) for r in QUERIES["op6_near_duplicates"](spark, folder).collect()} == set(root.items())
+
+    kept = {r.doc_id: r.kept for r in QUERIES["op2_quality_bayes"](spark, folder).collect()}
+    assert kept == {r[0]: r[0] < 300 for r in data}

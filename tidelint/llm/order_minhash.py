@@ -108,7 +108,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(a, b): digests of texts that share a sketch and are close enough in length, each pair once."""
-    rows = (docs.select(F.col("text")).mapInArrow(_sketched, "sketch bigint, node binary, n int").distinct())
+    rows = frames.stored(docs.select("text").mapInArrow(_sketched, "sketch bigint, node binary, n int").distinct())
     shared = (rows.groupBy("sketch").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("low"))
               .where("texts > 1"))
     members = rows.join(shared, "sketch")
