@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.llm import frames
+from tidelint.llm.wordhash import word_digests, word_spans
 
 CAPACITY = 2048
 _FAN = 8
 _PASSED = 8_000
-_REMEMBERED, _LONGEST = 1_000_000, 48
+_REMEMBERED, _LONGEST = 800_000, 48
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -47,21 +48,47 @@ class WordEncoder:
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, an id 0 at its end."""
-        split = [t.split() for t in texts]
+        ids, at = self.encoded_rows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def encoded_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after another, an id 0 at the end of each, and where each row begins.
+
+        A word is looked up once a batch; equal words are found by their 64-bit digests.
+        """
+        starts, ends, firsts = word_spans(data, offsets)
+        _, where, which = np.unique(word_digests(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        found = self._ids(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), "<u4")
+        per = sizes[which]                                          # tokens of each word of the batch
+        upto = np.concatenate(([0], np.cumsum(per)))
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], per) + np.arange(upto[-1])
+        rows = len(offsets) - 1
+        at = upto[firsts] + np.arange(rows + 1)
+        out = np.zeros(int(at[-1]), "<u4")
+        out[np.arange(upto[-1]) + np.repeat(np.arange(rows), np.diff(upto[firsts]))] = flat[place]
+        return out, at
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words."""
         known = self.known
-        new = list(set().union(*split).difference(known))
-        stems = list(map(_stem, new))
-        unseen = list(set().union(*stems).difference(known))
+        found = list(map(known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        stems = [_stem(words[i]) for i in new]
+        parts = {s: known.get(s) for stem in stems for s in stem}
+        unseen = [s for s, ids in parts.items() if ids is None]
         coded = self.tokenizer.encode_batch_fast([s.decode() for s in unseen], add_special_tokens=False)
-        known.update(zip(unseen, [_bytes(c.ids) for c in coded], strict=True))
-        known.update([(w, known[stem[0]] if len(stem) == 1 else known[stem[0]] + known[stem[1]]) for w, stem in zip(new, stems, strict=True)])
-        end = bytes(4)
-        out = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        for own in (new, unseen):
-            excess = min(len(own), max(0, len(known) - _REMEMBERED))
-            for w in own[:excess] + [w for w in own[excess:] if len(w) > _LONGEST]:
-                known.pop(w, None)
-        return out
+        parts.update(zip(unseen, [_bytes(c.ids) for c in coded], strict=True))
+        for i, stem in zip(new, stems, strict=True):
+            found[i] = parts[stem[0]] if len(stem) == 1 else parts[stem[0]] + parts[stem[1]]
+        room = _REMEMBERED - len(known)
+        if room > 0:
+            known.update([(words[i], found[i]) for i in new[:room] if len(words[i]) <= _LONGEST])
+            known.update([(s, parts[s]) for s in unseen[:max(0, _REMEMBERED - len(known))] if len(s) <= _LONGEST])
+        return found
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -108,19 +135,18 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
         own = encoder(path or tokenizer_path())
         for batch in batches:
             data, offsets = frames.binary_text(batch.column(1))
-            for low, high in frames.slices(offsets, 1 << 20):
-                raw = data[offsets[low]:offsets[high]].tobytes()
-                at = (offsets[low:high + 1] - offsets[low]).tolist()
+            for low, high in frames.slices(offsets, 4 << 20):
+                tokens, at = own.encoded_rows(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
                 rows = []
-                for row, ids in enumerate(own.encoded([raw[a:b] for a, b in zip(at, at[1:])])):
-                    for start in range(0, len(ids) // 4, capacity):
-                        own_ids = ids[4 * start:4 * (start + capacity)]
-                        rows.append((low + row, start // capacity, start, len(own_ids) // 4, zlib.crc32(own_ids), own_ids))
+                for row, (first, last) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    for start in range(0, last - first, capacity):
+                        own_ids = tokens[first + start:min(first + start + capacity, last)]
+                        rows.append((low + row, start // capacity, start, len(own_ids), zlib.crc32(own_ids), own_ids))
                 row, piece, start, length, crc, ids = zip(*rows, strict=True)
                 out = {"doc_id": batch.column(0).take(pa.array(row)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
                        "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
                 if keep_ids:
-                    out["ids"] = pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32()))
+                    out["ids"] = pa.array([i.view("<i4") for i in ids], pa.list_(pa.int32()))
                 yield pa.record_batch(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
