@@ -97,6 +97,19 @@ def test_alignment_equals_plain_lcs():
         assert (order_minhash.Aligner(a).matched(b, least) >= least) == (table[-1, -1] >= least)
 
 
+def test_edited_pairs_share_a_sketch():
+    """Pairs at the limit of a link, 0.8 of the words equal, in short and long texts."""
+    r = np.random.default_rng(8)
+    for n in (20, 60, 200):
+        met = 0
+        for _ in range(400):
+            a = r.integers(0, 2**63, n, dtype=np.uint64)
+            b = a.copy()
+            b[r.choice(n, n // 5, replace=False)] = r.integers(0, 2**63, n // 5, dtype=np.uint64)
+            met += bool(set(order_minhash.sketches(a).tolist()) & set(order_minhash.sketches(b).tolist()))
+        assert met >= 0.97 * 400, (n, met)
+
+
 def test_large_group_stays_one_class(spark):
     base = prose(20, 120)
     group = [(i, edited(base, i, 0.02), "en", "s", 0) for i in range(60)]

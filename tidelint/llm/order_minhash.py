@@ -1,22 +1,22 @@
 """Near duplicates by Order MinHash and banded alignment.
 
-Each distinct text is cut into k-mers of five words, labelled by their
+Each distinct text is cut into k-mers of five and of two words, labelled by their
 occurrence number. A sketch takes the two least k-mers under its own hash and
 keeps them in text order, so it agrees with a probability that follows edit
-similarity rather than set overlap. Texts that share one of 16 sketches are
-candidates; a pair is a link when a banded alignment matches at least 0.8 of the
+similarity rather than set overlap. Texts that share one of 16 sketches of five
+words or of 32 of two, which find short and scattered edits, are candidates; a pair is a link when a banded alignment matches at least 0.8 of the
 words of the longer text, or when 0.8 of their five-word shingles are shared
 (which holds for texts whose passages changed places). Classes are the
 connected components of the links and of equal texts.
 
 No group is held whole: equal texts meet in a partial aggregate; a sketch shared
 by up to eight texts gives their pairs, a larger one pairs inside random
-sub-groups of about four and the pairs with its least text, in each of the 16
-sketches anew. One text is compared with at most about 64 others
+sub-groups of about four and the pairs with its least text, in each sketch
+anew. One text is compared with at most about 64 others
 in a task.
 
 Null counts as an empty text; texts without words are duplicates of the equal
-texts only. Texts of at most five words have one k-mer. Ties of the least
+texts only. Texts of at most k words have one k-mer. Ties of the least
 document id go to the least digest; rows equal in id and text count as copies.
 """
 
@@ -35,12 +35,12 @@ from tidelint.llm import frames
 from tidelint.llm.wordhash import mixed, window_digests, word_digests, word_spans
 
 WORDS = 5
-SKETCHES = 16
+SKETCHES = {WORDS: 16, 2: 32}      # how many, by the words of a k-mer
 SIMILARITY = 0.8
 _WHOLE = 8          # texts of a sketch that are paired without sub-groups
 _SUBGROUP = 4       # mean size of a sub-group of a larger one
 _PARTNERS = 64      # texts compared with one text in a task
-_SEEDS = np.random.Generator(np.random.PCG64(7_081_971)).integers(1, 2**63, (2, SKETCHES), dtype=np.uint64)
+_SEEDS = np.random.Generator(np.random.PCG64(7_081_971)).integers(1, 2**63, (2, sum(SKETCHES.values())), dtype=np.uint64)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -125,20 +125,25 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def sketches(words: np.ndarray) -> np.ndarray:
-    """The order sketches of one text, from its word digests; fewer than six words give one k-mer."""
-    grams = window_digests(words, min(WORDS, len(words)))
-    order = np.argsort(grams, kind="stable")
-    ordered = grams[order]
-    runs = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    nth = np.empty(len(grams), np.uint64)
-    nth[order] = np.arange(len(grams)) - np.repeat(runs, np.diff(np.append(runs, len(grams))))
-    labels = mixed(grams + nth * np.uint64(0xC2B2AE3D27D4EB4F))
-    least = np.empty((2, SKETCHES), np.uint64)
-    for m in range(SKETCHES):
-        ranks = (labels ^ _SEEDS[0, m]) * (_SEEDS[1, m] | np.uint64(1))
-        pick = np.sort(np.argpartition(ranks, 1)[:2]) if len(labels) > 2 else np.arange(len(labels))
-        least[:, m] = labels[pick[0]], labels[pick[-1]]
-    return mixed(least[0] * np.uint64(0x9E3779B97F4A7C15) + mixed(least[1]) + np.arange(SKETCHES, dtype=np.uint64))
+    """The order sketches of one text, from its word digests; a text no longer than a k-mer gives one."""
+    out, done = [], 0
+    for k, count in SKETCHES.items():
+        grams = window_digests(words, min(k, len(words)))
+        order = np.argsort(grams, kind="stable")
+        ordered = grams[order]
+        runs = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        nth = np.empty(len(grams), np.uint64)
+        nth[order] = np.arange(len(grams)) - np.repeat(runs, np.diff(np.append(runs, len(grams))))
+        labels = mixed(grams + nth * np.uint64(0xC2B2AE3D27D4EB4F))
+        seeds = _SEEDS[:, done:done + count, None]
+        ranks = (labels ^ seeds[0]) * (seeds[1] | np.uint64(1))
+        least = ranks.argmin(1)
+        ranks[np.arange(count), least] = np.iinfo(np.uint64).max
+        second = ranks.argmin(1)
+        first, last = labels[np.minimum(least, second)], labels[np.maximum(least, second)]
+        out.append(mixed(first * np.uint64(0x9E3779B97F4A7C15) + mixed(last) + np.arange(done, done + count, dtype=np.uint64)))
+        done += count
+    return np.concatenate(out)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +159,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = digests[firsts[row]:firsts[row + 1]]
                 if len(words):
                     sketch.append(sketches(words))
-                    node += [hashlib.md5(raw[own[row]:own[row + 1]]).digest()] * SKETCHES
-                    n += [len(words)] * SKETCHES
+                    node += [hashlib.md5(raw[own[row]:own[row + 1]]).digest()] * len(sketch[-1])
+                    n += [len(words)] * len(sketch[-1])
             if sketch:
                 yield pa.record_batch({"sketch": pa.array(np.concatenate(sketch).view(np.int64)),
                                        "node": pa.array(node, pa.binary()), "n": pa.array(n, pa.int32())})
