@@ -117,6 +117,21 @@ def test_large_group_stays_one_class(spark):
     assert {r.class_id for r in got if r.doc_id < 60} == {0} and all(r.class_docs == 1 for r in got if r.doc_id >= 100)
 
 
+def test_star_of_edits_is_one_class(spark):
+    """Edits of one text that are near it but not near each other."""
+    words_of, r = [f"v{i}" for i in range(20_000)], random.Random(77)
+    base = [r.choice(words_of) for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(1500):
+        own = list(base)
+        for i in r.sample(range(200), r.randint(20, 30)):
+            own[i] = r.choice(words_of)
+        texts.append(" ".join(own))
+    star = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = [r.class_id for r in order_minhash.classes(star).collect()]
+    assert len(got) == 1501 and got.count(0) >= 0.999 * 1501
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]

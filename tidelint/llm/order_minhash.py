@@ -10,10 +10,12 @@ words of the longer text, or when 0.8 of their five-word shingles are shared
 connected components of the links and of equal texts.
 
 No group is held whole: equal texts meet in a partial aggregate; a sketch shared
-by up to eight texts gives their pairs, a larger one pairs inside random
-sub-groups of about four and the pairs with its least text, in each sketch
-anew. One text is compared with at most about 64 others
-in a task.
+by up to eight texts gives their pairs, a larger one at first pairs inside random
+sub-groups of about four and the pairs with the text that shares most sketches,
+in each sketch anew. Texts of a larger one that these links leave in different
+classes are then all compared, in blocks: a bound from counts of hashed words and
+shingles, which no link exceeds, spares most of them the alignment. One text is
+aligned with at most about 64 others in a task.
 
 Null counts as an empty text; texts without words are duplicates of the equal
 texts only. Texts of at most k words have one k-mer. Ties of the least
@@ -39,6 +41,8 @@ SKETCHES = {WORDS: 16, 2: 32}      # how many, by the words of a k-mer
 SIMILARITY = 0.8
 _WHOLE = 8          # texts of a sketch that are paired without sub-groups
 _SUBGROUP = 4       # mean size of a sub-group of a larger one
+_BLOCK = 512        # texts on each side of a block of the comparison across classes
+_BINS = 256         # counts of hashed words and of hashed shingles, by which a pair is ruled out
 _PARTNERS = 64      # texts compared with one text in a task
 _SEEDS = np.random.Generator(np.random.PCG64(7_081_971)).integers(1, 2**63, (2, sum(SKETCHES.values())), dtype=np.uint64)
 
@@ -93,7 +97,19 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]
 
 def linked(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): digests of two different texts that are near duplicates."""
-    found = frames.stored(candidates(docs))
+    rows = frames.stored(docs.select("text").mapInArrow(_sketched, "sketch bigint, node binary, n int").distinct())
+    found = frames.stored(candidates(rows))
+    near = frames.stored(_aligned(docs, found))
+    large = frames.stored(_crossed(rows, frames.components(near)))
+    if large.isEmpty():
+        return near
+    bounds = (docs.withColumn("node", _node("text")).join(large.select("node").distinct(), "node", "left_semi").select("text")
+              .mapInArrow(_counted, "node binary, counts binary").dropDuplicates(["node"]))
+    return near.union(_aligned(docs, frames.stored(_across(large.join(bounds, "node")).join(found, ["a", "b"], "left_anti"))))
+
+
+def _aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, similarity) of those pairs `found` that are links."""
     texts = (docs.select(_node("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
              .groupBy("node").agg(F.first("text").alias("text")))
     many = found.groupBy("a").agg(F.ceil(F.count("*") / _PARTNERS).cast("int").alias("parts"))
@@ -106,24 +122,53 @@ def linked(docs: DataFrame) -> DataFrame:
             .applyInArrow(_verified, "a binary, b binary, similarity double"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(a, b): digests of texts that share a sketch and are close enough in length, each pair once."""
-    rows = frames.stored(docs.select("text").mapInArrow(_sketched, "sketch bigint, node binary, n int").distinct())
-    shared = (rows.groupBy("sketch").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("low"))
-              .where("texts > 1"))
-    members = rows.join(shared, "sketch")
+def candidates(rows: DataFrame) -> DataFrame:
+    """(a, b): digests of texts that share a sketch and are close enough in length, each pair once; all pairs of small sketches."""
+    shared = rows.groupBy("sketch").agg(F.count("*").alias("texts")).where("texts > 1")
+    members = frames.stored(rows.join(shared, "sketch"))
     part = F.when(F.col("texts") <= _WHOLE, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("node", "sketch"), F.ceil(F.col("texts") / _SUBGROUP).cast("int")))
     near = (members.groupBy("sketch", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("g"))
             .select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(
                 F.slice("g", i + 2, F.greatest(F.size("g") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
             .select("p.x", "p.y"))
-    hubs = members.where(F.col("texts") > _WHOLE).select(F.col("low").alias("x"), F.struct("node", "n").alias("y"))
+    # The original of many edits shares sketches with more of them than they do among themselves.
+    large = members.where(F.col("texts") > _WHOLE)
+    weight = large.groupBy("node").agg(F.sum("texts").alias("weight")).toDF("node", "weight")
+    hub = (large.join(weight, "node").groupBy("sketch").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+           .select("sketch", F.struct("hub.node", "hub.n").alias("hub")).toDF("sketch", "hub"))
+    hubs = large.select("sketch", F.struct("node", "n").alias("own")).join(hub, "sketch").select(F.least("hub", "own").alias("x"), F.greatest("hub", "own").alias("y"))
     pairs = near.union(hubs).where(F.col("x.node") != F.col("y.node"))
     close = F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n")
     return pairs.where(close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def _crossed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Texts of each large sketch that holds several classes: its largest class, and the rest, which meets all of them.
+
+    `rare` marks the rest; `blocks` and `rare_blocks` are how many blocks all texts and the rest make.
+    """
+    sizes = rows.groupBy("sketch").agg(F.count("*").alias("texts")).where(F.col("texts") > _WHOLE)
+    members = rows.join(sizes, "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = (members.groupBy("sketch", "root").agg(F.count("*").alias("own"))
+               .groupBy("sketch").agg(F.max(F.struct("own", "root")).alias("most"), F.sum("own").alias("all")).where("all > most.own"))
+    return (members.join(several, "sketch")
+            .select("sketch", "node", "n", "root", (F.col("root") != F.col("most.root")).alias("rare"), F.ceil(F.col("all") / _BLOCK).cast("int").alias("blocks"),
+                    F.ceil((F.col("all") - F.col("most.own")) / _BLOCK).cast("int").alias("rare_blocks")))
+
+
+def _across(large: DataFrame) -> DataFrame:
+    """(a, b): pairs from different classes of a large sketch that the counts do not rule out, each once."""
+    keys = "sketch", "rare_block", "block"
+
+    def side(own: str, other: str, df: DataFrame) -> DataFrame:
+        return (df.withColumn(own, F.pmod(F.xxhash64("node", "sketch"), own + "s").cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)))
+                .select(*keys, "node", "n", "root", "rare", "counts").toDF(*keys, "node", "n", "root", "rare", "counts"))
+
+    return (side("rare_block", "block", large.where("rare")).groupBy(*keys)
+            .cogroup(side("block", "rare_block", large).groupBy(*keys)).applyInArrow(_possible, "a binary, b binary").distinct())
+
+
 def sketches(words: np.ndarray) -> np.ndarray:
     """The order sketches of one text, from its word digests; a text no longer than a k-mer gives one."""
     out, done = [], 0
@@ -166,6 +211,50 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                        "node": pa.array(node, pa.binary()), "n": pa.array(n, pa.int32())})
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words, and how many distinct shingles, of each text fall into each bin."""
+    most = np.iinfo(np.uint16).max
+    for batch in batches:
+        data, offsets = frames.binary_text(batch.column(0))
+        for low, high in frames.slices(offsets, 2 << 20):
+            part, own = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+            starts, ends, firsts = word_spans(part, own)
+            digests, raw = word_digests(part, starts, ends), part.tobytes()
+            node, counts = [], []
+            for row in range(high - low):
+                words = digests[firsts[row]:firsts[row + 1]]
+                if len(words):
+                    grams = np.unique(window_digests(words, min(WORDS, len(words))))
+                    own_counts = np.concatenate([np.bincount((mixed(x) % np.uint64(_BINS)).astype(np.int64), minlength=_BINS) for x in (words, grams)])
+                    if own_counts.max() > most:                     # too many to tell: nothing is ruled out
+                        own_counts[:] = most
+                    node.append(hashlib.md5(raw[own[row]:own[row + 1]]).digest())
+                    counts.append(own_counts.astype("<u2").tobytes())
+            if node:
+                yield pa.record_batch({"node": pa.array(node, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def _possible(rare: pa.Table, every: pa.Table) -> pa.Table:
+    """Pairs of a text of `rare` and one of `every`, of another class, whose counts allow a link."""
+    found = []
+    if rare.num_rows and every.num_rows:
+        nodes, roots, rares = (np.array(every.column(c).to_pylist(), object) for c in ("node", "root", "rare"))
+        counts = np.stack([np.frombuffer(x, "<u2") for x in every.column("counts").to_pylist()])
+        grams, n = counts[:, _BINS:].sum(1, dtype=np.int64), every.column("n").to_numpy()
+        once = rares.astype(bool)
+        for node, root, size, raw in zip(*(rare.column(c).to_pylist() for c in ("node", "root", "n", "counts")), strict=True):
+            other = np.flatnonzero((roots != root) & (~once | (nodes > node)))
+            other = other[np.minimum(n[other], size) >= SIMILARITY * np.maximum(n[other], size) - 1e-9]
+            if len(other):
+                own = np.frombuffer(raw, "<u2")
+                both = np.minimum(counts[other], own)
+                words, shared = both[:, :_BINS].sum(1, dtype=np.int64), both[:, _BINS:].sum(1, dtype=np.int64)
+                either = grams[other] + own[_BINS:].sum(dtype=np.int64) - shared
+                fits = (words >= SIMILARITY * np.maximum(n[other], size) - 1e-9) | (shared >= SIMILARITY * either - 1e-9)
+                found += [(min(node, x), max(node, x)) for x in nodes[other[fits]]]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
 class Aligner:
     """Longest common subsequence with one text, inside a band around the diagonal, on whole-number bits."""
 
