@@ -110,6 +110,14 @@ def test_edited_pairs_share_a_sketch():
         assert met >= 0.97 * 400, (n, met)
 
 
+def test_repeated_text_is_near_its_shingles(spark):
+    """A text printed twice, or with its first part over and over, has the shingles of the text."""
+    texts = [prose(50, 150), prose(51, 150), prose(52, 150)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(10, texts[0] + " " + texts[0], "en", "s", 0), (11, " ".join(texts[1].split()[:20] + [""]) * 30 + texts[1], "en", "s", 0)]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: 0, 10: 0, 1: 1, 11: 1, 2: 2}
+
+
 def test_large_group_stays_one_class(spark):
     base = prose(20, 120)
     group = [(i, edited(base, i, 0.02), "en", "s", 0) for i in range(60)]

@@ -4,7 +4,9 @@ Each distinct text is cut into k-mers of five and of two words, labelled by thei
 occurrence number. A sketch takes the two least k-mers under its own hash and
 keeps them in text order, so it agrees with a probability that follows edit
 similarity rather than set overlap. Texts that share one of 16 sketches of five
-words or of 32 of two, which find short and scattered edits, are candidates; a pair is a link when a banded alignment matches at least 0.8 of the
+words or of 32 of two, which find short and scattered edits, are candidates; a text
+that repeats five-word k-mers is sketched once more without the repeats, so it
+meets texts with the same shingles. A pair is a link when a banded alignment matches at least 0.8 of the
 words of the longer text, or when 0.8 of their five-word shingles are shared
 (which holds for texts whose passages changed places). Classes are the
 connected components of the links and of equal texts.
@@ -97,7 +99,7 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]
 
 def linked(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): digests of two different texts that are near duplicates."""
-    rows = frames.stored(docs.select("text").mapInArrow(_sketched, "sketch bigint, node binary, n int").distinct())
+    rows = frames.stored(docs.select("text").mapInArrow(_sketched, "sketch bigint, node binary, n int, d int").distinct())
     found = frames.stored(candidates(rows))
     near = frames.stored(_aligned(docs, found))
     large = frames.stored(_crossed(rows, frames.components(near)))
@@ -123,24 +125,24 @@ def _aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b): digests of texts that share a sketch and are close enough in length, each pair once; all pairs of small sketches."""
+    """(a, b): digests of texts that share a sketch and are close enough in words or in distinct shingles, each pair once; all pairs of small sketches."""
     shared = rows.groupBy("sketch").agg(F.count("*").alias("texts")).where("texts > 1")
     members = frames.stored(rows.join(shared, "sketch"))
     part = F.when(F.col("texts") <= _WHOLE, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("node", "sketch"), F.ceil(F.col("texts") / _SUBGROUP).cast("int")))
-    near = (members.groupBy("sketch", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("g"))
+    near = (members.groupBy("sketch", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("node", "n", "d"))).alias("g"))
             .select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(
                 F.slice("g", i + 2, F.greatest(F.size("g") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
             .select("p.x", "p.y"))
     # The original of many edits shares sketches with more of them than they do among themselves.
     large = members.where(F.col("texts") > _WHOLE)
     weight = large.groupBy("node").agg(F.sum("texts").alias("weight")).toDF("node", "weight")
-    hub = (large.join(weight, "node").groupBy("sketch").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
-           .select("sketch", F.struct("hub.node", "hub.n").alias("hub")).toDF("sketch", "hub"))
-    hubs = large.select("sketch", F.struct("node", "n").alias("own")).join(hub, "sketch").select(F.least("hub", "own").alias("x"), F.greatest("hub", "own").alias("y"))
+    hub = (large.join(weight, "node").groupBy("sketch").agg(F.max(F.struct("weight", "node", "n", "d")).alias("hub"))
+           .select("sketch", F.struct("hub.node", "hub.n", "hub.d").alias("hub")).toDF("sketch", "hub"))
+    hubs = large.select("sketch", F.struct("node", "n", "d").alias("own")).join(hub, "sketch").select(F.least("hub", "own").alias("x"), F.greatest("hub", "own").alias("y"))
     pairs = near.union(hubs).where(F.col("x.node") != F.col("y.node"))
-    close = F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n")
-    return pairs.where(close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    words, shingles = (F.least(f"x.{c}", f"y.{c}") >= SIMILARITY * F.greatest(f"x.{c}", f"y.{c}") for c in ("n", "d"))
+    return pairs.where(words | shingles).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _crossed(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -153,17 +155,17 @@ def _crossed(rows: DataFrame, roots: DataFrame) -> DataFrame:
     several = (members.groupBy("sketch", "root").agg(F.count("*").alias("own"))
                .groupBy("sketch").agg(F.max(F.struct("own", "root")).alias("most"), F.sum("own").alias("all")).where("all > most.own"))
     return (members.join(several, "sketch")
-            .select("sketch", "node", "n", "root", (F.col("root") != F.col("most.root")).alias("rare"), F.ceil(F.col("all") / _BLOCK).cast("int").alias("blocks"),
+            .select("sketch", "node", "n", "d", "root", (F.col("root") != F.col("most.root")).alias("rare"), F.ceil(F.col("all") / _BLOCK).cast("int").alias("blocks"),
                     F.ceil((F.col("all") - F.col("most.own")) / _BLOCK).cast("int").alias("rare_blocks")))
 
 
 def _across(large: DataFrame) -> DataFrame:
     """(a, b): pairs from different classes of a large sketch that the counts do not rule out, each once."""
-    keys = "sketch", "rare_block", "block"
+    keys, held = ("sketch", "rare_block", "block"), ("node", "n", "d", "root", "rare", "counts")
 
     def side(own: str, other: str, df: DataFrame) -> DataFrame:
         return (df.withColumn(own, F.pmod(F.xxhash64("node", "sketch"), own + "s").cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)))
-                .select(*keys, "node", "n", "root", "rare", "counts").toDF(*keys, "node", "n", "root", "rare", "counts"))
+                .select(*keys, *held).toDF(*keys, *held))
 
     return (side("rare_block", "block", large.where("rare")).groupBy(*keys)
             .cogroup(side("block", "rare_block", large).groupBy(*keys)).applyInArrow(_possible, "a binary, b binary").distinct())
@@ -181,12 +183,13 @@ def sketches(words: np.ndarray) -> np.ndarray:
         nth[order] = np.arange(len(grams)) - np.repeat(runs, np.diff(np.append(runs, len(grams))))
         labels = mixed(grams + nth * np.uint64(0xC2B2AE3D27D4EB4F))
         seeds = _SEEDS[:, done:done + count, None]
-        ranks = (labels ^ seeds[0]) * (seeds[1] | np.uint64(1))
-        least = ranks.argmin(1)
-        ranks[np.arange(count), least] = np.iinfo(np.uint64).max
-        second = ranks.argmin(1)
-        first, last = labels[np.minimum(least, second)], labels[np.maximum(least, second)]
-        out.append(mixed(first * np.uint64(0x9E3779B97F4A7C15) + mixed(last) + np.arange(done, done + count, dtype=np.uint64)))
+        for own in (labels, labels[nth == 0]) if k == WORDS and nth.any() else (labels,):
+            ranks = (own ^ seeds[0]) * (seeds[1] | np.uint64(1))
+            least = ranks.argmin(1)
+            ranks[np.arange(count), least] = np.iinfo(np.uint64).max
+            second = ranks.argmin(1)
+            first, last = own[np.minimum(least, second)], own[np.maximum(least, second)]
+            out.append(mixed(first * np.uint64(0x9E3779B97F4A7C15) + mixed(last) + np.arange(done, done + count, dtype=np.uint64)))
         done += count
     return np.concatenate(out)
 
@@ -199,16 +202,17 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, firsts = word_spans(part, own)
             digests = word_digests(part, starts, ends)
             raw = part.tobytes()
-            sketch, node, n = [], [], []
+            sketch, node, n, d = [], [], [], []
             for row in range(high - low):
                 words = digests[firsts[row]:firsts[row + 1]]
                 if len(words):
                     sketch.append(sketches(words))
                     node += [hashlib.md5(raw[own[row]:own[row + 1]]).digest()] * len(sketch[-1])
                     n += [len(words)] * len(sketch[-1])
+                    d += [len(np.unique(window_digests(words, min(WORDS, len(words)))))] * len(sketch[-1])
             if sketch:
                 yield pa.record_batch({"sketch": pa.array(np.concatenate(sketch).view(np.int64)),
-                                       "node": pa.array(node, pa.binary()), "n": pa.array(n, pa.int32())})
+                                       "node": pa.array(node, pa.binary()), "n": pa.array(n, pa.int32()), "d": pa.array(d, pa.int32())})
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +244,17 @@ def _possible(rare: pa.Table, every: pa.Table) -> pa.Table:
     if rare.num_rows and every.num_rows:
         nodes, roots, rares = (np.array(every.column(c).to_pylist(), object) for c in ("node", "root", "rare"))
         counts = np.stack([np.frombuffer(x, "<u2") for x in every.column("counts").to_pylist()])
-        grams, n = counts[:, _BINS:].sum(1, dtype=np.int64), every.column("n").to_numpy()
+        n, d = every.column("n").to_numpy(), every.column("d").to_numpy()
         once = rares.astype(bool)
-        for node, root, size, raw in zip(*(rare.column(c).to_pylist() for c in ("node", "root", "n", "counts")), strict=True):
+        for node, root, size, distinct, raw in zip(*(rare.column(c).to_pylist() for c in ("node", "root", "n", "d", "counts")), strict=True):
             other = np.flatnonzero((roots != root) & (~once | (nodes > node)))
-            other = other[np.minimum(n[other], size) >= SIMILARITY * np.maximum(n[other], size) - 1e-9]
+            other = other[(np.minimum(n[other], size) >= SIMILARITY * np.maximum(n[other], size) - 1e-9)
+                          | (np.minimum(d[other], distinct) >= SIMILARITY * np.maximum(d[other], distinct) - 1e-9)]
             if len(other):
                 own = np.frombuffer(raw, "<u2")
                 both = np.minimum(counts[other], own)
                 words, shared = both[:, :_BINS].sum(1, dtype=np.int64), both[:, _BINS:].sum(1, dtype=np.int64)
-                either = grams[other] + own[_BINS:].sum(dtype=np.int64) - shared
+                either = d[other] + distinct - shared
                 fits = (words >= SIMILARITY * np.maximum(n[other], size) - 1e-9) | (shared >= SIMILARITY * either - 1e-9)
                 found += [(min(node, x), max(node, x)) for x in nodes[other[fits]]]
     return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
