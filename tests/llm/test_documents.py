@@ -194,6 +194,14 @@ def test_packing(docs, empty, rows):
     assert residual_packing.packed(empty).count() == 0
 
 
+def test_packing_of_a_table_sorted_by_source(spark):
+    """Long and short documents in different partitions fill each other's sequences."""
+    pytest.importorskip("tokenizers")
+    rows = [(i, "a " * (54 if i < 400 else 44), "en", f"s{i // 400}", 0) for i in range(800)]
+    got = residual_packing.packed(spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), SCHEMA), capacity=100).collect()
+    assert {r.length for r in got} == {55, 45} and len({r.sequence_id for r in got}) <= 1.1 * 400
+
+
 def test_special_tokens_and_signs_are_encoded_as_in_the_whole_text():
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(residual_packing.tokenizer_path())

@@ -1,11 +1,14 @@
 """Hierarchical residual best-fit packing of token pieces into sequences.
 
-Pieces of full length are sequences of their own. Each partition packs the rest
-best-fit, longest first, and emits the bins that are nearly full; a bin that is
-not becomes an item of the next round, on an eighth of the partitions, until
-one partition is left. A partition passes on its least full bins only, at most
-`_PASSED` of them, so the partitions of every round are bounded however the
-lengths fall; the others are emitted as they are. A round writes where each item
+Pieces of full length are sequences of their own. The rest is dealt by a hash, so
+that each partition has the whole mix of lengths however the table is ordered.
+Each partition packs best-fit, longest first, and emits the bins that are nearly
+full; a bin that is not becomes an item of the next round, on an eighth of the
+partitions, until one partition is left. Best fit leaves one bin at most half full
+in a partition and no two others can merge, so later rounds save one bin a
+partition at most, by way of the bins with the most room: as many as there were
+partitions, or `_PASSED` if that is more, are passed on and lose nothing; the
+others are emitted as they are. A round writes where each item
 lies in its bin, and the places of pieces are these offsets added up.
 
 Null counts as an empty text. Only a text longer than a sequence is cut. Equal
@@ -178,7 +181,7 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return at, offset, fill
 
 
-def _round(capacity: int, number: int, slack: int, last: bool) -> Callable:
+def _round(capacity: int, number: int, slack: int, passed_on: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = list(batches)
         items = np.concatenate([b.column(0).to_numpy() for b in table]) if table else np.zeros(0, np.int64)
@@ -187,7 +190,7 @@ def _round(capacity: int, number: int, slack: int, last: bool) -> Callable:
         first = (number + 1 << 58) | (TaskContext.get().partitionId() << 32)
         full = np.asarray(fill, np.int64)
         underfull = np.flatnonzero(full < capacity - slack)
-        passed = underfull[np.argsort(full[underfull], kind="stable")][:0 if last else _PASSED]
+        passed = underfull[np.argsort(full[underfull], kind="stable")][:passed_on]
         n, m = len(items), len(passed)
         yield pa.record_batch({"item": pa.array(items, pa.int64()), "bin": pa.array(np.asarray(at, np.int64) + first, pa.int64()),
                                "place": pa.array(np.asarray(offset, np.int64)), "size": pa.array(sizes, pa.int64()), "open": pa.array([False] * n, pa.bool_())})
@@ -199,11 +202,12 @@ def _round(capacity: int, number: int, slack: int, last: bool) -> Callable:
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """`pieces` with `sequence_id` and the `offset` in that sequence, gapless from 0."""
     cut = frames.stored(pieces(docs, path, capacity, keep_ids).withColumn("item", F.monotonically_increasing_id()))
-    items = cut.where(F.col("length") < capacity).select("item", F.col("length").alias("size"))
     parts, rounds = cut.rdd.getNumPartitions(), []
+    items = cut.where(F.col("length") < capacity).select("item", F.col("length").alias("size")).repartition(parts, "item")
+    most = max(_PASSED, parts + 1)
     while True:
         number, last = len(rounds), parts <= 1
-        done = frames.stored(items.mapInArrow(_round(capacity, number, capacity // 256, last),
+        done = frames.stored(items.mapInArrow(_round(capacity, number, capacity // 256, 0 if last else most),
                                               "item bigint, bin bigint, place bigint, size bigint, open boolean"))
         rounds.append(done.where("not open").select("item", "bin", "place"))
         if last:
