@@ -99,10 +99,10 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]
 
 def linked(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): digests of two different texts that are near duplicates."""
-    rows = frames.stored(docs.select("text").mapInArrow(_sketched, "sketch bigint, node binary, n int, d int").distinct())
-    found = frames.stored(candidates(rows))
+    members = frames.stored(sharing(docs))
+    found = frames.stored(candidates(members))
     near = frames.stored(_aligned(docs, found))
-    large = frames.stored(_crossed(rows, frames.components(near)))
+    large = frames.stored(_crossed(members, frames.components(near)))
     if large.isEmpty():
         return near
     bounds = (docs.withColumn("node", _node("text")).join(large.select("node").distinct(), "node", "left_semi").select("text")
@@ -124,10 +124,16 @@ def _aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
             .applyInArrow(_verified, "a binary, b binary, similarity double"))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b): digests of texts that share a sketch and are close enough in words or in distinct shingles, each pair once; all pairs of small sketches."""
+def sharing(docs: DataFrame) -> DataFrame:
+    """(sketch, node, n, d, texts): texts that share a sketch, their words and distinct shingles, and how many share it."""
+    rows = frames.stored(docs.select("text").mapInArrow(_sketched, "node binary, n int, d int, sketches array<bigint>").dropDuplicates(["node"]))
+    rows = rows.select(F.explode(F.array_distinct("sketches")).alias("sketch"), "node", "n", "d")
     shared = rows.groupBy("sketch").agg(F.count("*").alias("texts")).where("texts > 1")
-    members = frames.stored(rows.join(shared, "sketch"))
+    return rows.join(shared.toDF("sketch", "texts"), "sketch")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b): digests of texts that share a sketch and are close enough in words or in distinct shingles, each pair once; all pairs of small sketches."""
     part = F.when(F.col("texts") <= _WHOLE, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("node", "sketch"), F.ceil(F.col("texts") / _SUBGROUP).cast("int")))
     near = (members.groupBy("sketch", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("node", "n", "d"))).alias("g"))
@@ -145,13 +151,12 @@ def candidates(rows: DataFrame) -> DataFrame:
     return pairs.where(words | shingles).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _crossed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _crossed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Texts of each large sketch that holds several classes: its largest class, and the rest, which meets all of them.
 
     `rare` marks the rest; `blocks` and `rare_blocks` are how many blocks all texts and the rest make.
     """
-    sizes = rows.groupBy("sketch").agg(F.count("*").alias("texts")).where(F.col("texts") > _WHOLE)
-    members = rows.join(sizes, "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = members.where(F.col("texts") > _WHOLE).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = (members.groupBy("sketch", "root").agg(F.count("*").alias("own"))
                .groupBy("sketch").agg(F.max(F.struct("own", "root")).alias("most"), F.sum("own").alias("all")).where("all > most.own"))
     return (members.join(several, "sketch")
@@ -207,12 +212,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = digests[firsts[row]:firsts[row + 1]]
                 if len(words):
                     sketch.append(sketches(words))
-                    node += [hashlib.md5(raw[own[row]:own[row + 1]]).digest()] * len(sketch[-1])
-                    n += [len(words)] * len(sketch[-1])
-                    d += [len(np.unique(window_digests(words, min(WORDS, len(words)))))] * len(sketch[-1])
+                    node.append(hashlib.md5(raw[own[row]:own[row + 1]]).digest())
+                    n.append(len(words))
+                    d.append(len(np.unique(window_digests(words, min(WORDS, len(words))))))
             if sketch:
-                yield pa.record_batch({"sketch": pa.array(np.concatenate(sketch).view(np.int64)),
-                                       "node": pa.array(node, pa.binary()), "n": pa.array(n, pa.int32()), "d": pa.array(d, pa.int32())})
+                ends = np.cumsum([0, *map(len, sketch)])
+                yield pa.record_batch({"node": pa.array(node, pa.binary()), "n": pa.array(n, pa.int32()), "d": pa.array(d, pa.int32()),
+                                       "sketches": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketch).view(np.int64)))})
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
