@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelint.llm import divergence_rules, license_dice, line_spread, order_minhash, page_content, piece_codec, prefix_trie, quality_bayes, repeat_blocks, residual_packing, topk_index
+from tidelint.llm import divergence_rules, lexical_search, license_dice, line_spread, order_minhash, page_content, piece_codec, pivot_neighbours, prefix_trie, quality_bayes, repeat_blocks, residual_packing, topk_index
 from tidelint.llm.frames import table
 
 
@@ -52,15 +52,23 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judged(table(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_neighbours.linked(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_top_k, op2_quality_bayes, op3_piece_codec, op4_line_spread, op5_license_scan, op6_near_duplicates, op7_residual_packing, op8_page_content,
-    op9_repeated_passages, op10_divergence_rules, op12_prefix_trie)}
+    op9_repeated_passages, op10_divergence_rules, op11_lexical_search, op12_prefix_trie, op13_pivot_neighbours)}
 
 SQL: dict[str, str] = {
     "op1_top_k": topk_index.SQL,
     "op4_line_spread": line_spread.SQL, "op5_license_scan": license_dice.SQL, "op10_divergence_rules": divergence_rules.SQL,
-    "op12_prefix_trie": prefix_trie.SQL}
+    "op11_lexical_search": lexical_search.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_pivot_neighbours": pivot_neighbours.SQL}
