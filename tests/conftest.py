@@ -12,8 +12,7 @@ def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[4]").appName("tidelint-tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g")
          .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.tidelint.layout", "whole").getOrCreate())
+         .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
@@ -23,6 +22,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(params=["whole", "split"])
 def layout(request, spark):
     """Every scan must give the same rows whole or cut into pieces."""
-    spark.conf.set("spark.tidelint.layout", request.param)
+    if request.param == "split":
+        spark.conf.set("spark.tidelint.pieceRows", "16")
     yield request.param
-    spark.conf.set("spark.tidelint.layout", "whole")
+    spark.conf.unset("spark.tidelint.pieceRows")

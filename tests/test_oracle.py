@@ -35,11 +35,11 @@ def test_whole(spark, con, name):
 
 @pytest.mark.parametrize("name", SPLIT)
 def test_split(spark, con, name):
-    spark.conf.set("spark.tidelint.layout", "split")
+    spark.conf.set("spark.tidelint.pieceRows", "40")
     try:
         got = entry.queries()[name](spark, str(DATA)).toPandas()
     finally:
-        spark.conf.set("spark.tidelint.layout", "whole")
+        spark.conf.unset("spark.tidelint.pieceRows")
     verdict = compare(got, con.execute(SQL[name]).df())
     assert verdict.startswith("ok"), verdict
 

@@ -42,12 +42,15 @@ def test_scans_match_pandas(spark, layout, data):
 
 
 def test_split_cuts_a_hot_series(spark, data):
-    spark.conf.set("spark.tidelint.layout", "split")
+    spark.conf.set("spark.tidelint.pieceRows", "50")
     try:
         s = ordered(frame(spark, data), "k", "t")
-        assert s.df.where("k = 'hot'").select("_piece").distinct().count() > 1
+        sizes = s.df.groupBy("k", "_piece").count().collect()
     finally:
-        spark.conf.set("spark.tidelint.layout", "whole")
+        spark.conf.unset("spark.tidelint.pieceRows")
+    hot = [r["count"] for r in sizes if r["k"] == "hot"]
+    assert 5 <= len(hot) <= 12 and max(hot) <= 120
+    assert all(r["_piece"] is None for r in sizes if r["k"] != "hot")
 
 
 def test_quantiles_are_exact_for_large_groups(spark, layout):
@@ -78,9 +81,7 @@ def defined_sigma(pop, win):
     return pd.Series(later, index=pop.index)
 
 
-@pytest.mark.parametrize("piece_rows", [50_000, 40])
-def test_rolling_sigma(spark, layout, data, monkeypatch, piece_rows):
-    monkeypatch.setattr(sg, "PIECE_ROWS", piece_rows)
+def test_rolling_sigma(spark, layout, data):
     gap = data.copy()
     gap.loc[(gap.k == "hot") & gap.t.between(0, 30), "v"] = np.nan        # windows without values
     win = {"hot": 31, "a": 12, "b": 5, "c": 30}
@@ -93,3 +94,45 @@ def test_rolling_sigma(spark, layout, data, monkeypatch, piece_rows):
     want["s"] = pd.concat([defined_sigma(g["v"], win[k]) for k, g in want.groupby("k")])
     assert len(got) == len(want)
     np.testing.assert_allclose(got["s"].astype(float), want["s"].astype(float))
+
+
+@pytest.mark.parametrize("n, win", [(1, 11), (40, 11), (500, 12), (501, 31), (300, 299)])
+def test_sliding_medians_and_deviations(n, win):
+    rng = np.random.default_rng(n + win)
+    v = rng.normal(5, 3, n).round(1)
+    v[rng.random(n) < 0.25] = np.nan
+    v[n // 3:n // 3 + win + 5] = np.where(rng.random(len(v[n // 3:n // 3 + win + 5])) < 0.5, 4.0, np.nan)     # constant stretches
+    windows = sg.Windows(v, win)
+    first = np.arange(n) - win + 1 + (win - 1) // 2
+    cuts = [v[max(a, 0):a + win] for a in first]
+    cuts = [c[np.isfinite(c)] for c in cuts]
+    np.testing.assert_allclose(windows.median(), [np.median(c) if len(c) >= 3 else np.nan for c in cuts])
+    want = np.array([np.std(c, ddof=1) if len(c) >= 3 else np.nan for c in cuts])
+    got = windows.deviation(np.arange(n))
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    flat = np.array([len(c) >= 3 and len(set(c)) == 1 for c in cuts])
+    assert (got[flat] == 0).all()
+
+
+def test_values_that_are_all_missing():
+    assert np.isnan(sg.local_spread(np.full(30, np.nan), 11)).all()
+
+
+def test_quantiles_with_other_aggregates(spark):
+    """Groups without a value, null keys and several columns come back from the one pass."""
+    pdf = pd.DataFrame({"k": ["a"] * 5 + ["b"] * 2 + [None] * 3, "v": [1.0, 2, 3, 4, np.nan, np.nan, np.nan, 7, 8, 9], "w": [5.0, 4, 3, 2, 1, 0, -1, np.nan, np.nan, 6]})
+    got = stats.group_quantiles(frame(spark, pdf), "k", {"m": (F.col("v"), 0.5), "q": (F.col("w"), 0.25)}, more={"n": F.count(F.lit(1))}).toPandas()
+    got = {(r.k if isinstance(r.k, str) else None): (r.m, r.q, r.n) for r in got.itertuples()}
+    assert got["a"] == (2.5, 2.0, 5) and got[None] == (8.0, 6.0, 3)
+    assert np.isnan(got["b"][0]) and got["b"][1:] == (-0.75, 2)
+
+
+def test_nothing_is_written_for_short_series(spark, data, monkeypatch):
+    """Building a query over short series counts them once and stores nothing."""
+    import tidelint.operators.ordering as o
+    monkeypatch.setattr(o, "shared_folder", None)
+    df = frame(spark, data)
+    cuts = o.measured(df, "k", "t")
+    assert cuts.none
+    s = ordered(df, "k", "t", cuts).scan(p=Prev("v")).scan(n=Next("p"))
+    assert s.rows.count() == len(data)

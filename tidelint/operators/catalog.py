@@ -213,7 +213,7 @@ def superseded(products: DataFrame, pairs: DataFrame, inputs: str = "inputs", ma
 def numbered_names(items: DataFrame, group: list[str], order: list[str], stem: Column, out: str = "name") -> DataFrame:
     """Product names; a number is added only where a group holds several."""
     s = ordered(items, group, order).scan(_i=Position())
-    rows = attach_aggregates(s.rows, group, {"_n": F.count(F.lit(1))})
+    rows = attach_aggregates(s.rows, group, {"_n": F.count(F.lit(1))}, s.cuts)
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("_"), (F.col("_i") + 1).cast("string"))).otherwise(F.lit(""))
     return rows.select(*items.columns, F.concat(stem, suffix, F.lit("_QLF")).alias(out))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
 from tidelint.operators.light import clock_phase, hours_from, temperature_peak_hour
-from tidelint.operators.ordering import Prev, RunningMax, attach, attach_aggregates, cut_lineage, ordered
+from tidelint.operators.ordering import Prev, RunningMax, attach, attach_aggregates, kept, ordered
 from tidelint.operators.qc_tests import c
 
 # Gates of the repairs.
@@ -63,7 +63,7 @@ def unfold_clock(df: DataFrame, keys, row: str, ts: str = "ts") -> DataFrame:
     s = ordered(work, [*keys, "_day"], row).scan(_pw=Prev("_w"))
     fell = F.coalesce(F.col("_w") < F.col("_pw"), F.lit(False)).cast("int")
     s = s.with_columns(_fell=fell).scan(_pm=RunningMax("_fell"))
-    rows = attach_aggregates(s.rows, keys, {"_first": F.min("_day")})
+    rows = attach_aggregates(s.rows, keys, {"_first": F.min("_day")}, s.cuts if s.cuts.bounds(keys) else None)
     first = F.col("_day") == F.col("_first")
 
     def stamp(pm: Column) -> Column:
@@ -85,7 +85,7 @@ def repair_collapsed(df: DataFrame, keys, row: str, ts: str = "ts", light: str =
     twelve hours early.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    both = cut_lineage(unfold_clock(df, keys, row, ts))      # judged three ways, then rewritten
+    both = kept(unfold_clock(df, keys, row, ts))      # judged three ways, then rewritten
     # both readings are judged in one pass, as two series
     halves = F.array(*[F.struct(F.lit(h).alias("half"), F.col(h).alias("t")) for h in ("am", "pm")])
     long = both.withColumn("_h", F.explode(halves))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelint.functions.flags import (BAD, DISMISSED, GOOD, MISSING, SUSPECT, UNKNOWN, flag)
 from tidelint.functions.timespec import micros
-from tidelint.operators.ordering import (Last, Next, Position, Prev, RunningSum, attach,
-                                         attach_aggregates, fits_whole, ordered, reusable)
+from tidelint.operators.batches import whole_groups
+from tidelint.operators.ordering import Position, Prev, attach, attach_aggregates, measured, ordered
 from tidelint.operators.qc_tests import CurrentLimits, c
 
 # Order of the digits in a current flag string.
@@ -121,7 +125,7 @@ def spread_depths(df: DataFrame, site: str, depth: str) -> DataFrame:
     """Up to four depths per site, evenly spread from shallow to deep."""
     d = df.select(site, c(depth).alias("depth")).where(F.col("depth").isNotNull()).distinct()
     s = ordered(d, site, "depth").scan(_i=Position())
-    rows = attach_aggregates(s.rows, site, {"_n": F.count(F.lit(1))})
+    rows = attach_aggregates(s.rows, site, {"_n": F.count(F.lit(1))}, s.cuts)
     last = F.col("_n") - 1
     wanted = [F.rint(last * k / (MAX_DEPTHS - 1)).cast("long") for k in range(MAX_DEPTHS)]
     keep = (F.col("_n") <= MAX_DEPTHS) | F.array_contains(F.array(*wanted), F.col("_i"))
@@ -153,61 +157,155 @@ def transit_windows(df: DataFrame, keys, by, depth: str, ts: str = "ts", rate: f
     A sample is fast when the net displacement to the last sample within two
     minutes (at least the next one) exceeds the rate. Runs of fast samples, and
     runs at most two minutes apart, form one window, which is kept when its
-    depth range is large enough.
+    depth range is large enough. ``by`` orders samples of equal time.
+
+    Rows are shuffled once: a piece of a series also gets the samples of the two
+    minutes after it and the one that follows. It returns its runs, with the
+    depth range of each and of the rows between them; those few rows are joined in
+    order over the pieces of a series.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    by = [by] if isinstance(by, str) else list(by)
-    t = micros(F.col(ts))
-    s = ordered(df.withColumns({"_t": t, "_z": c(depth)}), keys, by)
-    me = F.struct(F.col("_t").alias("t"), F.col("_z").alias("z"))
-    s = s.with_columns(_me=me).scan(_pos=Position(), _nx=Next("_me"))
-    rows = s.rows
-    span = reach_s * 1000000
-    if fits_whole(df):
-        w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(0, span)
-        rows = rows.withColumn("_far", F.max(F.struct("_pos", "_me")).over(w))
-    else:
-        # the last sample before a probe two minutes ahead of each sample
-        rows = reusable(rows)
-        seen = rows.select(*keys, F.col("_t").alias("_at"), F.lit(0).alias("_kind"), "_pos", F.struct("_pos", "_me").alias("_cand"))
-        probe = rows.select(*keys, (F.col("_t") + span).alias("_at"), F.lit(1).alias("_kind"), "_pos")
-        u = ordered(probe.unionByName(seen, allowMissingColumns=True), keys, ("_at", "_kind", "_pos")).scan(_far=Last("_cand"))
-        rows = attach(rows, u.rows.where("_kind = 1").select(*keys, "_pos", "_far"), [*keys, "_pos"])
-    ahead = F.when(F.col("_far._pos") > F.col("_pos"), F.col("_far")).otherwise(
-        F.struct((F.col("_pos") + 1).alias("_pos"), F.col("_nx").alias("_me")))
-    rows = rows.withColumn("_pt", ahead)
-    elapsed = (F.col("_pt._me.t") - F.col("_t")) / 6e7
-    net = F.coalesce(F.abs(F.col("_pt._me.z") - F.col("_z")), F.lit(0.0))
-    fast = F.coalesce((elapsed > 0) & (net >= rate * elapsed), F.lit(False))
-    s = ordered(rows.withColumn("_fast", fast), keys, by).scan(_pf=Prev("_fast"))
-    # a run of fast samples reaches the partner of the first sample after it
-    opens = F.col("_fast") & ~F.coalesce("_pf", F.lit(False))
-    s = s.with_columns(_open=opens.cast("long")).scan(_run=RunningSum("_open"))
-    rows = s.rows
-    closes = ~F.col("_fast") & F.coalesce("_pf", F.lit(False))
-    ends = rows.where(closes).select(*keys, "_run", F.greatest("_pos", F.coalesce("_pt._pos", F.col("_pos"))).alias("_to"))
-    starts = rows.where("_open = 1").select(*keys, "_run", F.col("_pos").alias("_from"), F.col("_t").alias("_t0"))
-    tail = df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_end"))
-    runs = attach(attach(starts, ends, [*keys, "_run"]), tail, keys)
-    runs = runs.withColumn("_to", F.least(F.coalesce("_to", F.col("_end")), F.col("_end")))
-    at = rows.select(*keys, F.col("_pos").alias("_to"), F.col("_t").alias("_t1"))
-    runs = attach(runs, at, [*keys, "_to"])
-    r = ordered(runs, keys, "_run").scan(_last=Last("_t1", inclusive=False))
-    new = F.coalesce(F.col("_t0") - F.col("_last") > span, F.lit(True))
-    r = r.with_columns(_new=new.cast("long")).scan(_win=RunningSum("_new"))
-    # a joined window ends where its last run ends
-    wins = r.rows.groupBy(*keys, "_win").agg(F.min("_from").alias("first_pos"), F.max_by("_to", "_run").alias("last_pos"))
-    return _window_ranges(rows.select(*keys, "_pos", "_z", "_t"), wins, keys, amplitude)
-
-
-def _window_ranges(rows: DataFrame, wins: DataFrame, keys: list[str], amplitude: float) -> DataFrame:
-    """Depth range inside each window, by carrying the open window along."""
-    marks = attach(rows, wins.select(*keys, F.col("first_pos").alias("_pos"),
-                                     F.struct(F.col("_win").alias("w"), F.col("last_pos").alias("e")).alias("_m")),
-                   [*keys, "_pos"])
-    s = ordered(marks, keys, "_pos").scan(_in=Last("_m"))
-    inside = s.rows.where(F.col("_pos") <= F.col("_in.e"))
-    g = inside.groupBy(*keys, F.col("_in.w").alias("_win")).agg(
-        F.min("_pos").alias("first_pos"), F.max("_pos").alias("last_pos"),
-        (F.max("_z") - F.min("_z")).alias("depth_range"))
-    return g.where(F.col("depth_range") >= amplitude).select(*keys, "first_pos", "last_pos", "depth_range")
+    by = [x for x in ([by] if isinstance(by, str) else list(by)) if x != ts]
+    span = reach_s * 1_000_000
+    work = df.select(*[c(k) for k in keys], *[c(x) for x in by], micros(F.col(ts)).alias("_t"), c(depth).cast("double").alias("_z"))
+    order = ("_t", *by)
+    group = [*keys, "_part"]
+    pieces = measured(work, keys, order).spread(work, "_t", span, "_part")
+    kinds = {f.name: f.dataType.simpleString() for f in work.schema.fields}
+    names = [f"`{k}` {kinds[k]}" for k in keys]
+    runs = (pieces.repartition(*group).sortWithinPartitions(*group, *order).select(*group, "_own", "_t", "_z")
+            .mapInArrow(_runs_of(keys, rate, span), ", ".join([*names, *_RUN])))
+    return (runs.repartition(*keys).sortWithinPartitions(*keys, "piece", "number")
+            .mapInArrow(_joined(keys, span, amplitude), ", ".join([*names, "first_pos bigint, last_pos bigint, depth_range double"])))
+
+
+_RUN = ("piece bigint", "number int", "kind int", "first bigint", "last bigint", "t0 bigint", "t1 bigint",
+        "low double", "high double", "gap_low double", "gap_high double")
+_CLOSED, _OPEN, _HEAD, _END = range(4)      # a run that ends in its piece, one that does not, where one open before ends, the piece's end
+
+
+def _runs_of(keys: list[str], rate: float, span: int) -> Callable:
+    def extent(z: np.ndarray, a: int, b: int) -> tuple[float | None, float | None]:
+        part = z[a:b]
+        part = part[~np.isnan(part)]
+        return (float(part.min()), float(part.max())) if len(part) else (None, None)
+
+    def events(t: np.ndarray, known: np.ndarray, z: np.ndarray, own: int) -> Iterator[tuple]:
+        """Rows of _RUN after piece and number, in order, of a piece whose first ``own`` rows are its own."""
+        row = np.arange(own)
+        far = np.searchsorted(t, t[:own] + span, "right") - 1
+        far = np.where(far > row, far, row + 1)
+        partner = np.minimum(far, len(t) - 1)
+        elapsed = np.where((far < len(t)) & known[:own], (t[partner] - t[:own]) / 6e7, 0)
+        net = np.nan_to_num(np.abs(z[partner] - z[:own]))
+        fast = (elapsed > 0) & (net >= rate * elapsed)
+        change = np.flatnonzero(np.diff(np.concatenate([[False], fast, [False]]).astype(np.int8)))
+        if own and not fast[0]:
+            yield _HEAD, 0, int(partner[0]), None, int(t[partner[0]]), *extent(z, 0, int(partner[0]) + 1), None, None
+        behind = 0
+        for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
+            gap = extent(z, behind, a)
+            if b == own:
+                yield _OPEN, a, own - 1, int(t[a]), int(t[own - 1]), *extent(z, a, own), *gap
+                behind = own
+            else:
+                last = int(partner[b])
+                yield _CLOSED, a, last, int(t[a]), int(t[last]), *extent(z, a, last + 1), *gap
+                behind = last + 1
+        yield _END, 0, own, None, int(t[own - 1]), None, None, *extent(z, behind, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, [*keys, "_part"]):
+            out = []
+            known = np.asarray(table.column("_t").is_valid())
+            t = table.column("_t").combine_chunks().fill_null(-2**62).to_numpy()
+            z = table.column("_z").to_pandas().to_numpy(dtype="float64")
+            own = np.asarray(table.column("_own").to_pylist(), bool)
+            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                size = int(own[a:b].sum())
+                if size:
+                    head = [table.column(k)[a].as_py() for k in keys]
+                    piece = table.column("_part")[a].as_py()
+                    out += [(*head, piece, i, *e) for i, e in enumerate(events(t[a:b], known[a:b], z[a:b], size))]
+            if out:
+                columns = list(zip(*out, strict=True))
+                arrays = [pa.array(x, table.schema.field(k).type) for k, x in zip(keys, columns, strict=False)]
+                types = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 4]
+                arrays += [pa.array(x, kind) for x, kind in zip(columns[len(keys):], types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *[x.split()[0] for x in _RUN]])
+    return run
+
+
+class _Transits:
+    """The windows of one series from the runs of its pieces, in order."""
+
+    def __init__(self, span: int, amplitude: float):
+        self.span, self.amplitude = span, amplitude
+        self.offset, self.end, self.end_t = 0, -1, 0
+        self.open: list | None = None           # first, last, t0, t1, low, high, gap
+        self.window: list | None = None         # first, last, t1, low, high
+        self.gap: list[float] = []
+        self.found: list[tuple[int, int, float]] = []
+
+    def add(self, kind, first, last, t0, t1, low, high, gap_low, gap_high) -> None:
+        reach = [x for x in (low, high) if x is not None]
+        gap = [x for x in (gap_low, gap_high) if x is not None]
+        if kind == _END:
+            self.gap += gap
+            self.offset, self.end, self.end_t = self.offset + last, self.offset + last - 1, t1
+        elif kind == _HEAD:
+            if self.open:
+                self._close(self.offset + last, t1, reach)
+        else:
+            if self.open and first == 0:
+                self.open[3] += reach
+            else:
+                self.open = [self.offset + first, t0, self.gap + gap, reach]
+                self.gap = []
+            if kind == _CLOSED:
+                self._close(self.offset + last, t1, [])
+
+    def _close(self, last: int, t1: int, reach: list[float]) -> None:
+        first, t0, gap, own = self.open
+        self.open, own = None, own + reach
+        if self.window and t0 - self.window[2] <= self.span:
+            self.window[1:] = [last, t1, self.window[3] + gap + own]
+        else:
+            self._flush()
+            self.window = [first, last, t1, own]
+        self.window[3] = [min(self.window[3]), max(self.window[3])] if self.window[3] else []
+
+    def _flush(self) -> None:
+        if self.window and self.window[3] and self.window[3][1] - self.window[3][0] >= self.amplitude:
+            self.found.append((self.window[0], self.window[1], self.window[3][1] - self.window[3][0]))
+        self.window = None
+
+    def finish(self) -> list[tuple[int, int, float]]:
+        if self.open:
+            self._close(self.end, self.end_t, [])
+        self._flush()
+        return self.found
+
+
+def _joined(keys: list[str], span: int, amplitude: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, state, kinds = None, None, None
+
+        def made() -> pa.RecordBatch:
+            rows = [(*head, *w) for w in state.finish()]
+            columns = list(zip(*rows, strict=True)) or [[]] * (len(keys) + 3)
+            types = [*kinds, pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, types, strict=True)], names=[*keys, "first_pos", "last_pos", "depth_range"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if row[:len(keys)] != head:
+                    if state:
+                        yield made()
+                    head, state = row[:len(keys)], _Transits(span, amplitude)
+                state.add(*row[len(keys) + 2:])
+        if state:
+            yield made()
+    return run
+

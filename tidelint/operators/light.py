@@ -94,13 +94,13 @@ def fouling_baseline(df: DataFrame, keys, ts: str = "ts", light: str = "lux", ba
     work = F.col("peak") / clear_sky_factor(F.col("day"), latitude) if latitude is not None else F.col("peak")
     s = ordered(peaks.withColumn("_w", work), keys, "day").scan(_rn=Position())
     rows = attach_aggregates(s.rows, keys, {
-        "_days": F.count(F.lit(1)), "_base": F.max(F.when(F.col("_rn") < baseline_days, F.col("_w")))})
+        "_days": F.count(F.lit(1)), "_base": F.max(F.when(F.col("_rn") < baseline_days, F.col("_w")))}, s.cuts)
     limit = cutoff_fraction * F.col("_base")
     below = F.col("_w") < limit
     rows = rows.withColumn("_below", below)
     rows = attach_aggregates(rows, keys, {
         "_last_ge": F.max(F.when(~F.col("_below"), F.col("_rn"))),
-        "_first_lt": F.min(F.when(F.col("_below"), F.col("_rn")))})
+        "_first_lt": F.min(F.when(F.col("_below"), F.col("_rn")))}, s.cuts)
     after = F.col("_rn") >= F.col("_first_lt")
     start = F.coalesce(F.col("_last_ge") + 1, F.lit(0))
     g = rows.groupBy(*keys).agg(

@@ -1,86 +1,154 @@
 """Ordered evaluation over many series, exact when one series is most of the data.
 
-A window partitioned by series puts a whole series into one task. That is the
-right plan while the input is small enough to prove that no series can be too
-large, and the wrong one when a single series may hold a third of the table.
-``ordered`` therefore picks one of two layouts:
-
-* whole: the summed size of the plan's inputs is under a limit, so every
-  series fits a task and plain windows over the series are used;
-* split: the rows are range-partitioned on (series, order) - which cuts a hot
-  series into as many pieces as it needs - the piece number is stored with the
-  rows, and every scan runs inside (series, piece). What a piece needs from
-  its neighbours is carried over by one small summary row per (series, piece).
-
-Both layouts give identical rows; tests run every scan in both.
+A window partitioned by series puts a whole series into one task, which cannot
+be when a series holds a third of the table. ``ordered`` therefore counts the
+rows of every series first, in one aggregate. A series of at most
+``spark.tidelint.pieceRows`` rows is one piece; a longer one is cut at borders
+that a sample of its order gives. The borders are literals: at most 65,536 of
+them in all, so that pieces grow with a table that needs more, and they never
+change when a task is run again. Nothing else runs while a query is built.
+
+A scan runs inside (series, piece). What a piece needs of those before or
+after it is an associative summary, one row a piece, which is scanned in turn
+and joined back to the rows of long series. As there are no more pieces than
+borders, that table is broadcast. Rows are shuffled once, whatever the number
+of scans. Only where series are long, rows that are read twice after an earlier
+scan are written to the shared folder first.
 """
 
 from __future__ import annotations
 
-import math
 import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LAYOUT_CONF = "spark.tidelint.layout"                 # auto | whole | split
-WHOLE_BYTES_CONF = "spark.tidelint.wholeSeriesBytes"
-SPLIT_BYTES_CONF = "spark.tidelint.splitTargetBytes"
-WHOLE_BYTES = 256 * 1024 * 1024
-SPLIT_BYTES = 128 * 1024 * 1024
+PIECE_ROWS_CONF = "spark.tidelint.pieceRows"
+PIECE_ROWS = 500_000
 PIECE = "_piece"
+_MOST_PIECES = 65_536
+_DRAWN = 16                 # sampled rows a border
+_FAN = 256                  # borders are looked up in two steps of at most this many
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Summed size of the plan's leaves as Catalyst estimates it; no job runs.
+@dataclass(frozen=True)
+class Cuts:
+    """Where the long series of a frame are cut: their keys and borders, None when there are no long series."""
+    keys: tuple[str, ...]
+    by: tuple[str, ...]
+    table: DataFrame | None
+    rows: int = PIECE_ROWS
+    position: bool = False
+
+    @property
+    def none(self) -> bool:
+        return self.table is None
+
+    def bounds(self, keys) -> bool:
+        """True when every group of ``keys`` is known to fit one piece."""
+        return self.none and set(self.keys) <= set(keys)
+
+    def at(self, position: str) -> Cuts:
+        """The same series cut at every ``rows``-th row number, for rows in the order of their number."""
+        return Cuts(self.keys, (position,), self.table, self.rows, True)
+
+    def spread(self, df: DataFrame, t: str, span: int, out: str) -> DataFrame:
+        """Rows with a piece (``out``) and whether it is their own (``_own``).
 
-    Python-made frames report an unknown (huge) size, which selects the split
-    layout unless the session says otherwise.
+        A row of a long series is sent to its own piece, to those whose last row is at most
+        ``span`` before it in ``t``, the first column of the order, and to the
+        one before if it is the first of its own.
+        """
+        if self.none:
+            return df.withColumns({out: F.lit(0).cast("bigint"), "_own": F.lit(True)})
+        both = df.alias("a").join(F.broadcast(self.table).alias("b"), _same("a", "b", self.keys), "left").select("a.*", F.flatten("b._b").alias("_b"))
+        at = F.struct(*[_c(n) for n in self.by])
+        piece = F.coalesce(F.size(F.filter("_b", lambda b: b <= at)), F.lit(0))
+        near = F.coalesce(F.size(F.filter("_b", lambda b: b[t] < _c(t) - span)), F.lit(0))
+        begins = F.coalesce(F.exists("_b", lambda b: b.eqNullSafe(at)), F.lit(False)).cast("int")
+        rows = both.withColumns({"_p": F.when(F.col("_b").isNull(), 0).otherwise(piece), "_near": near, "_begins": begins})
+        first = F.when(F.col("_b").isNull(), 0).otherwise(F.least("_near", F.col("_p") - F.col("_begins")))
+        return (rows.withColumn(out, F.explode(F.sequence(first.cast("bigint"), F.col("_p").cast("bigint"))))
+                .withColumn("_own", F.col(out) == F.col("_p")).drop("_b", "_p", "_near", "_begins"))
+
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """Rows with the number of their piece; null in a series of one piece."""
+        if self.none:
+            return df
+        at = F.struct(*[_c(n) for n in self.by])
+        group = F.size(F.filter("_b", lambda g: g[0] <= at))
+        inside = F.size(F.filter(F.element_at("_b", group), lambda b: b <= at))
+        number = F.floor(_c(self.by[0]) / self.rows) if self.position else F.when(group == 0, F.lit(0)).otherwise((group - 1) * _FAN + inside)
+        piece = F.when(F.col("_b").isNotNull(), number)
+        both = df.alias("a").join(F.broadcast(self.table).alias("b"), _same("a", "b", self.keys), "left")
+        return both.select("a.*", piece.cast("long").alias(PIECE))
+
+
+def _c(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _same(a: str, b: str, keys) -> Column:
+    """Join condition on keys, where null equals null. Keys of ``b`` carry the prefix ``_k_``."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`_k_{k}`"))
+    return out
+
+
+def piece_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(PIECE_ROWS_CONF, str(PIECE_ROWS)))
+
+
+def measured(df: DataFrame, keys, by) -> Cuts:
+    """Count the series of ``df`` and draw borders for the long ones.
+
+    One aggregate that returns one row; where series are long, two more that
+    return their keys and borders. Without ``by`` groups are only counted.
     """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        stored = _STORED.get((df.sparkSession.sparkContext.applicationId, leaf.rdd().id())) if leaf.nodeName().startswith("LogicalRDD") else None
-        total += stored if stored is not None else int(str(leaf.stats().sizeInBytes()))
-    return total
-
-
-# sizes of stored frames, by application and the id of their rows: the statistics a checkpoint
-# keeps come from join estimates, which multiply
-_STORED: dict[tuple[str, int], int] = {}
-_UNKNOWN = 2 ** 60
-_MOST_PIECES = 1_000_000
-
-
-def fits_whole(df: DataFrame) -> bool:
-    """True when no group of ``df`` can exceed one task's share."""
-    conf = df.sparkSession.conf
-    mode = conf.get(LAYOUT_CONF, "auto")
-    if mode != "auto":
-        return mode == "whole"
-    return input_bytes(df) <= int(conf.get(WHOLE_BYTES_CONF, str(WHOLE_BYTES)))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names."""
-    ready_checkpoints(df.sparkSession)
-    size = input_bytes(df)
-    stored = df.checkpoint()
-    leaves = stored._jdf.queryExecution().analyzed().collectLeaves()
-    _STORED[df.sparkSession.sparkContext.applicationId, leaves.apply(0).rdd().id()] = size
-    return stored
-
-
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Stores go to the folder in spark.checkpoint.dir; only a local session may do without."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+    keys = (keys,) if isinstance(keys, str) else tuple(keys)
+    by = (by,) if isinstance(by, str) else tuple(by)
+    rows = piece_rows(df)
+    sizes = df.groupBy(*[_c(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if (longest or 0) <= rows:
+        return Cuts(keys, by, None)
+    rows = max(rows, -(-total // _MOST_PIECES))
+    long = sizes.where(F.col("_n") > rows).select(*[F.col(f"`_k_{k}`") for k in keys], F.ceil(F.col("_n") / rows).alias("_pieces"), "_n")
+    if longest <= rows:
+        return Cuts(keys, by, None)
+    long = df.sparkSession.createDataFrame(long.collect(), long.schema)
+    if not by:
+        return Cuts(keys, by, long, rows)
+    drawn = df.alias("a").join(F.broadcast(long).alias("b"), _same("a", "b", keys))
+    # rows of equal keys and order are drawn together, so a border never depends on how a task was run
+    dice = F.pmod(F.xxhash64(*[F.col(f"a.`{n}`") for n in (*keys, *by)]), F.lit(1 << 40))
+    drawn = drawn.where(dice < F.lit(float(1 << 40)) * _DRAWN * F.col("b._pieces") / F.col("b._n")).select(
+        *[F.col(f"b.`_k_{k}`") for k in keys], F.struct(*[F.col(f"a.`{n}`") for n in by]).alias("_at"))
+    order = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_at")
+    border = drawn.withColumn("_i", F.row_number().over(order)).where(F.col("_i") % _DRAWN == 0)
+    found = border.groupBy(*[f"_k_{k}" for k in keys]).agg(F.array_sort(F.collect_set("_at")).alias("_b"))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_b") / _FAN).cast("int") - 1), lambda i: F.slice("_b", i * _FAN + 1, F.lit(_FAN)))
+    found = found.withColumn("_b", chunks)
+    return Cuts(keys, by, df.sparkSession.createDataFrame(found.collect(), found.schema), rows)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; only a local session may do without."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        if shared is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelint-ckpt-"))
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelint-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, for plans that read it twice."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 @dataclass(frozen=True)
@@ -134,49 +202,39 @@ def _col(value: Column | str) -> Column:
 class Ordered:
     """Rows of many series with a total order inside each series."""
 
-    def __init__(self, df: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], split: bool):
-        self.df, self.keys, self.by, self.split = df, keys, by, split
+    def __init__(self, df: DataFrame, cuts: Cuts, scanned: bool = False):
+        self.df, self.cuts, self.scanned = df, cuts, scanned
 
     @property
     def rows(self) -> DataFrame:
-        return self.df.drop(PIECE) if self.split else self.df
+        return self.df.drop(PIECE)
 
     def _window(self, descending: bool = False):
-        part = self.keys + ((PIECE,) if self.split else ())
-        order = [F.col(c).desc() if descending else F.col(c).asc() for c in self.by]
+        part = [_c(k) for k in self.cuts.keys] + ([] if self.cuts.none else [F.col(PIECE)])
+        order = [_c(n).desc() if descending else _c(n).asc() for n in self.cuts.by]
         return Window.partitionBy(*part).orderBy(*order)
 
     def with_columns(self, **columns: Column) -> Ordered:
-        return Ordered(self.df.withColumns(columns), self.keys, self.by, self.split)
+        return Ordered(self.df.withColumns(columns), self.cuts, self.scanned)
 
     def scan(self, **scans: Scan) -> Ordered:
-        """Add one column per scan; all scans of a call share the sorts.
-
-        A split scan reads its input twice (rows and summaries), so an input
-        that is not stored yet - an earlier scan - is stored first.
-        """
-        if self.split:
-            self = Ordered(reusable(self.df), self.keys, self.by, True)
+        """Add one column per scan; all scans of a call share the sorts."""
         up, down = self._window(), self._window(True)
-        local = self.df.select("*", *[self._local(s, up, down).alias(n) for n, s in scans.items()])
-        if not self.split:
-            return Ordered(local, self.keys, self.by, False)
-        local = local.withColumn("_first", F.row_number().over(up) == 1)
-        if any(isinstance(s, Next) for s in scans.values()):
-            local = local.withColumn("_last", F.row_number().over(down) == 1)
-        carried = self._carry(scans)
-        join = [F.col(f"a.{k}") == F.col(f"b._k_{k}") for k in self.keys]
-        join.append(F.col(f"a.{PIECE}") == F.col("b._k_piece"))
-        both = local.alias("a").join(carried.alias("b"), join, "left")
-        kept = [F.col(f"a.`{c}`") for c in self.df.columns]
-        done = both.select(*kept, *[self._merge(s, n).alias(n) for n, s in scans.items()])
-        return Ordered(done, self.keys, self.by, True)
-
-    def _local(self, s: Scan, up, down) -> Column:
-        if isinstance(s, Prev):
-            return F.lag(_col(s.value)).over(up)
-        if isinstance(s, Next):
-            return F.lead(_col(s.value)).over(up)
+        if self.cuts.none:
+            return Ordered(self.df.select("*", *[self._local(s, up, down).alias(n) for n, s in scans.items()]), self.cuts, True)
+        if self.scanned:
+            self = Ordered(kept(self.df), self.cuts, True)
+        local = self.df.select("*", *[self._local(s, up, down, True).alias(n) for n, s in scans.items()])
+        both = local.alias("a").join(F.broadcast(self._carry(scans)).alias("b"),
+                                     _same("a", "b", self.cuts.keys) & (F.col(f"a.{PIECE}") == F.col(f"b._k_{PIECE}")), "left")
+        done = both.select(*[F.col(f"a.`{c}`") for c in self.df.columns], *[self._merge(s, n).alias(n) for n, s in scans.items()])
+        return Ordered(done, self.cuts, True)
+
+    def _local(self, s: Scan, up, down, wrapped: bool = False) -> Column:
+        if isinstance(s, (Prev, Next)):
+            # wrapped in a struct, a null neighbour is not mistaken for the end of a piece
+            v = F.struct(_col(s.value).alias("v")) if wrapped else _col(s.value)
+            return (F.lag if isinstance(s, Prev) else F.lead)(v).over(up)
         if isinstance(s, Position):
             return (F.row_number().over(up) - 1).cast("long")
         if isinstance(s, RunningSum):
@@ -187,11 +245,11 @@ class Ordered:
         # a frame open at the far end is re-evaluated per row, so looking ahead
         # is a descending sort with a growing frame instead
         order = up if isinstance(s, Last) else down
-        return F.last(_col(s.value), ignorenulls=True).over(
-            order.rowsBetween(Window.unboundedPreceding, reach))
+        return F.last(_col(s.value), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, reach))
 
     def _carry(self, scans: dict[str, Scan]) -> DataFrame:
-        at = F.struct(*self.by)
+        """One row per piece of a long series: what it takes from the pieces before or after it."""
+        at = F.struct(*[_c(n) for n in self.cuts.by])
         sums = []
         for name, s in scans.items():
             if isinstance(s, Position):
@@ -200,22 +258,21 @@ class Ordered:
                 e = F.sum(_col(s.value))
             elif isinstance(s, RunningMax):
                 e = F.max(_col(s.value))
-            elif isinstance(s, Prev):
-                e = F.max_by(F.struct(_col(s.value).alias("v")), at)
-            elif isinstance(s, Next):
-                e = F.min_by(F.struct(_col(s.value).alias("v")), at)
+            elif isinstance(s, (Prev, Next)):
+                e = (F.max_by if isinstance(s, Prev) else F.min_by)(F.struct(_col(s.value).alias("v")), at)
             else:
                 v = _col(s.value)
-                pick = F.max_by if isinstance(s, Last) else F.min_by
-                e = pick(v, F.when(v.isNotNull(), at))
+                e = (F.max_by if isinstance(s, Last) else F.min_by)(v, F.when(v.isNotNull(), at))
             sums.append(e.alias(f"_s_{name}"))
-        pieces = self.df.groupBy(*self.keys, PIECE).agg(*sums)
-        up = Window.partitionBy(*self.keys).orderBy(PIECE)
-        down = Window.partitionBy(*self.keys).orderBy(F.col(PIECE).desc())
+        names = [f"_k_{k}" for k in self.cuts.keys]
+        pieces = (self.df.where(F.col(PIECE).isNotNull())
+                  .groupBy(*[_c(k).alias(n) for k, n in zip(self.cuts.keys, names, strict=True)], F.col(PIECE).alias(f"_k_{PIECE}")).agg(*sums))
+        up = Window.partitionBy(*[_c(n) for n in names]).orderBy(f"_k_{PIECE}")
+        down = Window.partitionBy(*[_c(n) for n in names]).orderBy(F.col(f"_k_{PIECE}").desc())
         before = (Window.unboundedPreceding, -1)
-        out = [F.col(k).alias(f"_k_{k}") for k in self.keys] + [F.col(PIECE).alias("_k_piece")]
+        out = [_c(n) for n in names] + [F.col(f"_k_{PIECE}")]
         for name, s in scans.items():
-            v = F.col(f"_s_{name}")
+            v = F.col(f"`_s_{name}`")
             if isinstance(s, (Position, RunningSum)):
                 e = F.sum(v).over(up.rowsBetween(*before))
             elif isinstance(s, RunningMax):
@@ -224,19 +281,15 @@ class Ordered:
                 e = F.lag(v).over(up)
             elif isinstance(s, Next):
                 e = F.lead(v).over(up)
-            elif isinstance(s, Last):
-                e = F.last(v, ignorenulls=True).over(up.rowsBetween(*before))
             else:
-                e = F.last(v, ignorenulls=True).over(down.rowsBetween(*before))
+                e = F.last(v, ignorenulls=True).over((up if isinstance(s, Last) else down).rowsBetween(*before))
             out.append(e.alias(f"_c_{name}"))
         return pieces.select(*out)
 
     def _merge(self, s: Scan, name: str) -> Column:
         here, carried = F.col(f"a.`{name}`"), F.col(f"b.`_c_{name}`")
-        if isinstance(s, Prev):
-            return F.when(F.col("a._first"), carried["v"]).otherwise(here)
-        if isinstance(s, Next):
-            return F.when(F.col("a._last"), carried["v"]).otherwise(here)
+        if isinstance(s, (Prev, Next)):
+            return F.coalesce(here, carried)["v"]
         if isinstance(s, Position):
             return here + F.coalesce(carried, F.lit(0))
         if isinstance(s, RunningSum):
@@ -247,33 +300,19 @@ class Ordered:
         return F.coalesce(here, carried)
 
 
-def ordered(df: DataFrame, keys, by) -> Ordered:
-    """Lay ``df`` out for scans. ``by`` must be a total order inside ``keys``."""
+def ordered(df: DataFrame, keys, by, cuts: Cuts | None = None) -> Ordered:
+    """Lay ``df`` out for scans. ``by`` must be a total order inside ``keys``.
+
+    ``cuts`` are those of an earlier call on the same rows, or of rows that these
+    are some of; with other keys or another order they only serve when they show that no series is long.
+    """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     by = (by,) if isinstance(by, str) else tuple(by)
-    if fits_whole(df):
-        return Ordered(df, keys, by, False)
-    size = input_bytes(df)
-    conf = df.sparkSession.conf
-    shuffle = int(conf.get("spark.sql.shuffle.partitions"))
-    target = int(conf.get(SPLIT_BYTES_CONF, str(SPLIT_BYTES)))
-    # sizes past an exabyte mean "unknown" in Catalyst
-    pieces = shuffle if size > _UNKNOWN else min(max(shuffle, math.ceil(size / target)), _MOST_PIECES)
-    cut = (df.repartitionByRange(pieces, *keys, *by)
-           .withColumn(PIECE, F.spark_partition_id().cast("long")))
-    # the stored piece number must not change if a task is run again
-    return Ordered(cut_lineage(cut), keys, by, True)
-
-
-_COSTLY = ("Join", "Aggregate", "Window", "Repartition", "Generate", "FlatMapGroups", "Union")
-
-
-def reusable(df: DataFrame) -> DataFrame:
-    """``df``, stored first if reading it twice would redo a large shuffle."""
-    if fits_whole(df):
-        return df
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return cut_lineage(df) if any(node in plan for node in _COSTLY) else df
+    if cuts is not None and cuts.none and cuts.bounds(keys):
+        cuts = Cuts(keys, by, None)
+    elif cuts is None or (cuts.keys, cuts.by) != (keys, by):
+        cuts = measured(df, keys, by)
+    return Ordered(cuts.numbered(df), cuts)
 
 
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
@@ -282,16 +321,17 @@ def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     return df.join(stats, list((keys,) if isinstance(keys, str) else keys), "left")
 
 
-def attach_aggregates(df: DataFrame, keys, aggregates: dict[str, Column]) -> DataFrame:
+def attach_aggregates(df: DataFrame, keys, aggregates: dict[str, Column], cuts: Cuts | None = None) -> DataFrame:
     """Give every row the aggregates of its group.
 
-    Small inputs: one window over the group, which shares the exchange of the
-    scans. Otherwise: partial aggregation and a join back, so no task ever
-    holds a whole group.
+    Where ``cuts`` show that groups are short: one window over the group, which
+    shares the exchange of the scans. Otherwise partial aggregation and a join
+    back, so no task ever holds a whole group.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if fits_whole(df):
+    if cuts is not None and cuts.bounds(keys):
         w = Window.partitionBy(*keys)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()])
-    df = reusable(df)
+    if cuts is not None:
+        df = kept(df)
     return attach(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]), keys)

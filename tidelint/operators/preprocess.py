@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.flags import DISMISSED, flag
-from tidelint.operators.ordering import (FirstAfter, Last, Position, attach, attach_aggregates,
-                                         ordered)
+from tidelint.operators.ordering import (Cuts, FirstAfter, Last, Position, attach, attach_aggregates,
+                                         measured, ordered)
 from tidelint.operators.qc_tests import c
 from tidelint.operators.series import with_sampling
 from tidelint.operators.stats import attach_medians
@@ -216,7 +216,8 @@ def trim_edges(df: DataFrame, keys, by, value: str, ts: str = "ts",
     tolerance of the median of the nearest five days; nothing is trimmed from a
     series that would lose more than a tenth of its rows.
     """
-    work = ordered(with_sampling(df, keys, by, ts), keys, by).scan(_pos=Position()).rows
+    cuts = measured(df, keys, by)
+    work = ordered(with_sampling(df, keys, by, ts, cuts), keys, by, cuts).scan(_pos=Position()).rows
     step = F.col("interval_s")
     day = F.when(step > 0, F.greatest((F.lit(86400.0) / step).cast("long"), F.lit(4))).otherwise(F.lit(12))
     back = F.col("n") - 1 - F.col("_pos")
@@ -224,17 +225,17 @@ def trim_edges(df: DataFrame, keys, by, value: str, ts: str = "ts",
     v = c(value)
     work = attach_medians(work, keys, {
         "_head": F.when(F.col("_pos") < 5 * F.col("_day"), v),
-        "_tail": F.when(F.col("_back") < 5 * F.col("_day"), v)})
+        "_tail": F.when(F.col("_back") < 5 * F.col("_day"), v)}, cuts)
 
     def settled(at: Column, ref: Column) -> Column:
         stray = F.coalesce(F.abs(v - ref) > tolerance, F.lit(False))
         return F.when((at >= F.col("_day")) | ~stray, F.lit(1))
 
-    s = ordered(work, keys, by).scan(
+    s = ordered(work, keys, by, cuts).scan(
         _in=Last(settled(F.col("_pos"), F.col("_head"))),
         _out=FirstAfter(settled(F.col("_back"), F.col("_tail"))))
     work = attach_aggregates(s.rows, keys, {
-        "_cut_h": F.count_if(F.col("_in").isNull()), "_cut_t": F.count_if(F.col("_out").isNull())})
+        "_cut_h": F.count_if(F.col("_in").isNull()), "_cut_t": F.count_if(F.col("_out").isNull())}, cuts)
     too_much = F.col("_cut_h") + F.col("_cut_t") > 0.1 * F.col("n")
     return (work.where(too_much | (F.col("_in").isNotNull() & F.col("_out").isNotNull()))
             .select(*[c(x) for x in df.columns]))
@@ -253,13 +254,13 @@ def cast_phase(df: DataFrame, keys, pos: str, pressure: str) -> DataFrame:
                        (c(pos) >= F.col("_turn")).alias("ascending"))
 
 
-def drop_null_repeats(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+def drop_null_repeats(df: DataFrame, keys: list[str], ts: str, value: str, cuts: Cuts | None = None) -> DataFrame:
     """Drop null readings at instants the series has more than once."""
-    counted = attach_aggregates(df, [*keys, ts], {"_copies": F.count(F.lit(1))})
+    counted = attach_aggregates(df, [*keys, ts], {"_copies": F.count(F.lit(1))}, cuts)
     return counted.where(c(value).isNotNull() | (F.col("_copies") == 1)).drop("_copies")
 
 
-def present_parameters(long: DataFrame, keys: list[str], var: str = "var", value: str = "value") -> DataFrame:
+def present_parameters(long: DataFrame, keys: list[str], var: str = "var", value: str = "value", cuts: Cuts | None = None) -> DataFrame:
     """Rows of the parameters that hold at least one value in their slice."""
-    counted = attach_aggregates(long, [*keys, var], {"_held": F.count(value)})
+    counted = attach_aggregates(long, [*keys, var], {"_held": F.count(value)}, cuts)
     return counted.where(F.col("_held") > 0).drop("_held")

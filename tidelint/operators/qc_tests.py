@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelint.functions import seawater
 from tidelint.functions.flags import (BAD, GOOD, MISSING, SUSPECT, UNKNOWN, flag)
-from tidelint.operators.ordering import (Last, Next, Prev, RunningSum, attach_aggregates, ordered)
+from tidelint.operators.ordering import (Cuts, Last, Next, Prev, RunningSum, attach_aggregates, measured, ordered)
 from tidelint.operators.stats import attach_medians
 
 FLAT_SENTINEL = -9.0       # legacy missing-value code honoured by the flat-line test
@@ -62,17 +62,18 @@ def resolution(df: DataFrame, keys, columns: dict[str, Column]) -> DataFrame:
 
 
 def flat_line(df: DataFrame, keys, by, columns: dict[str, Column],
-              fail: int, suspect: int) -> DataFrame:
+              fail: int, suspect: int, cuts: Cuts | None = None) -> DataFrame:
     """Stuck-sensor test. ``columns`` is {flag column: value}.
 
     Runs are counted over valid values only, so stray gaps do not break them.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    cuts = cuts or measured(df, keys, by)
     rows = attach_aggregates(df, keys, {
-        f"_dec_{o}": F.max(F.coalesce(decimal_places(v), F.lit(0))) for o, v in columns.items()})
+        f"_dec_{o}": F.max(F.coalesce(decimal_places(v), F.lit(0))) for o, v in columns.items()}, cuts)
     rows = rows.withColumns({f"_eps_{o}": F.pow(F.lit(10.0), -F.col(f"_dec_{o}")) for o in columns})
     ok = {o: F.when(v.isNotNull() & (v != FLAT_SENTINEL), v) for o, v in columns.items()}
-    s = ordered(rows, keys, by)
+    s = ordered(rows, keys, by, cuts)
     s = s.with_columns(**{f"_ok_{o}": v for o, v in ok.items()})
     s = s.scan(**{f"_pv_{o}": Last(f"_ok_{o}", inclusive=False) for o in columns},
                **{f"_at_{o}": RunningSum(F.col(f"_ok_{o}").isNotNull().cast("long")) for o in columns})
@@ -95,21 +96,19 @@ def flat_line(df: DataFrame, keys, by, columns: dict[str, Column],
 
 def vertical_gradient(df: DataFrame, keys, by, depth: Column,
                       columns: dict[str, Column], fail: float = 3.0, suspect: float = 2.5,
-                      min_dz: float = 0.05) -> DataFrame:
+                      min_dz: float = 0.05, cuts: Cuts | None = None) -> DataFrame:
     """Profile gradient against the cast's own typical gradient (>=)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    s = ordered(df, keys, by).with_columns(_z=depth).scan(
+    s = ordered(df, keys, by, cuts).with_columns(_z=depth).scan(
         _pz=Prev("_z"), **{f"_pv_{o}": Prev(v) for o, v in columns.items()})
     dz = F.col("_z") - F.col("_pz")
     grads = {f"_gr_{o}": F.when(F.abs(dz) >= min_dz, (v - F.col(f"_pv_{o}")) / dz)
              for o, v in columns.items()}
     rows = attach_medians(s.with_columns(**grads).rows, keys,
-                          {f"_md_{o}": F.col(f"_gr_{o}") for o in columns})
+                          {f"_md_{o}": F.col(f"_gr_{o}") for o in columns}, s.cuts,
+                          {**{f"_ct_{o}": F.count(f"_gr_{o}") for o in columns}, **{f"_sd_{o}": F.stddev_pop(f"_gr_{o}") for o in columns}})
     rows = rows.withColumns({f"_dv_{o}": F.abs(F.col(f"_gr_{o}") - F.col(f"_md_{o}")) for o in columns})
-    rows = attach_medians(rows, keys, {f"_ma_{o}": F.col(f"_dv_{o}") for o in columns})
-    done = attach_aggregates(rows, keys, {
-        **{f"_ct_{o}": F.count(f"_gr_{o}") for o in columns},
-        **{f"_sd_{o}": F.stddev_pop(f"_gr_{o}") for o in columns}})
+    done = attach_medians(rows, keys, {f"_ma_{o}": F.col(f"_dv_{o}") for o in columns}, s.cuts)
     flags = []
     for o, v in columns.items():
         robust = 1.4826 * F.col(f"_ma_{o}")
@@ -126,7 +125,7 @@ def vertical_gradient(df: DataFrame, keys, by, depth: Column,
 
 def density_inversion(df: DataFrame, keys, tie: str, temperature: Column, salinity: Column,
                       pressure: Column, vertical: Column, out: str = "dens",
-                      tolerance: float = 0.03) -> DataFrame:
+                      tolerance: float = 0.03, cuts: Cuts | None = None) -> DataFrame:
     """A point lighter than the valid point above it marks both as suspect."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     # tested on the inputs: a filter on the density itself would be pushed below
@@ -135,7 +134,7 @@ def density_inversion(df: DataFrame, keys, tie: str, temperature: Column, salini
     # rows without a density or a place are a series of their own, which is not looked at
     work = df.withColumns({"_vz": vertical, "_dense": dense}).withColumn("_valid", F.col("_dense") & F.col("_vz").isNotNull())
     weighed = seawater.with_seawater(work, salinity, temperature, pressure)
-    s = ordered(weighed, [*keys, "_valid"], ("_vz", tie)).scan(_up=Prev("sigma0"), _dn=Next("sigma0"))
+    s = ordered(weighed, [*keys, "_valid"], ("_vz", tie), cuts).scan(_up=Prev("sigma0"), _dn=Next("sigma0"))
     here = F.col("sigma0")
     hit = F.coalesce((here < F.col("_up") - tolerance) | (F.col("_dn") < here - tolerance), F.lit(False))
     # without a vertical position: never visited by the walk, good when it has a density

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelint.functions.flags import BAD, GOOD, MISSING, SUSPECT, flag
 from tidelint.functions.rounding import round_even
-from tidelint.operators.ordering import Prev, attach, attach_aggregates, cut_lineage, ordered
+from tidelint.operators.ordering import Prev, attach, attach_aggregates, kept, ordered
 from tidelint.operators.series import time_steps
 from tidelint.operators.stats import attach_medians
 from tidelint.operators.timejoin import nearest
@@ -60,7 +60,8 @@ def _aligned(clean: DataFrame, deployment: list[str], replicate: str, ts: str, s
     known = attach_aggregates(clean, deployment, {"_first": F.min(replicate), "_members": F.collect_set(replicate)})
     grid = known.where(F.col(replicate) == F.col("_first")).select(*deployment, ts, "_members")
     if tolerance_s is None:
-        steps = attach_medians(time_steps(grid, deployment, ts, ts).rows, deployment, {"_m": F.col("_step").cast("double")})
+        s = time_steps(grid, deployment, ts, ts)
+        steps = attach_medians(s.rows, deployment, {"_m": F.col("_step").cast("double")}, s.cuts)
         grid = steps.select(*deployment, ts, "_members", F.when(F.col("_m") > 0, F.col("_m") / 2e6).alias("_tol_s"))
     else:
         grid = grid.withColumn("_tol_s", F.lit(float(tolerance_s)))
@@ -125,8 +126,8 @@ def _compared(df, deployment, replicate, ts, temperature, flag_t, rules):
     base = df.select(*deployment, replicate, ts, t.alias("_v"))
     stamped = stamp_conflicts(base, [*deployment, replicate], ["_v"], ts)
     conflicts = stamped.where("conflict").select(*deployment).distinct().withColumn("conflicting", F.lit(True))
-    # every score below reads the alignment again, so it is stored once
-    rows = cut_lineage(_aligned(stamped.select(*deployment, replicate, ts, "_v"), deployment, replicate, ts, ["_v"], 30 * 60.0))
+    # every score below reads the alignment again
+    rows = kept(_aligned(stamped.select(*deployment, replicate, ts, "_v"), deployment, replicate, ts, ["_v"], 30 * 60.0))
     grid = rows.groupBy(*deployment, ts).agg(
         F.when(F.count("_v") >= 2, F.max("_v") - F.min("_v")).alias("spread"))
     grid = grid.withColumn("over", F.coalesce(F.col("spread") > rules.temperature_tolerance, F.lit(False)))

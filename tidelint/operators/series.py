@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
-from tidelint.operators.ordering import Ordered, Prev, attach_aggregates, ordered
+from tidelint.operators.ordering import Cuts, Ordered, Prev, ordered
 from tidelint.operators.stats import attach_medians
 
 # A session this long, or logged this slowly, is a mooring.
@@ -14,19 +14,18 @@ MOORING_MIN_HOURS = 4.0
 MOORING_MIN_STEP_S = 300.0
 
 
-def time_steps(df: DataFrame, keys, by, ts: str = "ts") -> Ordered:
+def time_steps(df: DataFrame, keys, by, ts: str = "ts", cuts: Cuts | None = None) -> Ordered:
     """Microseconds since the previous row, in row order (``_step``)."""
-    s = ordered(df, keys, by).scan(_before=Prev(micros(F.col(ts))))
+    s = ordered(df, keys, by, cuts).scan(_before=Prev(micros(F.col(ts))))
     return s.with_columns(_step=micros(F.col(ts)) - F.col("_before"))
 
 
-def with_sampling(df: DataFrame, keys, by, ts: str = "ts") -> DataFrame:
+def with_sampling(df: DataFrame, keys, by, ts: str = "ts", cuts: Cuts | None = None) -> DataFrame:
     """Give every row its series' length ``n`` and median step ``interval_s``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     kept = [F.col(f"`{x}`") for x in df.columns]
-    rows = attach_medians(time_steps(df, keys, by, ts).rows, keys,
-                          {"_median_us": F.col("_step").cast("double")})
-    rows = attach_aggregates(rows, keys, {"n": F.count(F.lit(1))})
+    s = time_steps(df, keys, by, ts, cuts)
+    rows = attach_medians(s.rows, keys, {"_median_us": F.col("_step").cast("double")}, s.cuts, {"n": F.count(F.lit(1))})
     return rows.select(*kept, "n", (F.col("_median_us") / 1e6).alias("interval_s"))
 
 
@@ -39,8 +38,8 @@ def sampling_profile(df: DataFrame, keys, by, ts: str = "ts") -> DataFrame:
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     by = [by] if isinstance(by, str) else list(by)
-    steps = time_steps(df.select(*dict.fromkeys([*keys, *by, ts])), keys, by, ts).rows
-    steps = attach_medians(steps, keys, {"_m": F.col("_step").cast("double")})
+    s = time_steps(df.select(*dict.fromkeys([*keys, *by, ts])), keys, by, ts)
+    steps = attach_medians(s.rows, keys, {"_m": F.col("_step").cast("double")}, s.cuts)
     counts = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(ts).alias("t_start"), F.max(ts).alias("t_end"),
         F.count_if(F.col("_step") < 0).alias("backwards"),
@@ -58,8 +57,8 @@ def sampling_profile(df: DataFrame, keys, by, ts: str = "ts") -> DataFrame:
 def mooring_or_profile(df: DataFrame, keys, ts: str = "ts") -> DataFrame:
     """Verdict per session from its own sorted stamps; null below two stamps."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    sorted_steps = time_steps(df.where(F.col(ts).isNotNull()).select(*keys, ts), keys, (ts,), ts).rows
-    steps = attach_medians(sorted_steps, keys, {"_m": F.col("_step").cast("double")})
+    s = time_steps(df.where(F.col(ts).isNotNull()).select(*keys, ts), keys, (ts,), ts)
+    steps = attach_medians(s.rows, keys, {"_m": F.col("_step").cast("double")}, s.cuts)
     span = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_m"),
         ((F.max(micros(F.col(ts))) - F.min(micros(F.col(ts)))) / 3.6e9).alias("_h"))

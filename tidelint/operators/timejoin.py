@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
-from tidelint.operators.ordering import (FirstAfter, Last, Next, Prev, attach, attach_aggregates,
-                                         ordered)
+from tidelint.operators.ordering import FirstAfter, Last, Next, Prev, attach, ordered
 from tidelint.operators.qc_tests import c
 from tidelint.operators.stats import attach_medians
 
@@ -28,8 +27,8 @@ def _sides(targets: DataFrame, sources: DataFrame, keys: list[str], ts: str,
         F.array(*[c(v).cast("double") for v in values]).alias("_v"))
     s = ordered(src, keys, "_t").scan(_b=Prev("_t"), _a=Next("_t"))
     rows = s.with_columns(_before=F.col("_t") - F.col("_b"), _after=F.col("_a") - F.col("_t")).rows
-    rows = attach_medians(rows, keys, {"_med": F.col("_before").cast("double")})
-    rows = attach_aggregates(rows, keys, {"_t0": F.min("_t"), "_t1": F.max("_t"), "_ns": F.count(F.lit(1))})
+    rows = attach_medians(rows, keys, {"_med": F.col("_before").cast("double")}, s.cuts,
+                          {"_t0": F.min("_t"), "_t1": F.max("_t"), "_ns": F.count(F.lit(1))})
     side = F.struct(F.col("_t").alias("t"), F.col("_v").alias("v"), F.col("_before").alias("before"),
                     F.col("_after").alias("after"))
     stat = F.struct("_med", "_t0", "_t1", "_ns")

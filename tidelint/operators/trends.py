@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelint.operators.ordering import Position, RunningSum, attach, attach_aggregates, ordered, reusable
+from tidelint.operators.ordering import Cuts, Position, RunningSum, attach, attach_aggregates, ordered
 from tidelint.operators.qc_tests import c
 
 
@@ -29,7 +29,7 @@ def _polynomial(x: Column, coefficients: Column, degree: int) -> Column:
 
 
 def fit(df: DataFrame, keys, x: Column, y: Column, degree: int, out: str = "fit",
-        used: Column | None = None) -> DataFrame:
+        used: Column | None = None, cuts: Cuts | None = None) -> DataFrame:
     """Least-squares polynomial of y over x, per group, floored at 0.
 
     Every row of ``df`` is returned; rows outside ``used`` get null. x is
@@ -41,14 +41,14 @@ def fit(df: DataFrame, keys, x: Column, y: Column, degree: int, out: str = "fit"
     kept = [c(n) for n in df.columns]
     on = F.coalesce(used, F.lit(False)) if used is not None else F.lit(True)
     work = df.withColumns({"_x": F.when(on, x.cast("double")), "_y": F.when(on, y.cast("double"))})
-    work = attach_aggregates(work, keys, {"_lo": F.min("_x"), "_hi": F.max("_x")})
+    work = attach_aggregates(work, keys, {"_lo": F.min("_x"), "_hi": F.max("_x")}, cuts)
     span = F.col("_hi") - F.col("_lo")
     work = work.withColumn("_u", F.when(F.col("_x").isNotNull(), F.when(
         span > 0, 2 * (F.col("_x") - F.col("_lo")) / span - 1).otherwise(F.lit(0.0))))
     u, v = F.col("_u"), F.col("_y")
     if degree == 1:
         work = attach_aggregates(work, keys, {"_n": F.count(u), "_su": F.sum(u), "_sv": F.sum(v),
-                                              "_suu": F.sum(u * u), "_suv": F.sum(u * v)})
+                                              "_suu": F.sum(u * u), "_suv": F.sum(u * v)}, cuts)
         det = F.col("_n") * F.col("_suu") - F.col("_su") * F.col("_su")
         slope = F.when(det > 0, (F.col("_n") * F.col("_suv") - F.col("_su") * F.col("_sv")) / det)
         value = F.greatest((F.col("_sv") - slope * F.col("_su")) / F.col("_n") + slope * u, F.lit(0.0))
@@ -56,7 +56,6 @@ def fit(df: DataFrame, keys, x: Column, y: Column, degree: int, out: str = "fit"
     power = [F.lit(1.0)]
     for _ in range(2 * degree):
         power.append(power[-1] * u)
-    work = reusable(work)
     sums = work.where(u.isNotNull()).groupBy(*keys).agg(
         F.array(*[F.sum(p) for p in power]).alias("_s"),
         F.array(*[F.sum(p * v) for p in power[:degree + 1]]).alias("_m"),
@@ -67,7 +66,7 @@ def fit(df: DataFrame, keys, x: Column, y: Column, degree: int, out: str = "fit"
 
 
 def series_trend(df: DataFrame, keys, by, value: str, degree: int, out: str = "fit",
-                 only: Column | None = None, keep_all: bool = False) -> DataFrame:
+                 only: Column | None = None, keep_all: bool = False, cuts: Cuts | None = None) -> DataFrame:
     """Tendency of a series over its sample index.
 
     The series is trimmed to its first and last reading. With at most a quarter
@@ -76,18 +75,18 @@ def series_trend(df: DataFrame, keys, by, value: str, degree: int, out: str = "f
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     v = c(value)
-    s = ordered(df, keys, by).scan(_pos=Position(), _seen=RunningSum(v.isNotNull().cast("long")))
+    s = ordered(df, keys, by, cuts).scan(_pos=Position(), _seen=RunningSum(v.isNotNull().cast("long")))
     known = v.isNotNull()
     rows = attach_aggregates(s.rows, keys, {
         "_first": F.min(F.when(known, F.col("_pos"))), "_last": F.max(F.when(known, F.col("_pos"))),
-        "_valid": F.count(v), "_mean": F.avg(v)})
+        "_valid": F.count(v), "_mean": F.avg(v)}, s.cuts)
     length = F.col("_last") - F.col("_first") + 1
     sparse = length - F.col("_valid") > 0.25 * length
     used = F.col("_pos").between(F.col("_first"), F.col("_last")) & (~sparse | known)
     rows = rows.withColumns({"_idx": F.when(sparse, F.col("_seen") - 1).otherwise(F.col("_pos") - F.col("_first")),
                              "_val": F.coalesce(v, F.col("_mean")), "_used": F.coalesce(used, F.lit(False))})
     wanted = F.col("_used") if only is None else F.col("_used") & only
-    fitted = fit(rows, keys, F.col("_idx"), F.col("_val"), degree, out, wanted)
+    fitted = fit(rows, keys, F.col("_idx"), F.col("_val"), degree, out, wanted, s.cuts)
     if not keep_all:
         fitted = fitted.where("_used")
     return fitted.select(*[c(n) for n in df.columns], out)

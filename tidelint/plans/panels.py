@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelint.functions import seawater
 from tidelint.functions.timespec import micros
 from tidelint.operators import light as li
-from tidelint.operators.ordering import FirstAfter, Last, Next, attach, attach_aggregates, ordered
+from tidelint.operators.ordering import Cuts, FirstAfter, Last, Next, attach, attach_aggregates, measured, ordered
 from tidelint.operators.preprocess import drop_null_repeats, present_parameters
 from tidelint.operators.qc_tests import c
 from tidelint.operators.reports import unpivot
@@ -20,25 +20,25 @@ from tidelint.operators.trends import fit, series_trend
 TIE = "sample_no"
 
 
-def valid_interval(df: DataFrame, keys, by, value: str) -> DataFrame:
+def valid_interval(df: DataFrame, keys, by, value: str, cuts: Cuts | None = None) -> DataFrame:
     """Rows between the first and the last reading of each series."""
-    s = ordered(df, keys, by).scan(_before=Last(F.when(c(value).isNotNull(), F.lit(1))),
+    s = ordered(df, keys, by, cuts).scan(_before=Last(F.when(c(value).isNotNull(), F.lit(1))),
                                    _behind=FirstAfter(F.when(c(value).isNotNull(), F.lit(1))))
     return s.rows.where(F.col("_before").isNotNull() & F.col("_behind").isNotNull()).select(*[c(x) for x in df.columns])
 
 
-def with_gap_nodes(df: DataFrame, keys, value: str = "value") -> DataFrame:
+def with_gap_nodes(df: DataFrame, keys, value: str = "value", cuts: Cuts | None = None) -> DataFrame:
     """Trimmed series with a null point after each sample before a long gap."""
     by = ["ts", TIE]
-    trimmed = valid_interval(df, keys, by, value)
-    s = ordered(trimmed, keys, by).scan(_next=Next("ts"))
+    trimmed = valid_interval(df, keys, by, value, cuts)
+    s = ordered(trimmed, keys, by, cuts).scan(_next=Next("ts"))
     return gap_nodes(s.rows, F.col("_next"), "ts", value).select(*[c(x) for x in df.columns])
 
 
-def _fitted(df: DataFrame, keys: list[str], degree: int | None, unfitted: list[str]) -> DataFrame:
+def _fitted(df: DataFrame, keys: list[str], degree: int | None, unfitted: list[str], cuts: Cuts) -> DataFrame:
     if degree is None:
         return df.withColumn("fit", F.lit(None).cast("double"))
-    return series_trend(df, keys, ["ts", TIE], "value", degree, only=~F.col("var").isin(list(unfitted)), keep_all=True)
+    return series_trend(df, keys, ["ts", TIE], "value", degree, only=~F.col("var").isin(list(unfitted)), keep_all=True, cuts=cuts)
 
 
 def site_parameters(df: DataFrame, variables: list[str], sites: list[str], year: int, start=None, end=None,
@@ -47,11 +47,13 @@ def site_parameters(df: DataFrame, variables: list[str], sites: list[str], year:
     is dominated by the tide and never fitted."""
     rows = time_window(select_rows(df, sites, [year]), start, end)
     rows = rows.withColumn("semester", semester(F.col("ts")))
+    # no series of a variable is longer than its site's semester
+    cuts = measured(rows, ["site", "semester"], ())
     long = unpivot(rows, ["site", "semester", "ts", TIE], variables)
-    long = present_parameters(long, ["site", "semester"])
+    long = present_parameters(long, ["site", "semester"], cuts=cuts)
     keys = ["site", "semester", "var"]
-    nodes = with_gap_nodes(drop_null_repeats(long, keys, "ts", "value"), keys)
-    return _fitted(nodes, keys, degree, list(unfitted))
+    nodes = with_gap_nodes(drop_null_repeats(long, keys, "ts", "value", cuts), keys, cuts=cuts)
+    return _fitted(nodes, keys, degree, list(unfitted), cuts)
 
 
 def parameter_across_sites(df: DataFrame, variables: list[str], sites: list[str], year: int, start=None,
@@ -59,7 +61,8 @@ def parameter_across_sites(df: DataFrame, variables: list[str], sites: list[str]
     """One parameter over all sites on hours since each site's first midnight."""
     rows = select_rows(df, sites, [year]).withColumn("semester", semester(F.col("ts")))
     keys = ["site", "semester", "var"]
-    long = drop_null_repeats(unpivot(rows, ["site", "semester", "ts", TIE], variables), keys, "ts", "value")
+    cuts = measured(rows, ["site", "semester"], ())
+    long = drop_null_repeats(unpivot(rows, ["site", "semester", "ts", TIE], variables), keys, "ts", "value", cuts)
     long = first_midnight_hours(long, keys)
     if start is not None and end is not None:
         # the window keeps its day offset from the semester's first midnight
@@ -67,10 +70,10 @@ def parameter_across_sites(df: DataFrame, variables: list[str], sites: list[str]
         lo, hi = [(micros(F.lit(t).cast("timestamp_ntz")) - micros(F.col("_zero"))) / 3.6e9 for t in (start, end)]
         long = attach(long, anchors, "semester").where(F.col("hours").between(lo, hi)).drop("_zero")
     origin = long.groupBy(*keys).agg(F.min(micros(F.col("ts")) - (F.col("hours") * 3.6e9)).cast("long").alias("_origin"))
-    nodes = with_gap_nodes(long.drop("hours"), keys)
+    nodes = with_gap_nodes(long.drop("hours"), keys, cuts=cuts)
     nodes = attach(nodes, origin, keys)
     nodes = nodes.withColumn("hours", (micros(F.col("ts")) - F.col("_origin")) / 3.6e9).drop("_origin")
-    return _fitted(nodes, keys, degree, list(unfitted))
+    return _fitted(nodes, keys, degree, list(unfitted), cuts)
 
 
 def profile_parameters(df: DataFrame, variables: list[str], depth: str, sites: list[str], year: int,
@@ -78,11 +81,12 @@ def profile_parameters(df: DataFrame, variables: list[str], depth: str, sites: l
     """Parameters against depth per site and semester, with their tendency."""
     rows = time_window(select_rows(df, sites, [year]), start, end)
     rows = rows.withColumn("semester", semester(F.col("ts"))).withColumn("_z", c(depth))
-    long = present_parameters(unpivot(rows, ["site", "semester", "ts", TIE, "_z"], variables), ["site", "semester"])
+    cuts = measured(rows, ["site", "semester"], ())
+    long = present_parameters(unpivot(rows, ["site", "semester", "ts", TIE, "_z"], variables), ["site", "semester"], cuts=cuts)
     keys = ["site", "semester", "var"]
-    long = valid_interval(drop_null_repeats(long, keys, "ts", "value"), keys, ["ts", TIE], "value")
+    long = valid_interval(drop_null_repeats(long, keys, "ts", "value", cuts), keys, ["ts", TIE], "value", cuts)
     both = F.col("value").isNotNull() & F.col("_z").isNotNull()
-    return fit(long, keys, F.col("_z"), F.col("value"), degree, used=both).withColumnRenamed("_z", "depth")
+    return fit(long, keys, F.col("_z"), F.col("value"), degree, used=both, cuts=cuts).withColumnRenamed("_z", "depth")
 
 
 def light_at_site(df: DataFrame, sites: list[str], years: list[int] | None = None, start=None, end=None,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelint.functions.flags import (BAD, DISMISSED, MISSING, SUSPECT, UNKNOWN, flag, range_flag,
                                       worst_of_columns)
 from tidelint.functions.timespec import window_samples
-from tidelint.operators.ordering import Next, Position, Prev, ordered
+from tidelint.operators.ordering import Next, Position, Prev, measured, ordered
 from tidelint.operators.qc_tests import (c, density_inversion, flat_line, rate_flag, spike_flag,
                                          vertical_gradient)
 from tidelint.operators.series import with_sampling
@@ -91,8 +91,9 @@ def run_plan(df: DataFrame, plan: list[Test], columns: dict[str, str], keys, by,
           and (t.variable in have or t.family == "density")}
     moving = [v for v in columns if Test(v, "spike") in on or Test(v, "rate") in on]
 
-    work = with_sampling(df, keys, by, ts).withColumnsRenamed({"n": "_n", "interval_s": "_dt"})
-    s = ordered(work, keys, by).scan(
+    cuts = measured(df, keys, by)
+    work = with_sampling(df, keys, by, ts, cuts).withColumnsRenamed({"n": "_n", "interval_s": "_dt"})
+    s = ordered(work, keys, by, cuts).scan(
         _pos=Position(),
         **{f"_pv_{v}": Prev(c(columns[v])) for v in moving},
         **{f"_nv_{v}": Next(c(columns[v])) for v in moving if Test(v, "spike") in on})
@@ -117,7 +118,7 @@ def run_plan(df: DataFrame, plan: list[Test], columns: dict[str, str], keys, by,
             windows[f"_w_{name}"] = n
             spreads[f"_s_{name}"] = (value, f"_w_{name}")
     if spreads:
-        work = rolling_sigma(work.withColumns(windows), keys, "_pos", "_n", spreads)
+        work = rolling_sigma(work.withColumns(windows), keys, "_pos", "_n", spreads, cuts)
 
     flags: dict[str, Column] = {}
     for t in plan:
@@ -132,7 +133,7 @@ def run_plan(df: DataFrame, plan: list[Test], columns: dict[str, str], keys, by,
         bad = {f"_bad_{t.variable}": _prior_bad(plan, t) for t in live}
         work = work.withColumns(bad)
         # the first row of a series never passes its verdict on
-        s = ordered(work, keys, by).scan(**{
+        s = ordered(work, keys, by, cuts).scan(**{
             f"_pb_{t.variable}": Prev((F.col("_pos") > 0) & F.col(f"_bad_{t.variable}")) for t in live})
         work = s.rows.withColumns({column_of(t): rate_flag(
             c(columns[t.variable]), F.col(f"_pv_{t.variable}"), F.col("_pos") == 0,
@@ -142,19 +143,19 @@ def run_plan(df: DataFrame, plan: list[Test], columns: dict[str, str], keys, by,
     flats = [t for t in plan if t.family == "flat" and t in on]
     if flats:
         work = flat_line(work, keys, by, {column_of(t): c(columns[t.variable]) for t in flats},
-                         criteria.flat_fail, criteria.flat_suspect)
+                         criteria.flat_fail, criteria.flat_suspect, cuts)
     grads = [t for t in plan if t.family == "gradient" and t in on and depth]
     if grads:
         f = criteria.gradient["T"]
         work = vertical_gradient(work, keys, by, c(depth),
                                  {column_of(t): c(columns[t.variable]) for t in grads},
-                                 f.fail, f.suspect)
+                                 f.fail, f.suspect, cuts=cuts)
     dens = [t for t in plan if t.family == "density" and t in on]
     if dens and {"T", "S"} <= set(columns) and (depth or "P" in columns):
         pressure = c(columns["P"]) if "P" in columns else c(depth)
         work = density_inversion(work, keys, by[-1], c(columns["T"]), c(columns["S"]), pressure,
                                  c(depth) if depth else pressure, column_of(dens[0]),
-                                 criteria.density_tolerance)
+                                 criteria.density_tolerance, cuts)
     known = set(work.columns)
     rest = {column_of(t): _unrun(t, have, prefix, criteria) for t in plan
             if column_of(t) not in known and t.family != "light"}

@@ -9,7 +9,7 @@ from tidelint.functions.flags import range_flag, worst_of
 from tidelint.functions.timespec import window_samples
 from tidelint.operators import qc_tests as qc
 from tidelint.operators import reports
-from tidelint.operators.ordering import Next, Position, Prev, ordered
+from tidelint.operators.ordering import Next, Position, Prev, measured, ordered
 from tidelint.operators.series import mooring_or_profile, sampling_profile, with_sampling
 from tidelint.operators.sigma import attach_global_sigma, rolling_sigma
 from tidelint.plans.criteria import Criteria, Factor
@@ -23,7 +23,8 @@ QUERIES, SQL = {}, {}
 
 def _numbered(df):
     """Rows with their position, series length and sampling step."""
-    return ordered(with_sampling(df, KEYS, BY), KEYS, BY).scan(
+    cuts = measured(df, KEYS, BY)
+    return ordered(with_sampling(df, KEYS, BY, cuts=cuts), KEYS, BY, cuts).scan(
         pos=Position(), before=Prev("v"), after=Next("v")).rows
 
 
@@ -37,8 +38,9 @@ def spike_screen(spark, path):
     """Sensor range, environmental range and spike against the whole-series
     spread, rolled up and counted per series and flag."""
     s = scalar_series(spark, path)
-    s = attach_global_sigma(s, KEYS, {"sigma": F.col("v")})
-    rows = ordered(s, KEYS, BY).scan(before=Prev("v"), after=Next("v")).rows
+    cuts = measured(s, KEYS, BY)
+    s = attach_global_sigma(s, KEYS, {"sigma": F.col("v")}, cuts)
+    rows = ordered(s, KEYS, BY, cuts).scan(before=Prev("v"), after=Next("v")).rows
     v = F.col("v")
     flags = [range_flag(v, 0, 300), range_flag(v, 1, 150, 3),
              qc.spike_flag(v, F.col("before"), F.col("after"), F.col("sigma"), 3.0, 2.5)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidelint.functions import labels
 from tidelint.operators import catalog as ca
 from tidelint.operators import database as db
-from tidelint.operators.ordering import Position, ordered, ready_checkpoints
+from tidelint.operators.ordering import Position, ordered
 from tidelint.plans.criteria import VARIABLES
 from tidelint.plans.layouts import known_instrument, layout_of
 from tidelint.registry.base import EV, LIGHT, WATER, light_series, scalar_series, table, water_series
@@ -164,8 +164,7 @@ add("a7_layouts", a7_layouts, """SELECT ['currents', 'light', 'scalar', 'bare'][
 
 def a8_table_sink(spark, path):
     """Written by site and read back from the shared folder."""
-    ready_checkpoints(spark)
-    target = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4()}"
+    target = f"{pr.shared_folder(spark)}/tables-{uuid.uuid4()}"
     pr.write_table(water_series(spark, path).select("site", "series_id", "sample_no", "ts", "T", "S"), target)
     return pr.read_table(spark, target).select("site", "series_id", "sample_no", "ts", "T", "S")
 

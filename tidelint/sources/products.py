@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelint.operators.ordering import shared_folder  # noqa: F401
 from tidelint.operators.qc_tests import c
 
 
