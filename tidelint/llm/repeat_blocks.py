@@ -112,7 +112,7 @@ class _Grams:
 def _packed(chunk: int, buckets: np.ndarray, keys: np.ndarray, flags: np.ndarray, kind: type) -> pa.Table:
     """One row per bucket; keys are sorted, so a bucket is a run of them."""
     cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
-    ends = np.append(cuts[1:], len(buckets))
+    ends = np.append(cuts[1:], len(buckets))[:len(cuts)]
     return pa.table({
         "chunk": pa.array([chunk] * len(cuts), pa.int32()), "bucket": pa.array(buckets[cuts], pa.int32()),
         "n": pa.array(ends - cuts, pa.int32()),
