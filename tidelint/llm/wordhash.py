@@ -1,11 +1,16 @@
 """Words of UTF-8 texts and 64-bit digests of words and word windows, with numpy.
 
 A word is a run of bytes other than space and 0x09 to 0x0D. Digests are
-polynomials modulo 2^64 taken from one running sum, then mixed.
+polynomials modulo 2^64 taken from one running sum, then mixed. Such
+polynomials collide on some patterns of 1,024 terms and more, whatever their
+base, so words of more than 64 bytes are digested by BLAKE2 instead; windows are
+of few words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -15,6 +20,7 @@ _BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
 _POWERS: dict[tuple[str, bool], np.ndarray] = {}
 #: Bytes hashed at a time, so that a very long text needs no more memory than a short one.
 _STEP = 1 << 19
+_LONG = 64
 
 
 def powers(kind: str, inverse: bool, n: int) -> np.ndarray:
@@ -65,6 +71,8 @@ def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         a, b = starts[at:stop] - low, ends[at:stop] - low
         out[at:stop] = mixed((sums[b] - sums[a]) * powers("byte", True, high - low + 1)[a] + (b - a).astype(np.uint64))
         at = stop
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8).digest(), "little")
     return out
 
 
