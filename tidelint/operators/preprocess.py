@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelint.functions.flags import DISMISSED, flag
 from tidelint.operators.ordering import (Cuts, FirstAfter, Last, Position, attach, attach_aggregates,
                                          measured, ordered)
+from tidelint.operators.peaks import turning_points
 from tidelint.operators.qc_tests import c
 from tidelint.operators.series import with_sampling
 from tidelint.operators.stats import attach_medians
@@ -242,16 +243,17 @@ def trim_edges(df: DataFrame, keys, by, value: str, ts: str = "ts",
 
 
 def cast_phase(df: DataFrame, keys, pos: str, pressure: str) -> DataFrame:
-    """Descending up to the deepest sample of a cast, ascending from it.
+    """Descending up to the turning point of a cast, ascending from it.
 
-    The deepest sample (earliest on ties) is the turning point; a search for
-    sustained peaks, which an operator would confirm, is not reproduced.
+    The turning point is the first wide peak of the pressure (``peaks``);
+    ``pos`` numbers a cast's rows from 0. In a cast without one every row is
+    both, so that either choice keeps the cast whole.
     """
-    work = attach_aggregates(df, keys, {"_turn": F.max_by(
-        c(pos), F.when(c(pressure).isNotNull(), F.struct(c(pressure), -c(pos))))})
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    work = attach(df, turning_points(df, keys, pos, pressure).withColumnRenamed("turn", "_turn"), keys)
     return work.select(*[c(x) for x in df.columns],
-                       (c(pos) <= F.col("_turn")).alias("descending"),
-                       (c(pos) >= F.col("_turn")).alias("ascending"))
+                       F.coalesce(c(pos) <= F.col("_turn"), F.lit(True)).alias("descending"),
+                       F.coalesce(c(pos) >= F.col("_turn"), F.lit(True)).alias("ascending"))
 
 
 def drop_null_repeats(df: DataFrame, keys: list[str], ts: str, value: str, cuts: Cuts | None = None) -> DataFrame:

@@ -358,14 +358,29 @@ SELECT series_id, sample_no FROM g WHERE cut > 0.1 * n OR (inn = 1 AND outt = 1)
 
 
 def b22_cast_phase(spark, path):
-    s = ordered(water_series(spark, path), KEYS, BY).scan(pos=Position()).rows
-    return pp.cast_phase(s, KEYS, "pos", "P").select("series_id", "sample_no", "descending", "ascending")
+    """A site's samples as one cast: dips of 260 samples, each deeper than the
+    last, under noise, with gaps."""
+    s = ordered(water_series(spark, path), "site", BY).scan(pos=Position()).rows
+    dip = F.abs((F.col("pos") + 60) % 260 - 130) * (0.2 + (F.col("pos") % 1040) / 8000.0)
+    s = s.withColumn("P", F.when(F.col("sample_no") % 97 != 0, 60.0 - dip + F.col("C") / 100))
+    return pp.cast_phase(s, "site", "pos", "P").select("site", "sample_no", "descending", "ascending")
 
 
 add("b22_cast_phase", b22_cast_phase, f"""WITH {WATER},
-p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, sample_no) AS pos FROM water),
-t AS (SELECT series_id, arg_min(pos, (-"P", pos)) AS turn FROM p WHERE "P" IS NOT NULL GROUP BY 1)
-SELECT series_id, sample_no, pos <= turn AS descending, pos >= turn AS ascending FROM p LEFT JOIN t USING (series_id)""")
+n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts, sample_no) - 1 AS i FROM water),
+x AS (SELECT site, sample_no, i, CASE WHEN sample_no % 97 <> 0 THEN 60.0::DOUBLE - abs((i + 60) % 260 - 130) * (0.2::DOUBLE + (i % 1040) / 8000.0::DOUBLE) + "C" / 100 END AS v FROM n),
+w AS (SELECT *, lag(v) OVER (PARTITION BY site ORDER BY i) AS b, lead(v) OVER (PARTITION BY site ORDER BY i) AS a FROM x),
+p AS (SELECT site, i AS p, v AS vp FROM w WHERE v > b AND v > a),
+g AS (SELECT p.site, p, vp, coalesce(max(q.i) FILTER (q.i < p), -1) AS lw, coalesce(min(q.i) FILTER (q.i > p), 1000000000) AS rw
+  FROM p LEFT JOIN x q ON q.site = p.site AND (q.v > vp OR q.v IS NULL) GROUP BY ALL),
+m AS (SELECT g.*, min(q.v) FILTER (q.i < p) AS lm, min(q.v) FILTER (q.i > p) AS rm FROM g JOIN x q ON q.site = g.site AND q.i > lw AND q.i < rw GROUP BY ALL),
+h AS (SELECT *, vp - (vp - greatest(lm, rm)) / 2 AS h FROM m),
+e AS (SELECT h.site, p, h, max(q.i) FILTER (q.i < p) AS l, min(q.i) FILTER (q.i > p) AS r FROM h JOIN x q ON q.site = h.site AND q.i > lw AND q.i < rw AND q.v <= h GROUP BY ALL),
+d AS (SELECT e.site, p, (r - (h - r0.v) / (r1.v - r0.v)) - (l + (h - l0.v) / (l1.v - l0.v)) AS width FROM e
+  JOIN x l0 ON l0.site = e.site AND l0.i = l JOIN x l1 ON l1.site = e.site AND l1.i = l + 1
+  JOIN x r0 ON r0.site = e.site AND r0.i = r JOIN x r1 ON r1.site = e.site AND r1.i = r - 1),
+t AS (SELECT site, coalesce(min(p) FILTER (width >= 100), min(p) FILTER (width >= 50)) AS turn FROM d GROUP BY 1)
+SELECT x.site, sample_no, coalesce(i <= turn, true) AS descending, coalesce(i >= turn, true) AS ascending FROM x LEFT JOIN t ON t.site = x.site""")
 
 
 def b23_null_repeats(spark, path):
