@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
 from tidelint.operators.light import clock_phase, hours_from, temperature_peak_hour
-from tidelint.operators.ordering import Prev, RunningMax, attach, attach_aggregates, kept, ordered
+from tidelint.operators.ordering import Last, Position, Prev, RunningSum, attach, attach_aggregates, kept, measured, ordered
 from tidelint.operators.qc_tests import c
 
 # Gates of the repairs.
 MIN_STEP_MATCH = 0.95
+MIN_WALK = 4
 MAX_NOON_OFFSET_H = 3.0
 TEMPERATURE_PEAK_H = 13.7
 MAX_TEMPERATURE_OFFSET_H = 5.0
@@ -49,28 +50,60 @@ def wrong_clock_gate(products: DataFrame, verdicts: DataFrame, keys, shift: str
     return products.join(verdicts.where(F.col(shift).isNotNull()).select(*keys).distinct(), keys, "left_anti")
 
 
-def unfold_clock(df: DataFrame, keys, row: str, ts: str = "ts") -> DataFrame:
+def walked_clock(df: DataFrame, keys, row: str, ts: str = "ts") -> DataFrame:
     """Two readings of a 12-hour clock without AM/PM: ``am`` starts the first
     date in the morning, ``pm`` in the afternoon.
 
-    The date is right, so within a date the afternoon begins where the clock
-    first falls back. Rows are in recording order (``row``).
+    Rows are in recording order (``row``) and their dates are right; dates are
+    days one after the other, in the order in which they first appear. Every row takes, of the two times
+    its own date allows, the one after the row before it that is nearest to one
+    sampling interval later (the most common step forward within a date); a
+    reading fails at a row that has none (``am_ok``, ``pm_ok``). ``am_step`` and
+    ``pm_step`` tell whether a row lies one interval after the one before.
+
+    A row maps the half day of the row before to its own, so it either sets the half day, or keeps or
+    changes it. The half day of a row is therefore what the last row that sets
+    it says (or the first date's), turned by the number of changes since then: two
+    scans, and no walk over a series.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    kept_columns = [c(x) for x in df.columns]
     within = F.pmod(F.hour(ts), F.lit(12)) * 3600 + F.minute(ts) * 60 + F.second(ts)
     day = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
-    work = df.withColumns({"_w": within, "_day": day})
-    s = ordered(work, [*keys, "_day"], row).scan(_pw=Prev("_w"))
-    fell = F.coalesce(F.col("_w") < F.col("_pw"), F.lit(False)).cast("int")
-    s = s.with_columns(_fell=fell).scan(_pm=RunningMax("_fell"))
-    rows = attach_aggregates(s.rows, keys, {"_first": F.min("_day")}, s.cuts if s.cuts.bounds(keys) else None)
-    first = F.col("_day") == F.col("_first")
-
-    def stamp(pm: Column) -> Column:
-        return F.timestamp_add("SECOND", (F.col("_w") + F.when(pm, HALF_DAY_S).otherwise(0)).cast("int"), F.col("_day"))
-
-    pm = F.col("_pm") == 1
-    return rows.select(*[c(x) for x in df.columns], stamp(pm).alias("am"), stamp(pm | first).alias("pm"))
+    work = df.withColumns({"_w": within.cast("long"), "_day": day})
+    cuts = measured(work, keys, row)
+    s = ordered(work, keys, row, cuts).scan(_i=Position(), _pw=Prev("_w"), _pd=Prev("_day"))
+    rows = attach_aggregates(s.rows, [*keys, "_day"], {"_begins": F.min("_i")}, cuts if cuts.none else None)
+    forward = F.col("_w") - F.col("_pw")
+    steps = (s.rows.where((F.col("_day") == F.col("_pd")) & (forward > 0)).groupBy(*keys, forward.alias("_step"))
+             .agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_at")))
+    rows = attach(rows, steps.groupBy(*keys).agg(F.max_by("_step", F.struct("_n", -F.col("_at"))).alias("_interval")), keys)
+    later = F.when(F.col("_day") == F.col("_pd"), 0).when(F.col("_begins") == F.col("_i"), 86_400) + forward
+
+    def half_after(half: Column) -> Column:
+        """Half day of a row by that of the row before; null where no time is left."""
+        early = later - half * HALF_DAY_S
+        late = early + HALF_DAY_S
+        nearer = F.abs(early - F.col("_interval")) <= F.abs(late - F.col("_interval"))
+        return F.when(F.col("_i") > 0, F.when((early > 0) & nearer, 0).when(late > 0, 1))
+
+    rows = rows.withColumns({"_f0": half_after(F.lit(0)), "_f1": half_after(F.lit(1))})
+    changes = F.coalesce((F.col("_f0") == 1) & (F.col("_f1") == 0), F.lit(False)).cast("long")
+    same = F.coalesce(F.col("_f0"), F.col("_f1")) == F.coalesce(F.col("_f1"), F.col("_f0"))
+    s = ordered(rows.withColumn("_change", changes), keys, row, cuts).scan(_changes=RunningSum("_change"))
+    sets = F.when(same, (F.coalesce(F.col("_f0"), F.col("_f1")) + F.col("_changes")) % 2)
+    s = s.with_columns(_set=sets).scan(_said=Last("_set"), _before=Last("_set", inclusive=False))
+
+    out = []
+    for name, seed in (("am", 0), ("pm", 1)):
+        half = (F.coalesce("_said", F.lit(seed)) + F.col("_changes")) % 2
+        before = (F.coalesce("_before", F.lit(seed)) + F.col("_changes") - F.col("_change")) % 2
+        reached = F.when(before == 0, F.col("_f0")).otherwise(F.col("_f1"))
+        elapsed = later + (half - before) * HALF_DAY_S
+        out += [F.timestamp_add("SECOND", (F.col("_w") + half * HALF_DAY_S).cast("int"), F.col("_day")).alias(name),
+                ((F.col("_i") == 0) | reached.isNotNull()).alias(f"{name}_ok"),
+                F.coalesce(elapsed == F.col("_interval"), F.lit(False)).alias(f"{name}_step")]
+    return s.rows.select(*kept_columns, *out)
 
 
 def repair_collapsed(df: DataFrame, keys, row: str, ts: str = "ts", light: str = "lux",
@@ -85,30 +118,26 @@ def repair_collapsed(df: DataFrame, keys, row: str, ts: str = "ts", light: str =
     twelve hours early.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    both = kept(unfold_clock(df, keys, row, ts))      # judged three ways, then rewritten
+    both = kept(walked_clock(df, keys, row, ts))             # judged twice, then rewritten
+    walk = both.groupBy(*keys).agg(
+        *[(F.bool_and(f"{h}_ok") & (F.count(F.lit(1)) >= MIN_WALK)).alias(f"ok_{h}") for h in ("am", "pm")],
+        *[(F.count_if(f"{h}_step") / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias(f"m_{h}") for h in ("am", "pm")])
     # both readings are judged in one pass, as two series
     halves = F.array(*[F.struct(F.lit(h).alias("half"), F.col(h).alias("t")) for h in ("am", "pm")])
     long = both.withColumn("_h", F.explode(halves))
-    long = long.select(*keys, row, light, temperature, F.col("_h.half").alias("half"), F.col("_h.t").alias(ts))
+    long = long.select(*keys, light, temperature, F.col("_h.half").alias("half"), F.col("_h.t").alias(ts))
     two = [*keys, "half"]
     phase = clock_phase(long, two, ts, light).select(*two, F.col("offset_h").alias("l"))
     warm = temperature_peak_hour(long, two, ts, temperature).select(
         *two, hours_from(F.col("peak_hour"), TEMPERATURE_PEAK_H).alias("t"))
-    s = ordered(long.select(*two, row, ts), two, row).scan(_before=Prev(micros(F.col(ts))))
-    step = micros(F.col(ts)) - F.col("_before")
-    per_step = s.rows.where(F.col("_before").isNotNull()).groupBy(*two, step.alias("_d")).count()
-    pace = per_step.groupBy(*two).agg(
-        F.max_by("count", F.when(F.col("_d") > 0, F.struct("count", -F.col("_d")))).alias("_usual"),
-        F.sum("count").alias("_all"), F.count_if(F.col("_d") <= 0).alias("_back"))
-    judged = attach(attach(phase, warm, two), pace, two)
-    # a reading whose time does not always advance is no candidate
-    forward = F.coalesce(F.col("_back") == 0, F.lit(False))
-    judged = judged.select(*two, forward.alias("ok"), F.when(forward, F.col("l")).alias("l"),
-                           F.when(forward, F.col("t")).alias("t"), F.when(forward, F.col("_usual") / F.col("_all")).alias("m"))
-    stats = judged.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("half") == h, F.col(x))).alias(f"{x}_{h}") for h in ("am", "pm") for x in ("ok", "l", "t", "m")])
-    lit = ((F.col("l_am").isNotNull() | ~F.col("ok_am")) & (F.col("l_pm").isNotNull() | ~F.col("ok_pm"))
-           & (F.col("ok_am") | F.col("ok_pm")))
+    judged = attach(phase, warm, two).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("half") == h, F.col(x))).alias(f"{x}_{h}") for h in ("am", "pm") for x in ("l", "t")])
+    stats = attach(walk, judged, keys)
+    # a reading that cannot be walked to its end is no candidate
+    stats = stats.withColumns({f"{x}_{h}": F.when(F.col(f"ok_{h}"), F.col(f"{x}_{h}")) for h in ("am", "pm") for x in ("l", "t")})
+    some = F.col("ok_am") | F.col("ok_pm")
+    lit = (F.col("l_am").isNotNull() | ~F.col("ok_am")) & (F.col("l_pm").isNotNull() | ~F.col("ok_pm")) & some
+
     # where a witness sees no difference, the more regular reading is kept
     steadier = F.when(F.col("m_pm") > F.col("m_am"), "pm").otherwise("am")
 
@@ -116,15 +145,14 @@ def repair_collapsed(df: DataFrame, keys, row: str, ts: str = "ts", light: str =
         return (F.when(am.isNull(), "pm").when(pm.isNull(), "am").when(F.abs(am - pm) < 1e-6, steadier)
                 .when(pm < am, "pm").otherwise("am"))
 
-    by_light = closer(F.col("l_am"), F.col("l_pm"))
     light_ok = lit & (F.least("l_am", "l_pm") <= MAX_NOON_OFFSET_H)
     warmest = F.least("t_am", "t_pm")
-    by_temp = closer(F.col("t_am"), F.col("t_pm"))
-    half = F.when(F.coalesce(light_ok, F.lit(False)), by_light).when(warmest <= MAX_TEMPERATURE_OFFSET_H, by_temp)
+    half = (F.when(F.coalesce(light_ok, F.lit(False)), closer(F.col("l_am"), F.col("l_pm")))
+            .when(warmest <= MAX_TEMPERATURE_OFFSET_H, closer(F.col("t_am"), F.col("t_pm"))))
     match = F.when(half == "am", F.col("m_am")).when(half == "pm", F.col("m_pm"))
     verdict = stats.select(
         *keys, half.alias("half"), match.alias("step_match"),
-        F.when(half.isNull() & warmest.isNull(), "refused: no half can be chosen")
+        F.when(~some, "refused: no time is left for a row").when(half.isNull() & warmest.isNull(), "refused: no half can be chosen")
         .when(half.isNull(), "refused: no normal day").when(match < MIN_STEP_MATCH, "refused: irregular steps")
         .otherwise("repaired").alias("verdict"))
     rows = attach(both, verdict, keys)

@@ -341,7 +341,7 @@ add("c4_swapped_verdict", c4_swapped_verdict, f"WITH {_C4} SELECT series_id, CAS
 
 
 def _collapsed(spark, path):
-    """Hourly series whose clock lost its AM/PM mark; the last group is irregular."""
+    """Hourly series whose clock lost its AM/PM mark; one group lacks some mornings, the last is irregular."""
     s = scalar_series(spark, path)
     s = s.withColumn("series_id", F.concat(F.lit("g"), (F.substring("series_id", 2, 20).cast("long") % 4).cast("string")))
     s = ordered(s.select("series_id", "sample_no", "ts", "value"), "series_id", "sample_no").scan(pos=Position()).rows
@@ -350,6 +350,7 @@ def _collapsed(spark, path):
     true = F.when(g == 3, F.date_trunc("minute", "ts").cast("timestamp_ntz")).otherwise(true)
     s = s.withColumn("true_ts", true)
     hour = F.hour("true_ts")
+    s = s.where((g != 1) | ~F.dayofmonth("true_ts").isin(5, 11) | (hour >= 12))
     return s.select("series_id", "sample_no", "true_ts", (20 + 3 * F.cos((hour - 14) / 24.0 * 6.283185307179586)).alias("temp"),
                     F.when((hour >= 6) & (hour < 18), F.col("value") * 100 + 1).otherwise(0.0).alias("lux"),
                     F.when(hour >= 12, F.col("true_ts") - F.expr("INTERVAL 12 HOURS")).otherwise(F.col("true_ts")).alias("ts"))
@@ -361,10 +362,32 @@ def c5_collapsed_clock(spark, path):
     return out.select("series_id", "sample_no", "ts", "verdict")
 
 
-add("c5_collapsed_clock", c5_collapsed_clock, f"""WITH {EV}, q AS (SELECT sample_no, ts, CAST(substr(series_id, 2) AS BIGINT) % 4 AS g FROM ev),
-p AS (SELECT 'g' || g AS series_id, sample_no, ts, row_number() OVER (PARTITION BY g ORDER BY sample_no) - 1 AS pos, g FROM q),
-t AS (SELECT *, CASE WHEN g = 3 THEN date_trunc('minute', ts) ELSE TIMESTAMP '2024-01-01' + to_hours(CAST(pos + g * 8 AS INTEGER)) END AS tt FROM p)
-SELECT series_id, sample_no, CAST(CASE WHEN g = 3 AND hour(tt) >= 12 THEN tt - INTERVAL 12 HOUR ELSE tt END AS TIMESTAMP) AS ts, CASE WHEN g = 3 THEN 'refused' ELSE 'repaired' END AS verdict FROM t""")
+_C5 = f"""{EV}, q AS (SELECT sample_no, ts, value, CAST(substr(series_id, 2) AS BIGINT) % 4 AS g FROM ev),
+p AS (SELECT 'g' || g AS series_id, sample_no, ts, value, row_number() OVER (PARTITION BY g ORDER BY sample_no) - 1 AS k, g FROM q),
+t AS (SELECT *, CASE WHEN g = 3 THEN date_trunc('minute', ts) ELSE TIMESTAMP '2024-01-01' + to_hours(CAST(k + g * 8 AS INTEGER)) END AS tt FROM p),
+c AS (SELECT series_id, sample_no, CASE WHEN hour(tt) >= 12 THEN tt - INTERVAL 12 HOUR ELSE tt END AS ts,
+  CASE WHEN hour(tt) >= 6 AND hour(tt) < 18 THEN value * 100 + 1 ELSE 0.0 END AS lux FROM t WHERE g <> 1 OR day(tt) NOT IN (5, 11) OR hour(tt) >= 12),
+b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY sample_no) AS i, date_trunc('day', ts) AS d, (hour(ts) % 12) * 3600 + minute(ts) * 60 + second(ts) AS w FROM c),
+o AS (SELECT series_id, d, row_number() OVER (PARTITION BY series_id ORDER BY min(i)) - 1 AS di FROM b GROUP BY 1, 2),
+r AS (SELECT b.*, di * 86400 + w AS base FROM b JOIN o USING (series_id, d)),
+s AS (SELECT series_id, i, w - lag(w) OVER v AS step, d = lag(d) OVER v AS same FROM r WINDOW v AS (PARTITION BY series_id ORDER BY i)),
+m AS (SELECT series_id, step, count(*) AS n, min(i) AS f FROM s WHERE same AND step > 0 GROUP BY 1, 2),
+iv AS (SELECT series_id, arg_max(step, n * 1000000000 - f) AS iv FROM m GROUP BY 1),
+walk AS (SELECT series_id, h.seed, 1::BIGINT AS i, (base + h.seed * 43200)::BIGINT AS t, 0::BIGINT AS hit FROM r, (VALUES (0), (1)) h(seed) WHERE i = 1
+  UNION ALL SELECT * FROM (SELECT x.series_id, x.seed, r.i, CASE WHEN base > t AND abs(base - t - iv) <= abs(base + 43200 - t - iv) THEN base WHEN base + 43200 > t THEN base + 43200 END::BIGINT AS nt,
+    (CASE WHEN base > t AND abs(base - t - iv) <= abs(base + 43200 - t - iv) THEN base ELSE base + 43200 END - t = iv)::BIGINT AS hit
+    FROM walk x JOIN r ON r.series_id = x.series_id AND r.i = x.i + 1 JOIN iv ON iv.series_id = x.series_id) WHERE nt IS NOT NULL),
+n AS (SELECT series_id, count(*) AS n FROM r GROUP BY 1),
+ok AS (SELECT series_id, seed, sum(hit) / greatest(max(n) - 1, 1) AS pace FROM walk JOIN n USING (series_id) GROUP BY 1, 2 HAVING count(*) = max(n) AND max(n) >= 4),
+z AS (SELECT walk.series_id || '.' || seed AS series_id, d + to_seconds(t - di * 86400) AS ts, lux FROM walk JOIN r USING (series_id, i) JOIN o USING (series_id, d) JOIN ok USING (series_id, seed))"""
+add("c5_collapsed_clock", c5_collapsed_clock, f"""WITH RECURSIVE {_C5}, {_phase_again('a', 'z')},
+j AS (SELECT ok.series_id, seed, pace, offset_h, evaluable FROM ok JOIN aph ON aph.series_id = ok.series_id || '.' || seed),
+x AS (SELECT series_id, bool_and(evaluable) AND min(offset_h) <= 3 AS lit, min(seed) AS least, min(offset_h) FILTER (seed = 0) AS o0, min(offset_h) FILTER (seed = 1) AS o1,
+  min(pace) FILTER (seed = 0) AS p0, min(pace) FILTER (seed = 1) AS p1 FROM j GROUP BY 1),
+e AS (SELECT series_id, lit, CASE WHEN o0 IS NULL OR o1 IS NULL THEN least WHEN abs(o0 - o1) < 1e-6 THEN (p1 > p0)::INT ELSE (o1 < o0)::INT END AS seed FROM x),
+f AS (SELECT j.series_id, j.seed FROM e JOIN j USING (series_id, seed) WHERE lit AND pace >= 0.95)
+SELECT r.series_id, r.sample_no, CAST(CASE WHEN f.seed IS NULL THEN r.ts ELSE d + to_seconds(t - di * 86400) END AS TIMESTAMP) AS ts, CASE WHEN f.seed IS NULL THEN 'refused' ELSE 'repaired' END AS verdict
+FROM r JOIN o USING (series_id, d) LEFT JOIN f ON f.series_id = r.series_id LEFT JOIN walk ON walk.series_id = r.series_id AND walk.seed = f.seed AND walk.i = r.i""")
 
 
 def _region_daily(spark, path):
