@@ -15,6 +15,7 @@ from tidelint.plans.layouts import known_instrument, layout_of
 from tidelint.registry.base import EV, LIGHT, WATER, light_series, scalar_series, table, water_series
 from tidelint.registry.prep import _ORD_LABEL, _WORDS
 from tidelint.sources import products as pr
+from tidelint.sources import provenance as pv
 from tidelint.sources import text_exports as te
 
 QUERIES, SQL = {}, {}
@@ -194,12 +195,46 @@ pp AS (SELECT *, site || '_' || sem || '_' || inst || '_' || k || '_QLF' AS prod
 ix AS (SELECT path, product, inst AS instrument, sem AS semester, bucket, site, count(*) AS n_rows, min(ts) AS t_start, max(ts) AS t_end, count(co2) AS co2_points FROM pp GROUP BY ALL)"""
 
 
+def provenance_lines(spark, path):
+    """Lines of one provenance file per product folder: two blocks a product, of
+    which the later counts, some without a CO2 file, and a note in between."""
+    index = ca.product_index(product_rows(spark, path), "path", "ts", "co2")
+    k = F.substring_index(F.regexp_replace("product", "_QLF$", ""), "_", -1).cast("int")
+    n = F.regexp_extract("site", r"(\d+)", 1).cast("int")
+
+    def block(version, no):
+        co2 = F.when((n + k) % 3 != 0, F.concat(F.lit("  co2 : c"), n.cast("string"), F.lit(".txt"))).otherwise(F.lit("  note: no CO2"))
+        lines = [F.col("product"), F.concat(F.lit("  tipo      : "), F.lit(version)), F.concat(F.lit("\tcampaign: C"), F.col("semester")),
+                 F.concat(F.lit("  cast : "), F.col("t_start").cast("string")), co2, F.lit("   "), F.concat(F.lit("  stations: st"), n.cast("string"), F.lit(" ")),
+                 F.concat(F.lit("  inputs : raw/"), n.cast("string"), F.lit(".csv | raw/"), (n % 4).cast("string"), F.lit(version), F.lit(".csv")), F.lit("")]
+        return F.transform(F.array(*[F.struct(F.lit(i).alias("i"), x.alias("line")) for i, x in enumerate(lines)]),
+                           lambda x: F.struct((x["i"] + no + 100 * k).cast("long").alias("line_no"), x["line"].alias("line")))
+
+    note = F.array(F.struct((F.lit(90) + 100 * k).cast("long").alias("line_no"), F.lit("  free text: not a block").alias("line")),
+                   F.struct((F.lit(91) + 100 * k).cast("long").alias("line_no"), F.lit("").alias("line")))
+    every = index.select(F.concat(pv.folder_of(F.col("path")), F.lit("/provenance.txt")).alias("file"),
+                         F.explode(F.concat(block("old", 0), block("new", 20), note)).alias("x"))
+    return every.select("file", "x.*")
+
+
 def a9_product_index(spark, path):
-    return ca.product_index(product_rows(spark, path), "path", "ts", "co2")
+    index = ca.product_index(product_rows(spark, path), "path", "ts", "co2")
+    return pv.with_provenance(index, pv.provenance_blocks(provenance_lines(spark, path)))
 
 
-add("a9_product_index", a9_product_index, f"""WITH {_PROD.replace('GROUP BY ALL', 'GROUP BY 1, 2, 3, 4, 5, 6')} SELECT * FROM ix""")
 _PROD = _PROD.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6")
+add("a9_product_index", a9_product_index, f"""WITH {_PROD} SELECT ix.*, 'new' AS kind, 'C' || semester AS campaign, strftime(t_start, '%Y-%m-%d %H:%M:%S') AS cast_start,
+CASE WHEN (CAST(substr(site, 2) AS INTEGER) + CAST(string_split(product, '_')[-2] AS INTEGER)) % 3 <> 0 THEN 'c' || substr(site, 2) || '.txt' ELSE '-' END AS co2_file,
+'st' || substr(site, 2) AS stations, 'raw/' || substr(site, 2) || '.csv | raw/' || (CAST(substr(site, 2) AS INTEGER) % 4) || 'new.csv' AS inputs FROM ix""")
+
+
+def s8_provenance_inputs(spark, path):
+    """Raw exports of the provenance files that feed more than one product."""
+    return ca.shared_inputs(a9_product_index(spark, path), "product", "inputs")
+
+
+add("s8_provenance_inputs", s8_provenance_inputs, f"""WITH {_PROD}, x AS (SELECT product, unnest(['raw/' || substr(site, 2) || '.csv', 'raw/' || (CAST(substr(site, 2) AS INTEGER) % 4) || 'new.csv']) AS source FROM ix)
+SELECT source, count(DISTINCT product) AS products FROM x GROUP BY 1 HAVING count(DISTINCT product) > 1""")
 
 
 def _delivery(spark, path):
@@ -230,6 +265,19 @@ add("a11_latest_provenance", a11_latest_provenance, """SELECT o_custkey, o_order
 (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
 
 
+def a11_replaced_blocks(spark, path):
+    """Orders by customer, of which every third customer is replaced by the latest order alone."""
+    o = table(spark, path, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    target = f"{pr.shared_folder(spark)}/blocks-{uuid.uuid4()}"
+    pv.replace_blocks(o, target, "o_custkey")
+    pv.replace_blocks(ca.latest_blocks(o.where("o_custkey % 3 = 0"), ["o_custkey"], ["o_orderdate", "o_orderkey"]), target, "o_custkey")
+    return pv.read_blocks(spark, target, "o_custkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+add("a11_replaced_blocks", a11_replaced_blocks, """SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice FROM
+(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1 AND o_custkey % 3 = 0""")
+
+
 # ----------------------------------------------------------- S1 - S3, O, G19
 def _frames(spark, path):
     w = water_series(spark, path)

@@ -38,12 +38,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: str |
     writer.save(path)
 
 
-def replace_blocks(df: DataFrame, path: str, key: str) -> None:
-    """Idempotent per-key replacement: only the keys in ``df`` are rewritten."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(key).parquet(path))
-
-
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     reader = spark.read.format(fmt)
     if fmt == "csv":
