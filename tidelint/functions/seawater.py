@@ -134,15 +134,16 @@ def with_density(df: DataFrame, sa: Column, ct: Column, p: Column, out: str) ->
             .drop("_dx", "_dy", "_dz", "_dk"))
 
 
-def depth_from_pressure(p: Column, latitude: float, subtract_atmosphere: bool = True) -> Column:
+def depth_from_pressure(p: Column, latitude: float | Column, subtract_atmosphere: bool = True) -> Column:
     """UNESCO (1983) depth in metres, rounded half-even to centimetres.
 
     Fixed values: the coefficients are those of the published formula.
     """
     if subtract_atmosphere:
         p = p - F.lit(10.1325)
-    x = math.sin(latitude / 57.29578) ** 2
-    g = F.lit(9.780318 * (1.0 + (5.2788e-3 + 2.36e-5 * x) * x)) + F.lit(1.092e-6) * p
+    latitude = latitude if isinstance(latitude, Column) else F.lit(float(latitude))
+    x = F.pow(F.sin(latitude / 57.29578), F.lit(2.0))
+    g = F.lit(9.780318) * (F.lit(1.0) + (F.lit(5.2788e-3) + F.lit(2.36e-5) * x) * x) + F.lit(1.092e-6) * p
     metres = ((((F.lit(-1.82e-15) * p + F.lit(2.279e-10)) * p - F.lit(2.2512e-5)) * p
                + F.lit(9.72659)) * p) / g
     return round_even(metres, 2)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.flags import BAD, GOOD, MISSING, UNKNOWN, flag
-from tidelint.functions.solar import clear_sky_factor
+from tidelint.functions.solar import clear_sky_factor, yearly_maximum_of
 from tidelint.functions.timespec import micros
 from tidelint.operators.ordering import Position, attach, attach_aggregates, ordered
 from tidelint.operators.qc_tests import c
@@ -84,14 +84,21 @@ def fixed_cutoff(df: DataFrame, keys, ts: str = "ts", days: int = 60) -> DataFra
 
 def fouling_baseline(df: DataFrame, keys, ts: str = "ts", light: str = "lux", baseline_days: int = 7,
                      cutoff_fraction: float = 0.5, sustain_days: int = 3,
-                     recovery_fraction: float = 0.2, latitude: float | None = None) -> DataFrame:
+                     recovery_fraction: float = 0.2, latitude: float | None = None,
+                     places: DataFrame | None = None) -> DataFrame:
     """Where the light of each series starts its final decline.
 
     The rows are reduced to one peak per day first; only days are ordered.
+    ``places`` (keys, ``latitude``) gives each series its own latitude; a series
+    without one takes ``latitude``, and is not corrected where that is None.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     peaks = daily_peak(df, keys, ts, light)
-    work = F.col("peak") / clear_sky_factor(F.col("day"), latitude) if latitude is not None else F.col("peak")
+    sky = clear_sky_factor(F.col("day"), latitude) if latitude is not None else F.lit(1.0)
+    if places is not None:
+        peaks = attach(peaks, places.select(*keys, F.col("latitude").alias("_lat"), yearly_maximum_of(F.col("latitude")).alias("_top")), keys)
+        sky = F.coalesce(clear_sky_factor(F.col("day"), F.col("_lat"), maximum=F.col("_top")), sky)
+    work = F.col("peak") / sky
     s = ordered(peaks.withColumn("_w", work), keys, "day").scan(_rn=Position())
     rows = attach_aggregates(s.rows, keys, {
         "_days": F.count(F.lit(1)), "_base": F.max(F.when(F.col("_rn") < baseline_days, F.col("_w")))}, s.cuts)

@@ -38,7 +38,10 @@ def test_report(flags: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overall_report(df: DataFrame, keys: list[str], flags: list[str], valid_of: list[str]) -> DataFrame:
-    """Totals, rows without bad data in ``valid_of``, and bad/suspect/missing per flag."""
+    """Totals, rows without bad data in ``valid_of``, and bad/suspect/missing per
+    flag; those of the light channel too where ``df`` has its flag. Light does
+    not count against a row."""
+    flags = [*flags, *(["Flag_lux"] if "Flag_lux" in df.columns and "Flag_lux" not in flags else [])]
     any_bad = None
     for f in valid_of:
         hit = F.col(f) == 4

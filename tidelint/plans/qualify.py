@@ -9,7 +9,7 @@ from tidelint.functions import seawater
 from tidelint.operators import light as li
 from tidelint.operators import preprocess as pp
 from tidelint.operators.currents import current_flags
-from tidelint.operators.ordering import Position, ordered
+from tidelint.operators.ordering import Position, attach, ordered
 from tidelint.operators.qc_tests import CurrentLimits, c
 from tidelint.operators.timejoin import interpolate
 from tidelint.plans import layouts
@@ -24,13 +24,21 @@ def region_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(REGIONS), "region string, latitude double, longitude double")
 
 
+def places_of(regions: DataFrame, site: str = SITE) -> DataFrame:
+    """(site, latitude, longitude) from the region of each site (``site``, ``region``)."""
+    return regions.join(region_table(regions.sparkSession), "region").select(site, "latitude", "longitude")
+
+
 def latitude_of(region: str) -> float:
     return {name: lat for name, lat, _lon in REGIONS}[region]
 
 
 def prepare_scalar(df: DataFrame, criteria: Criteria, gmt: bool, profile: bool, row: str,
-                   co2: DataFrame | None = None) -> DataFrame:
-    """Local time, CO2 merge, depth, non-physical values, surface cut."""
+                   co2: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Local time, CO2 merge, depth, non-physical values, surface cut.
+
+    ``places`` (Site, ``latitude``) gives the depth at each site its own
+    latitude; sites that are not in it take that of the criteria."""
     if gmt:
         df = pp.shift_hours(df, -3, TIME)
     if co2 is not None:
@@ -39,7 +47,11 @@ def prepare_scalar(df: DataFrame, criteria: Criteria, gmt: bool, profile: bool,
     df = pp.drop_secondary_temperatures(df)
     if pp.has_only_pressure(df):
         name = next(n for n in df.columns if "pressure" in n.lower())
-        df = df.withColumn("Depth (m)", seawater.depth_from_pressure(c(name), criteria.latitude))
+        latitude = F.lit(float(criteria.latitude))
+        if places is not None:
+            df = attach(df, places.select(SITE, F.col("latitude").alias("_latitude")), SITE)
+            latitude = F.coalesce("_latitude", latitude)
+        df = df.withColumn("Depth (m)", seawater.depth_from_pressure(c(name), latitude)).drop("_latitude")
     df = ordered(df, SERIES, row).scan(_n=Position()).rows
     df = df.withColumn(SAMPLE, F.col("_n") + 1).drop("_n")
     values = [n for n, t in df.dtypes if t == "double"]
@@ -49,14 +61,14 @@ def prepare_scalar(df: DataFrame, criteria: Criteria, gmt: bool, profile: bool,
 
 def qualify_scalar(df: DataFrame, criteria: Criteria | None = None, profile: bool = False, gmt: bool = True,
                    co2: DataFrame | None = None, remove_bad: bool = False, remove_suspect: bool = False,
-                   row: str = "line_no") -> DataFrame:
+                   row: str = "line_no", places: DataFrame | None = None) -> DataFrame:
     """Qualify scalar series with canonical column names.
 
     ``row`` is the recording order inside a series. The result has the fixed
     layout, the flag string and one rollup flag per variable.
     """
     criteria = criteria or Criteria()
-    df = prepare_scalar(df, criteria, gmt, profile, row, co2)
+    df = prepare_scalar(df, criteria, gmt, profile, row, co2, places)
     plan = profile_plan() if profile else mooring_plan()
     columns = {k: name for k, (name, _s, _e) in VARIABLES.items() if name in df.columns}
     depth = "Depth (m)" if "Depth (m)" in df.columns else None
@@ -66,11 +78,13 @@ def qualify_scalar(df: DataFrame, criteria: Criteria | None = None, profile: boo
 
 
 def qualify_light(df: DataFrame, criteria: Criteria | None = None, mode: str = "adaptive",
-                  remove_bad: bool = False, remove_suspect: bool = False) -> tuple[DataFrame, DataFrame]:
+                  remove_bad: bool = False, remove_suspect: bool = False,
+                  places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Qualify light/temperature series (``ts``, ``temp``, ``lux``).
 
     Returns the qualified table and one verdict per series: clock phase and
-    light window. ``mode`` is ``adaptive`` or ``fixed``.
+    light window. ``mode`` is ``adaptive`` or ``fixed``; ``places`` (Site,
+    ``latitude``) corrects the sky over each site.
     """
     criteria = criteria or Criteria()
     df = ordered(df, SERIES, ["ts", "line_no"]).scan(_n=Position()).rows
@@ -82,7 +96,8 @@ def qualify_light(df: DataFrame, criteria: Criteria | None = None, mode: str = "
     if mode == "fixed":
         window = li.fixed_cutoff(df, SERIES, days=criteria.light_fixed_days)
     else:
-        window = li.fouling_baseline(df, SERIES, baseline_days=criteria.light_baseline_days,
+        own = df.select(SERIES, SITE).distinct().join(places, SITE).select(SERIES, "latitude") if places is not None else None
+        window = li.fouling_baseline(df, SERIES, places=own, baseline_days=criteria.light_baseline_days,
                                      cutoff_fraction=criteria.light_cutoff_fraction,
                                      sustain_days=criteria.light_sustain_days, latitude=criteria.latitude)
     flagged = li.light_flag(flagged, window, SERIES)

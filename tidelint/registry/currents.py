@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelint.operators import currents as cu
 from tidelint.operators.ordering import Position, ordered
 from tidelint.operators.selection import depth_band, time_window
+from tidelint.plans.qualify import qualify_currents
 from tidelint.registry.base import CELLS, WATER, cells, table, water_series
 
 QUERIES, SQL = {}, {}
@@ -38,6 +39,17 @@ def q15_current_qc(spark, path):
 add("q15_current_qc", q15_current_qc, f"""WITH {FLAGGED} SELECT record, cell, part, ts, speed, flag AS "Flag", CAST(fc AS INTEGER) AS "Flag_cur" FROM fl""")
 
 
+def q15_current_product(spark, path):
+    """The qualified table of a current profiler: local time, reviewed, fixed digits."""
+    d = cells(spark, path).withColumnRenamed("ts", "Datetime").withColumn("Datetime", F.col("Datetime").cast("timestamp_ntz"))
+    out = qualify_currents(d, _COLS, reviewed=True)
+    return out.select("site", "record", "cell", "part", "Datetime", "speed", "Flag", "Flag_cur")
+
+
+add("q15_current_product", q15_current_product, f"""WITH {FLAGGED} SELECT site, record, cell, part, CAST(ts AS TIMESTAMP) - INTERVAL 3 HOUR AS "Datetime", speed,
+CASE WHEN speed IS NULL THEN '99999' ELSE f1 || '' || f2 || f3 || f4 || '1' END AS "Flag", CAST(fc AS INTEGER) AS "Flag_cur" FROM fl""")
+
+
 def q15_current_qc_off(spark, path):
     d = cu.current_flags(cells(spark, path), _COLS, off=frozenset({"cur_range", "cur_tilt"}), reviewed=True)
     return d.groupBy("site", "Flag", "Flag_cur").agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,8 @@ from tidelint.operators.reports import unpivot
 from tidelint.plans import layouts
 from tidelint.plans.criteria import Criteria
 from tidelint.plans.test_plan import Test, run_plan
+from tidelint.plans.criteria import REGIONS
+from tidelint.plans.qualify import places_of
 from tidelint.registry.base import CELLS, EV, WATER, cells, scalar_series, table, water_series
 from tidelint.sources import stamps
 
@@ -48,6 +50,24 @@ add("b2_depth", b2_depth, f"""WITH {WATER}, q AS (SELECT *, "P" - 10.1325 AS q,
 g AS (SELECT *, 9.780318 * (1.0 + (5.2788e-3 + 2.36e-5 * x) * x) + 1.092e-6 * q AS g FROM q)
 SELECT series_id, sample_no, round_even((((((-1.82e-15 * q + 2.279e-10) * q - 2.2512e-5) * q + 9.72659) * q) / g) * 100, 0) / 100 AS depth FROM g""")
 
+
+def site_places(sites):
+    """The region of each site, by its number, and with it its latitude."""
+    names = F.array(*[F.lit(name) for name, _lat, _lon in REGIONS])
+    return places_of(sites.select("site", F.element_at(names, (F.substring("site", 2, 9).cast("int") % len(REGIONS)) + 1).alias("region")), "site")
+
+
+def b2_depth_by_site(spark, path):
+    w = water_series(spark, path)
+    w = w.join(site_places(w.select("site").distinct()), "site")
+    return w.select("series_id", "sample_no", seawater.depth_from_pressure(F.col("P"), F.col("latitude")).alias("depth"))
+
+
+add("b2_depth_by_site", b2_depth_by_site, f"""WITH {WATER}, q AS (SELECT *, "P" - 10.1325 AS q,
+pow(sin([-1.0, -4.5, -8.5, -17.5, -23.5, -30.0][CAST(substr(site, 2) AS INTEGER) % 6 + 1]::DOUBLE / 57.29578), 2) AS x FROM water),
+g AS (SELECT *, 9.780318 * (1.0 + (5.2788e-3 + 2.36e-5 * x) * x) + 1.092e-6 * q AS g FROM q)
+SELECT series_id, sample_no, round_even((((((-1.82e-15 * q + 2.279e-10) * q - 2.2512e-5) * q + 9.72659) * q) / g) * 100, 0) / 100 AS depth FROM g""")
+
 _RULES = {"Chlorophyll (ug/L)": "chl", "PAR (umol/m2/s)": "par", "Temperature (degC)": "t"}
 
 

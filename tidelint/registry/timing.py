@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelint.functions.flags import range_flag
 from tidelint.operators import light as li
 from tidelint.operators import replicates as rp
+from tidelint.operators import reports
 from tidelint.operators import timejoin as tj
 from tidelint.operators.ordering import Prev, ordered
 from tidelint.registry.base import EV, LIGHT, light_series, scalar_series, table
@@ -428,6 +430,37 @@ add("q11_fouling_uncorrected", q11_fouling_uncorrected, f"""WITH {LIGHT12}, {_fo
 round(recovery_fraction, 6) AS recovery_fraction FROM fb""")
 
 
+def q11_fouling_by_place(spark, path):
+    """Every series under the sky of its own latitude; the last two have none."""
+    s = _by_third(spark, path)
+    g = F.substring("series_id", 2, 3).cast("int")
+    lat = F.element_at(F.array(*[F.lit(x) for x in (-1.0, -30.0, -60.0, 45.0, 68.0)]), g % 5 + 1)
+    places = s.select("series_id").distinct().where(g < 10).select("series_id", lat.alias("latitude"))
+    out = li.fouling_baseline(s, "series_id", places=places)
+    return out.select("series_id", "days", "evaluable", F.round("baseline", 4).alias("baseline"), "cutoff", F.round("recovery_fraction", 6).alias("recovery_fraction"))
+
+
+_SKY = "{sine} * pow(0.75, 1.0 / {sine})".format(sine="greatest(sin(pi() / 2 - abs(radians(lat) - radians(23.44) * -cos(2 * pi() * ({d} + 10) / 365.25))), 0.05)")
+add("q11_fouling_by_place", q11_fouling_by_place, f"""WITH {LIGHT12}, pl AS (SELECT DISTINCT series_id, [-1.0, -30.0, -60.0, 45.0, 68.0][CAST(substr(series_id, 2) AS INTEGER) % 5 + 1]::DOUBLE AS lat FROM l12 WHERE CAST(substr(series_id, 2) AS INTEGER) < 10),
+mx AS (SELECT series_id, any_value(lat) AS lat, max({_SKY.format(d='d')}) AS top FROM pl, range(1, 366) r(d) GROUP BY 1),
+{_fouling_sql(None).replace('max(lux) AS pk FROM l12', 'max(lux) AS pk0 FROM l12').replace('dw AS (SELECT *, pk AS wk', 'dq AS (SELECT dp.*, pk0 / coalesce(' + _SKY.format(d='dayofyear(day)') + ' / top, 1.0) AS pk FROM dp LEFT JOIN mx USING (series_id)), dw AS (SELECT *, pk AS wk').replace('FROM dp),', 'FROM dq),')}
+SELECT series_id, days, evaluable, round(baseline, 4) AS baseline, cutoff, round(recovery_fraction, 6) AS recovery_fraction FROM fb""")
+
+
+def g3_light_report(spark, path):
+    """Totals of light loggers: temperature range and light window."""
+    s = _by_third(spark, path)
+    flagged = li.light_flag(s, li.fouling_baseline(s, "series_id", latitude=LATITUDE), "series_id", out="Flag_lux")
+    rows = flagged.withColumn("Flag_T", range_flag(F.col("temp"), 2, 12))
+    return reports.overall_report(rows, ["series_id"], ["Flag_T"], ["Flag_T"])
+
+
+add("g3_light_report", g3_light_report, f"""WITH {LIGHT12}, {_fouling_sql(LATITUDE)}, f AS (SELECT series_id, CASE WHEN temp IS NULL THEN 9 WHEN temp < 2 OR temp > 12 THEN 4 ELSE 1 END AS t,
+CASE WHEN lux IS NULL THEN 9 WHEN NOT coalesce(evaluable, false) THEN 2 WHEN ts >= cutoff THEN 4 ELSE 1 END AS x FROM l12 LEFT JOIN fb USING (series_id))
+SELECT series_id, count(*) AS total, count(*) FILTER (t <> 4) AS valid, count(*) FILTER (t = 4) AS "T_bad", count(*) FILTER (t = 3) AS "T_suspect", count(*) FILTER (t = 9) AS "T_missing",
+count(*) FILTER (x = 4) AS lux_bad, count(*) FILTER (x = 3) AS lux_suspect, count(*) FILTER (x = 9) AS lux_missing FROM f GROUP BY 1""")
+
+
 def q12_clock_phase(spark, path):
     """Groups 4 to 7 run twelve hours late; 8 to 11 on a collapsed clock."""
     s = _by_third(spark, path)
