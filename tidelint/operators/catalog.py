@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
-from tidelint.operators.ordering import Position, Prev, RunningSum, attach_aggregates, ordered
+from tidelint.operators.ordering import PIECE, Position, Prev, RunningSum, attach_aggregates, kept, measured, ordered
 
 _DAY = "INTERVAL 1 DAY"
 
@@ -129,46 +129,105 @@ def _one_deployment(start: int, end: int, starts: np.ndarray, ends: np.ndarray)
     return (apart <= _DAY_US) | (alike & (apart <= _REACH))
 
 
-def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deployments of files that come in order of chain and start; holds the groups of the last three days only."""
-    chain, names = None, []
-    starts = ends = np.zeros(0, np.int64)
+_Open = tuple[list[str], np.ndarray, np.ndarray]       # names, starts and ends of the groups that may still grow
+_NONE: _Open = ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _assigned(files: Iterator[tuple[str, int, int]], held: _Open) -> tuple[list[str], _Open]:
+    """Deployments of files in start order after the open groups of those before, and the groups open at the end."""
+    names, starts, ends = held
+    out = []
+    for name, start, end in files:
+        past = int(np.searchsorted(starts, start - _REACH))         # too old to take this file or a later one
+        names, starts, ends = names[past:], starts[past:], ends[past:]
+        fits = np.flatnonzero(_one_deployment(start, end, starts, ends))
+        if len(fits):
+            ends = ends.copy()
+            ends[fits[0]] = max(ends[fits[0]], end)
+            out.append(names[fits[0]])
+        else:
+            names, starts, ends = [*names, name], np.append(starts, start), np.append(ends, end)
+            out.append(name)
+    return out, (names, starts, ends)
+
+
+def _by_site(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sites one after the other, whatever batches they come in; only open groups are held."""
+    site, held = None, _NONE
     for batch in batches:
-        out = []
-        for key, name, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if key != chain:
-                chain, names, starts, ends = key, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-            past = int(np.searchsorted(starts, start - _REACH))         # too old to take this file or a later one
-            names, starts, ends = names[past:], starts[past:], ends[past:]
-            fits = np.flatnonzero(_one_deployment(start, end, starts, ends))
-            if len(fits):
-                ends[fits[0]] = max(ends[fits[0]], end)
-                out.append(names[fits[0]])
-            else:
-                names, starts, ends = [*names, name], np.append(starts, start), np.append(ends, end)
-                out.append(name)
-        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(1), pa.array(out, pa.string())], ["site", "name", "deployment"])
+        out: list[str] = []
+        sites = batch.column(0).to_pylist()
+        files = list(zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True))
+        edges = [0, *[i for i in range(1, len(sites)) if sites[i] != sites[i - 1]], len(sites)]
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            if a < z:
+                if sites[a] != site:
+                    site, held = sites[a], _NONE
+                own, held = _assigned(iter(files[a:z]), held)
+                out += own
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["site", "name", "deployment"])
+
+
+def _by_piece(files: pa.Table, before: pa.Table) -> pa.Table:
+    """One piece of a long site after the groups handed over to it; the last row hands its own on."""
+    held = _NONE
+    if before.num_rows:
+        held = before.column("names")[0].as_py(), np.array(before.column("starts")[0].as_py(), np.int64), np.array(before.column("ends")[0].as_py(), np.int64)
+    if not files.num_rows:
+        return pa.table({**{c: files.column(c) for c in ("site", "piece", "name")}, "deployment": files.column("name"),
+                         **{c: before.column(c).slice(0, 0) for c in ("names", "starts", "ends")}})
+    files = files.sort_by([("start", "ascending"), ("name", "ascending")])
+    out, (names, starts, ends) = _assigned(zip(*(files.column(c).to_pylist() for c in ("name", "start", "end")), strict=True), held)
+    n = files.num_rows
+    nothing = [None] * n
+    return pa.table({"site": pa.concat_arrays([files.column("site").combine_chunks(), files.column("site").combine_chunks().slice(0, 1)]),
+                     "piece": pa.array(files.column("piece").to_pylist() + [files.column("piece")[0].as_py()], pa.int64()),
+                     "name": pa.array(files.column("name").to_pylist() + [None], pa.string()), "deployment": pa.array([*out, None], pa.string()),
+                     "names": pa.array([*nothing, names], pa.list_(pa.string())), "starts": pa.array([*nothing, starts.tolist()], pa.list_(pa.int64())),
+                     "ends": pa.array([*nothing, ends.tolist()], pa.list_(pa.int64()))})
+
+
+def _handed_over(rows: DataFrame, kind: str) -> DataFrame:
+    """Groups of files in pieces: each piece starts from the groups that the one before left open.
+
+    At first none is known to be open. A piece whose files reach across its
+    border then hands on other groups than it was taken to, and all are run
+    again with those, until every piece has started from what it was given. A
+    group can only be open for three days, so two or three rounds are usual.
+    """
+    state = "names array<string>, starts array<bigint>, ends array<bigint>"
+    given = rows.sparkSession.createDataFrame([], f"site {kind}, piece bigint, {state}")
+    while True:
+        done = kept(rows.groupBy("site", "piece").cogroup(given.groupBy("site", "piece"))
+                    .applyInArrow(_by_piece, f"site {kind}, piece bigint, name string, deployment string, {state}"))
+        left = done.where("names IS NOT NULL").select("site", (F.col("piece") + 1).alias("piece"), "names", "starts", "ends")
+        left = left.join(rows.select("site", "piece").distinct(), ["site", "piece"], "left_semi")
+        if left.exceptAll(given).isEmpty():
+            return done.where("names IS NULL").select("site", "name", "deployment")
+        given = left
 
 
 def group_replicates(spans: DataFrame, site: str, name: str, start: str, end: str) -> DataFrame:
     """Group files whose spans are the same deployment, in start order.
 
     A file joins the oldest group that it fits, and widens it. A group can only
-    take files that start within three days of its own start, so a longer pause
-    between starts parts the files of a site into independent chains. Chains
-    stream through the tasks in order, one small row per file, and only groups
-    of the last three days are kept. Files without a span are groups of their own.
+    take files that start within three days of its own start, so only the groups
+    of the last three days are ever held. Sites stream through the tasks, one
+    small row per file; a site of more files than a piece holds is cut into
+    pieces that hand their open groups on. Files without a span are groups of
+    their own; a file without a site is of one site with the others like it.
     """
-    known = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(site, name, start, end)
-    s = ordered(known, site, [start, name]).scan(_before=Prev(start))
-    opens = F.coalesce(F.col(start) > F.col("_before") + F.expr("INTERVAL 3 DAYS"), F.lit(True))
-    s = s.with_columns(_open=opens.cast("long")).scan(_chain=RunningSum("_open"))
-    chains = s.rows.select(F.concat_ws(" ", F.col("_chain").cast("string"), F.col(site).cast("string")).alias("chain"), F.col(name).cast("string").alias("name"),
-                           micros(F.col(start)).alias("start"), micros(F.col(end)).alias("end"), F.col(site).alias("site"))
     types = dict(spans.dtypes)
-    grouped = (chains.repartition("chain").sortWithinPartitions("chain", "start", "name")
-               .mapInArrow(_assigned, f"site {types[site]}, name string, deployment string")
-               .select(F.col("site").alias(site), F.col("name").cast(types[name]).alias(name), "deployment"))
+    known = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        F.col(site).alias("site"), F.col(name).cast("string").alias("name"), micros(F.col(start)).alias("start"), micros(F.col(end)).alias("end"))
+    cuts = measured(known, "site", ("start", "name"))
+    if cuts.none:
+        grouped = (known.repartition("site").sortWithinPartitions("site", "start", "name")
+                   .mapInArrow(_by_site, f"site {types[site]}, name string, deployment string"))
+    else:
+        pieces = cuts.numbered(known).withColumn("piece", F.coalesce(PIECE, F.lit(0))).drop(PIECE)
+        grouped = _handed_over(pieces, types[site])
+    grouped = grouped.select(F.col("site").alias(site), F.col("name").cast(types[name]).alias(name), "deployment")
     lone = spans.where(F.col(start).isNull() | F.col(end).isNull()).select(site, name, F.col(name).cast("string").alias("deployment"))
     return grouped.unionByName(lone)
 
