@@ -62,25 +62,25 @@ class Cuts:
         """
         if self.none:
             return df.withColumns({out: F.lit(0).cast("bigint"), "_own": F.lit(True)})
-        both = df.alias("a").join(F.broadcast(self.table).alias("b"), _same("a", "b", self.keys), "left").select("a.*", F.flatten("b._b").alias("_b"))
+        both = df.alias("a").join(F.broadcast(self.table).alias("b"), _same("a", "b", self.keys), "left").select("a.*", F.flatten("b._borders").alias("_borders"))
         at = F.struct(*[_c(n) for n in self.by])
-        piece = F.coalesce(F.size(F.filter("_b", lambda b: b <= at)), F.lit(0))
-        near = F.coalesce(F.size(F.filter("_b", lambda b: b[t] < _c(t) - span)), F.lit(0))
-        begins = F.coalesce(F.exists("_b", lambda b: b.eqNullSafe(at)), F.lit(False)).cast("int")
-        rows = both.withColumns({"_p": F.when(F.col("_b").isNull(), 0).otherwise(piece), "_near": near, "_begins": begins})
-        first = F.when(F.col("_b").isNull(), 0).otherwise(F.least("_near", F.col("_p") - F.col("_begins")))
+        piece = F.coalesce(F.size(F.filter("_borders", lambda b: b <= at)), F.lit(0))
+        near = F.coalesce(F.size(F.filter("_borders", lambda b: b[t] < _c(t) - span)), F.lit(0))
+        begins = F.coalesce(F.exists("_borders", lambda b: b.eqNullSafe(at)), F.lit(False)).cast("int")
+        rows = both.withColumns({"_p": F.when(F.col("_borders").isNull(), 0).otherwise(piece), "_near": near, "_begins": begins})
+        first = F.when(F.col("_borders").isNull(), 0).otherwise(F.least("_near", F.col("_p") - F.col("_begins")))
         return (rows.withColumn(out, F.explode(F.sequence(first.cast("bigint"), F.col("_p").cast("bigint"))))
-                .withColumn("_own", F.col(out) == F.col("_p")).drop("_b", "_p", "_near", "_begins"))
+                .withColumn("_own", F.col(out) == F.col("_p")).drop("_borders", "_p", "_near", "_begins"))
 
     def numbered(self, df: DataFrame) -> DataFrame:
         """Rows with the number of their piece; null in a series of one piece."""
         if self.none:
             return df
         at = F.struct(*[_c(n) for n in self.by])
-        group = F.size(F.filter("_b", lambda g: g[0] <= at))
-        inside = F.size(F.filter(F.element_at("_b", group), lambda b: b <= at))
+        group = F.size(F.filter("_borders", lambda g: g[0] <= at))
+        inside = F.size(F.filter(F.element_at("_borders", group), lambda b: b <= at))
         number = F.floor(_c(self.by[0]) / self.rows) if self.position else F.when(group == 0, F.lit(0)).otherwise((group - 1) * _FAN + inside)
-        piece = F.when(F.col("_b").isNotNull(), number)
+        piece = F.when(F.col("_borders").isNotNull(), number)
         both = df.alias("a").join(F.broadcast(self.table).alias("b"), _same("a", "b", self.keys), "left")
         return both.select("a.*", piece.cast("long").alias(PIECE))
 
@@ -128,9 +128,9 @@ def measured(df: DataFrame, keys, by) -> Cuts:
         *[F.col(f"b.`_k_{k}`") for k in keys], F.struct(*[F.col(f"a.`{n}`") for n in by]).alias("_at"))
     order = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_at")
     border = drawn.withColumn("_i", F.row_number().over(order)).where(F.col("_i") % _DRAWN == 0)
-    found = border.groupBy(*[f"_k_{k}" for k in keys]).agg(F.array_sort(F.collect_set("_at")).alias("_b"))
-    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_b") / _FAN).cast("int") - 1), lambda i: F.slice("_b", i * _FAN + 1, F.lit(_FAN)))
-    found = found.withColumn("_b", chunks)
+    found = border.groupBy(*[f"_k_{k}" for k in keys]).agg(F.array_sort(F.collect_set("_at")).alias("_borders"))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_borders") / _FAN).cast("int") - 1), lambda i: F.slice("_borders", i * _FAN + 1, F.lit(_FAN)))
+    found = found.withColumn("_borders", chunks)
     return Cuts(keys, by, df.sparkSession.createDataFrame(found.collect(), found.schema), rows)
 
 

@@ -44,9 +44,9 @@ def _sides(targets: DataFrame, sources: DataFrame, keys: list[str], ts: str,
         "_row.*", "_t", "_l", "_r", F.coalesce("_s1", "_s2").alias("_st"))
 
 
-def _line(i: int) -> Column:
+def _line(i: int, left: str = "_l", right: str = "_r") -> Column:
     """Linear value of the i-th channel at the target."""
-    lt, rt, lv, rv = F.col("_l.t"), F.col("_r.t"), F.col("_l.v")[i], F.col("_r.v")[i]
+    lt, rt, lv, rv = F.col(f"{left}.t"), F.col(f"{right}.t"), F.col(f"{left}.v")[i], F.col(f"{right}.v")[i]
     slope = (rv - lv) / (rt - lt)
     return F.when(lt == F.col("_t"), lv).otherwise(slope * (F.col("_t") - lt) + lv)
 
@@ -114,12 +114,28 @@ def merge_sensor_groups(groups: DataFrame, keys, group: str, members: list[int],
     keys = [keys] if isinstance(keys, str) else list(keys)
     sizes = groups.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_size"))
     best = sizes.groupBy(*keys).agg(F.max_by(group, F.struct(F.col("_size"), -F.col(group))).alias("_master"))
-    marked = attach(groups, best, keys)
-    out = marked.where(F.col(group) == F.col("_master")).drop("_master")
+    own = [*keys, group]
+    s = ordered(attach(groups, best, keys).withColumn("_t", micros(F.col(ts))), own, ("_t", tie)).scan(_b=Prev("_t"))
+    rows = attach_medians(s.rows, own, {"_med": (F.col("_t") - F.col("_b")).cast("double")}, s.cuts,
+                          {"_t0": F.min("_t"), "_t1": F.max("_t"), "_ns": F.count("_t")})
+    # every row of another group is carried to the rows of the largest one on either side, all groups in one scan
+    source = F.struct(F.col("_t").alias("t"), F.array(*[c(v).cast("double") for v in values]).alias("v"), "_med", "_t0", "_t1", "_ns")
+    other = F.col(group) != F.col("_master")
+    rows = rows.withColumns({"_kind": (~other).cast("int"), "_src": F.when(other & F.col("_t").isNotNull(), source)})
+    u = ordered(rows, keys, ("_t", "_kind", group, tie)).scan(
+        **{f"_l{g}": Last(F.when(F.col(group) == g, F.col("_src"))) for g in members},
+        **{f"_r{g}": FirstAfter(F.when(F.col(group) == g, F.col("_src"))) for g in members})
+    out = []
     for g in members:
-        other = marked.where((F.col(group) == g) & (F.col(group) != F.col("_master")))
-        out = interpolate(out, other, keys, {v: f"{v}.{g}" for v in values}, "nearest", ts=ts, tie=tie)
-    return out
+        left, right, t = f"_l{g}", f"_r{g}", F.col("_t")
+
+        def of(name: str, left: str = left, right: str = right) -> Column:
+            return F.coalesce(F.col(f"{left}.{name}"), F.col(f"{right}.{name}"))
+
+        near = F.least(t - F.col(f"{left}.t"), F.col(f"{right}.t") - t) <= 2.0 * F.coalesce(of("_med"), F.lit(0.0))
+        valid = F.coalesce((t >= of("_t0")) & (t <= of("_t1")) & near & (of("_ns") >= 2), F.lit(False))
+        out += [F.when(valid, _line(i, left, right)).alias(f"{v}.{g}") for i, v in enumerate(values)]
+    return u.rows.where(F.col("_kind") == 1).select(*[c(x) for x in groups.columns], *out)
 
 
 _BASE, _LEVELS = 16, 13        # 16^13 microseconds reach past the year 2100
