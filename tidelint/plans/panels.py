@@ -132,13 +132,16 @@ def ts_points(df: DataFrame, salinity: str, temperature: str, pressure: str) ->
 
 
 def ts_bounds(points: DataFrame, keys: list[str], x: str, y: str, flags: list[str],
-              min_x: float = 0.30, min_y: float = 1.50) -> DataFrame:
+              min_x: float = 0.30, min_y: float = 1.50, known: tuple[str, ...] = ()) -> DataFrame:
     """Robust view limits: the 0.5 to 99.5 percentile of good points (of all
-    when none is good), opened to a minimum span and padded."""
+    when none is good), opened to a minimum span and padded. Points need the
+    columns ``known``, else both axes."""
     good = F.lit(True)
     for f in flags:
         good = good & (F.col(f) == 1)
-    finite = c(x).isNotNull() & c(y).isNotNull()
+    finite = F.lit(True)
+    for name in known or (x, y):
+        finite = finite & c(name).isNotNull()
     marked = attach_aggregates(points.withColumns({"_x": c(x), "_y": c(y), "_good": F.coalesce(good & finite, F.lit(False)), "_fin": finite}),
                                keys, {"_any": F.max(F.col("_good").cast("int"))})
     used = marked.where(F.when(F.col("_any") == 1, F.col("_good")).otherwise(F.col("_fin")))
@@ -174,6 +177,25 @@ def density_grid(bounds: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "salinity", "temperature", (F.col("rho") - 1000.0).alias("sigma"))
 
 
+#: Axes of the temperature-salinity diagram by mode.
+TS_AXES = {"conservative": ("sa", "ct"), "potential": (None, "pt")}
+
+
+def ts_diagram(points: DataFrame, keys: list[str], salinity: str, flags: list[str], mode: str = "conservative") -> DataFrame:
+    """Points of the diagram and the nodes of its density grid.
+
+    ``points`` come from ``ts_points``. The conservative mode draws absolute
+    salinity and conservative temperature, the potential mode practical
+    salinity (the column ``salinity``) and potential temperature.
+    """
+    x, y = TS_AXES[mode]
+    x = x or salinity
+    grid = density_grid(ts_bounds(points, keys, x, y, flags, known=("sa", "ct")), keys)
+    drawn = points.where(c(x).isNotNull() & c(y).isNotNull()).select(
+        *keys, F.lit("point").alias("kind"), c(x).alias("x"), c(y).alias("y"), F.lit(None).cast("double").alias("sigma"))
+    return drawn.union(grid.select(*keys, F.lit("node").alias("kind"), F.col("salinity").alias("x"), F.col("temperature").alias("y"), "sigma"))
+
+
 def single_variable(df: DataFrame, value: str, keys: list[str], start=None, end=None) -> DataFrame:
     """One variable of each product with whole-day axis limits."""
     rows = time_window(df, start, end).where(c(value).isNotNull())

@@ -93,24 +93,39 @@ add("q30_ts_columns", q30_ts_columns, f"""WITH {WATER}, {sigma0_ctes('water')} S
 round(sa, 6) AS sa, round(pt, 6) AS pt, round(ct, 6) AS ct, round(sigma0, 6) AS sigma0 FROM sw""")
 
 
+def _p6(spark, path, mode):
+    p = pn.ts_points(_ts_source(spark, path), "S", "T", "P")
+    out = pn.ts_diagram(p, ["semester"], "S", ["Flag_S", "Flag_T"], mode)
+    return out.select("semester", "kind", *[F.round(c, 5).alias(c) for c in ("x", "y", "sigma")])
+
+
 def p6_ts_diagram(spark, path):
     """The points of the diagram, and the nodes of its density grid."""
-    p = pn.ts_points(_ts_source(spark, path), "S", "T", "P")
-    grid = pn.density_grid(pn.ts_bounds(p, ["semester"], "sa", "ct", ["Flag_S", "Flag_T"]), ["semester"])
-    points = p.where(F.col("sa").isNotNull() & F.col("ct").isNotNull()).select(
-        "semester", F.lit("point").alias("kind"), F.col("sa").alias("x"), F.col("ct").alias("y"), F.lit(None).cast("double").alias("sigma"))
-    nodes = grid.select("semester", F.lit("node").alias("kind"), F.col("salinity").alias("x"), F.col("temperature").alias("y"), "sigma")
-    return points.union(nodes).select("semester", "kind", *[F.round(c, 5).alias(c) for c in ("x", "y", "sigma")])
+    return _p6(spark, path, "conservative")
+
+
+def p6_ts_diagram_potential(spark, path):
+    return _p6(spark, path, "potential")
 
 
 _GRID_RHO = _poly_sql(seawater.SPECVOL, ("xd", "(tt * 0.025)", "(0.0)"))
-add("p6_ts_diagram", p6_ts_diagram, f"""WITH {_TSB.replace('PARTITION BY site', 'PARTITION BY 1').replace('GROUP BY 1)', 'GROUP BY 1)').replace('tq AS (SELECT site,', 'tq AS (SELECT 1 AS site,')},
+
+
+def _p6_sql(x, y):
+    """The diagram over two columns of the points."""
+    bounds = _TSB.replace("PARTITION BY site", "PARTITION BY 1").replace("tq AS (SELECT site,", "tq AS (SELECT 1 AS site,")
+    bounds = bounds.replace("quantile_cont(sa,", f"quantile_cont({x},").replace("quantile_cont(ct,", f"quantile_cont({y},")
+    return f"""WITH {bounds},
 gd AS (SELECT *, greatest(3, round_even((x_max - x_min) / 0.1 + 1, 0))::INT AS nx, greatest(3, round_even(y_max - y_min + 1, 0))::INT AS ny FROM tb),
 gi AS (SELECT *, unnest(range(0, nx)) AS i FROM gd), gj AS (SELECT *, unnest(range(0, ny)) AS j FROM gi),
 gs AS (SELECT *, (1.0 + (nx - 2) * i / (nx - 1)) * 0.1 + x_min AS ss, 1.0 + (ny - 2) * j / (ny - 1) + y_min AS tt FROM gj),
 gx AS (SELECT *, sqrt(ss * {seawater.S_FACTOR!r} + 0.5971840214030754) AS xd FROM gs), gr AS (SELECT ss, tt, 1.0 / {_GRID_RHO} - 1000 AS sigma FROM gx)
-SELECT 1::INTEGER AS semester, 'point' AS kind, round(sa, 5) AS x, round(ct, 5) AS y, NULL::DOUBLE AS sigma FROM sw WHERE sa IS NOT NULL AND ct IS NOT NULL
-UNION ALL SELECT 1, 'node', round(ss, 5), round(tt, 5), round(sigma, 5) FROM gr""")
+SELECT 1::INTEGER AS semester, 'point' AS kind, round({x}, 5) AS x, round({y}, 5) AS y, NULL::DOUBLE AS sigma FROM sw WHERE {x} IS NOT NULL AND {y} IS NOT NULL
+UNION ALL SELECT 1, 'node', round(ss, 5), round(tt, 5), round(sigma, 5) FROM gr"""
+
+
+add("p6_ts_diagram", p6_ts_diagram, _p6_sql("sa", "ct"))
+add("p6_ts_diagram_potential", p6_ts_diagram_potential, _p6_sql('"S"', "pt"))
 
 
 def g20_outside_range(spark, path):
