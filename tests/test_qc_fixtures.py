@@ -194,3 +194,17 @@ def test_edge_trim(spark, layout):
     assert pp.trim_edges(series(spark, v, step="1h"), KEYS, BY, "v").count() == 200
     noisy = [31.0 if i % 2 else 20.0 for i in range(40)]
     assert pp.trim_edges(series(spark, noisy, step="1h"), KEYS, BY, "v").count() == 40
+
+
+def test_headers_as_a_column(spark):
+    """The column forms agree with the plain ones on every small header."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    names = ["Datetime", "Site", "Flag", "Flag_cur", "Horizontal speed (cm/s)", "Temperature (degC)", "Luminosity (lux)", "Salinity (PSU)", "pH"]
+    headers = [list(h) for size in range(0, 6) for h in combinations(names, size)]
+    df = spark.createDataFrame([(h,) for h in headers], "header array<string>")
+    got = df.select("header", layouts.layout_column(F.col("header")).alias("layout"), layouts.instrument_column(F.col("header")).alias("instrument")).collect()
+    assert len(got) == len(headers)
+    assert all(r.layout == layouts.layout_of(r.header) and r.instrument == layouts.known_instrument(r.header) for r in got)

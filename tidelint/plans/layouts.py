@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.flags import BAD, SUSPECT
@@ -93,3 +93,30 @@ def known_instrument(columns) -> str | None:
     if "Flag" in names and names & _SCALAR_MARKERS:
         return "Seaguard"
     return None
+
+
+def filled_columns(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, header, n): of each group the columns that hold a value, and its rows."""
+    held = [F.when(F.count(c(n)) > 0, F.lit(n)) for n in names]
+    return df.groupBy(*keys).agg(F.array_compact(F.array(*held)).alias("header"), F.count(F.lit(1)).alias("n"))
+
+
+def _all_in(header: Column, names) -> Column:
+    return F.size(F.array_intersect(header, F.array(*[F.lit(n) for n in sorted(names)]))) == len(names)
+
+
+def _any_in(header: Column, names) -> Column:
+    return F.arrays_overlap(header, F.array(*[F.lit(n) for n in sorted(names)]))
+
+
+def layout_column(header: Column) -> Column:
+    """``layout_of`` for a column of headers."""
+    return (F.when(_any_in(header, {"Flag_cur", "Horizontal speed (cm/s)"}), "doppler")
+            .when(_all_in(header, {"Luminosity (lux)"}) & ~_any_in(header, {"Salinity (PSU)"}), "hobo").otherwise("tscp"))
+
+
+def instrument_column(header: Column) -> Column:
+    """``known_instrument`` for a column of headers; null where a header proves nothing."""
+    return F.when(_all_in(header, {"Datetime", "Site"}), F.when(_all_in(header, {"Flag_cur", "Horizontal speed (cm/s)"}), "Doppler")
+                  .when(_all_in(header, {"Temperature (degC)", "Luminosity (lux)"}), "HOBO")
+                  .when(_all_in(header, {"Flag"}) & _any_in(header, _SCALAR_MARKERS), "Seaguard"))

@@ -11,7 +11,7 @@ from tidelint.operators import catalog as ca
 from tidelint.operators import database as db
 from tidelint.operators.ordering import Position, ordered
 from tidelint.plans.criteria import VARIABLES
-from tidelint.plans.layouts import known_instrument, layout_of
+from tidelint.plans.layouts import filled_columns, instrument_column, layout_column
 from tidelint.registry.base import EV, LIGHT, WATER, light_series, scalar_series, table, water_series
 from tidelint.registry.prep import _ORD_LABEL, _WORDS
 from tidelint.sources import products as pr
@@ -143,24 +143,23 @@ def a6_discovery(spark, path):
 add("a6_discovery", a6_discovery, """SELECT doc_id, 'root/' || lang || '/' || source || CASE doc_id % 3 WHEN 0 THEN '/qualified scalar/' ELSE '/qualified light/' END || 'p' || doc_id || '.csv' AS path
 FROM documents WHERE doc_id % 3 <> 2 AND doc_id % 5 <> 0 AND doc_id % 4 <> 0""")
 
-# Headers of four kinds of qualified tables.
-_HEADERS = {"currents": ["Datetime", "Site", "Flag_cur", "Horizontal speed (cm/s)"],
-            "light": ["Datetime", "Site", "Temperature (degC)", "Luminosity (lux)"],
-            "scalar": ["Datetime", "Site", "Flag", "Salinity (PSU)"], "bare": ["Datetime", "Site", "Other"]}
-
-
 def a7_layouts(spark, path):
-    """Layout of the table each event would be published in."""
-    s = scalar_series(spark, path)
-    kind = F.element_at(F.array(*[F.lit(k) for k in _HEADERS]), (F.col("sample_no") % 4 + 1).cast("int"))
-    found = F.create_map(*[F.lit(x) for k, h in _HEADERS.items() for x in (k, layout_of(h))])
-    known = F.create_map(*[F.lit(x) for k, h in _HEADERS.items() for x in (k, known_instrument(h) or "none")])
-    g = s.withColumn("kind", kind)
-    return g.groupBy("kind", found[F.col("kind")].alias("layout"), known[F.col("kind")].alias("instrument")).agg(F.count(F.lit(1)).alias("n"))
-
-
-add("a7_layouts", a7_layouts, """SELECT ['currents', 'light', 'scalar', 'bare'][event_id % 4 + 1] AS kind, ['doppler', 'hobo', 'tscp', 'tscp'][event_id % 4 + 1] AS layout,
-['Doppler', 'HOBO', 'Seaguard', 'none'][event_id % 4 + 1] AS instrument, count(*) AS n FROM events GROUP BY 1, 2, 3""")
+    """Layout and instrument of each series from the columns that it fills."""
+    w = water_series(spark, path)
+    g = F.substring("series_id", 2, 20).cast("long") % 4
+    wide = w.select("series_id", F.col("ts").alias("Datetime"), F.when(F.col("site") != "S4", F.col("site")).alias("Site"), F.when(g == 0, F.lit(1)).alias("Flag_cur"),
+                    F.when(g == 0, F.col("C")).alias("Horizontal speed (cm/s)"), F.when(g.isin(1, 2), F.col("T")).alias("Temperature (degC)"),
+                    F.when((g == 1) & (F.col("sample_no") % 2 == 0), F.col("C")).alias("Luminosity (lux)"), F.when(g == 2, F.lit("1")).alias("Flag"),
+                    F.when(g == 2, F.col("S")).alias("Salinity (PSU)"))
+    found = filled_columns(wide, ["series_id"], wide.columns[1:])
+    return found.select("series_id", layout_column(F.col("header")).alias("layout"), F.coalesce(instrument_column(F.col("header")), F.lit("none")).alias("instrument"), "n")
+
+
+add("a7_layouts", a7_layouts, f"""WITH {WATER}, w AS (SELECT *, CAST(substr(series_id, 2) AS BIGINT) % 4 AS g FROM water),
+h AS (SELECT series_id, count(*) AS n, count(*) FILTER (site <> 'S4') > 0 AS site, count("C") FILTER (g = 0) > 0 AS speed, count(*) FILTER (g = 0) > 0 AS cur,
+  count("T") FILTER (g IN (1, 2)) > 0 AS t, count("C") FILTER (g = 1 AND sample_no % 2 = 0) > 0 AS lux, count(*) FILTER (g = 2) > 0 AS flag, count("S") FILTER (g = 2) > 0 AS sal FROM w GROUP BY 1)
+SELECT series_id, CASE WHEN cur OR speed THEN 'doppler' WHEN lux AND NOT sal THEN 'hobo' ELSE 'tscp' END AS layout,
+CASE WHEN NOT site THEN 'none' WHEN cur AND speed THEN 'Doppler' WHEN t AND lux THEN 'HOBO' WHEN flag AND sal THEN 'Seaguard' ELSE 'none' END AS instrument, n FROM h""")
 
 
 def a8_table_sink(spark, path):
