@@ -107,7 +107,7 @@ def test_pipeline_of_nothing(spark, tmp_path):
 def test_registration():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(SQL) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -115,7 +115,7 @@ def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     want = con.execute(SQL[name]).df()
     got = QUERIES[name](spark, data).toPandas()
