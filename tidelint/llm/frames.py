@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored_counting(df: DataFrame, what: str | Column = "true") -> tuple[DataFrame, int]:
+    """`df` stored, and for how many of its rows `what` holds, counted while they are written."""
+    seen = Observation()
+    kept = stored(df.observe(seen, F.count_if(F.expr(what) if isinstance(what, str) else what).alias("rows")))
+    return kept, seen.get["rows"]
+
+
 def _ensure_folder(spark: SparkSession) -> None:
     """The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session that names none gets its own."""
     context = spark.sparkContext
@@ -73,38 +80,80 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         row = end
 
 
+_RUN = 200_000      # edges that are contracted together inside a task
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (a, b): root is the least node that can be reached.
 
-    Each round points every node at its least neighbour, doubles the pointers
-    until all end at a node that points nowhere, and contracts the edges to those
-    between such nodes. A round at least halves the nodes that still have edges.
-    Steps are cut by a reliable store; only whether any are left comes to the
-    driver.
+    Tasks first replace the edges that they hold by stars, in runs of a bounded
+    number. Each round then points every node at its least neighbour, doubles the
+    pointers until all end at a node that points nowhere, and contracts the edges
+    to those between such nodes. A round at least halves the nodes that still have
+    edges. Steps are cut by a reliable store; only numbers of rows come to the driver.
     """
-    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = edges.where("a <> b").select("a", "b")
+    left, rows = stored_counting(edges.mapInArrow(_stars, edges.schema).distinct())
     labels = None
     for _ in range(most_rounds):
-        if left.isEmpty():
+        if not rows:
             return labels if labels is not None else left.toDF("node", "root")
         steps = stored(left.select(F.col("b").alias("node"), F.col("a").alias("low")).union(left.select("a", "a"))
                        .groupBy("node").agg(F.min("low").alias("low")))
-        while True:
+        moved = 1
+        while moved:
             above = steps.where("node <> low").select(F.col("node").alias("low"), F.col("low").alias("lower"))
-            steps = stored(steps.join(above, "low", "left").select("node", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")))
-            moved = not steps.where("moved").isEmpty()
-            steps = steps.drop("moved")
-            if not moved:
-                break
+            steps, moved = stored_counting(steps.select("node", "low").join(above, "low", "left").select("node", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")), "moved")
+        steps = steps.drop("moved")
         if labels is None:
             labels = steps.toDF("node", "root")
         else:
             labels = stored(labels.join(steps.toDF("root", "low"), "root", "left").select("node", F.coalesce("low", "root").alias("root")))
-        left = stored(left.join(steps.toDF("a", "low_a"), "a").join(steps.toDF("b", "low_b"), "b")
-                      .where("low_a <> low_b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct())
+        left, rows = stored_counting(left.join(steps.toDF("a", "low_a"), "a").join(steps.toDF("b", "low_b"), "b")
+                                     .where("low_a <> low_b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct())
     raise RuntimeError(f"edges are left after {most_rounds} rounds")
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """`labels`, the components (node, root) of a graph, once `edges` (a, b) are added to it."""
+    ends = (edges.join(labels.toDF("a", "root_a"), "a", "left").join(labels.toDF("b", "root_b"), "b", "left")
+            .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    tops = components(ends)
+    known = labels.join(tops.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.union(tops.join(labels, "node", "left_anti").select("node", "root"))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of edges, each as (least node that the run's edges reach, node)."""
+    def star(run: list[pa.RecordBatch]) -> pa.RecordBatch:
+        above: dict = {}
+
+        def top(x):
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        for batch in run:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+        ends = [(top(x), x) for x in list(above) if above[x] != x]
+        kind = run[0].schema.types
+        return pa.record_batch({"a": pa.array([x for x, _ in ends], kind[0]), "b": pa.array([y for _, y in ends], kind[1])})
+
+    run, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            run.append(batch)
+            rows += batch.num_rows
+        if rows >= _RUN:
+            yield star(run)
+            run, rows = [], 0
+    if run:
+        yield star(run)
+
+
 def rewritten(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to a fresh folder beside the stores, and read again."""
     spark = df.sparkSession

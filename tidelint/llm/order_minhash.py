@@ -12,9 +12,9 @@ words of the longer text, or when 0.8 of their five-word shingles are shared
 connected components of the links and of equal texts.
 
 No group is held whole: equal texts meet in a partial aggregate; a sketch shared
-by up to eight texts gives their pairs, a larger one at first pairs inside random
-sub-groups of about four and the pairs with the text that shares most sketches,
-in each sketch anew. Texts of a larger one that these links leave in different
+by up to eight texts gives their pairs, a larger one at first the pairs with the text
+that shares most sketches and, for texts whose largest sketches it is one of, pairs
+inside random sub-groups of about four. Texts of a larger one that these links leave in different
 classes are then all compared, in blocks: a bound from counts of hashed words and
 shingles, which no link exceeds, spares most of them the alignment. One text is
 aligned with at most about 64 others in a task.
@@ -43,6 +43,7 @@ SKETCHES = {WORDS: 16, 2: 32}      # how many, by the words of a k-mer
 SIMILARITY = 0.8
 _WHOLE = 8          # texts of a sketch that are paired without sub-groups
 _SUBGROUP = 4       # mean size of a sub-group of a larger one
+_GROUPED = 4        # larger sketches, the largest, in which a text is put into a sub-group
 _BLOCK = 512        # texts on each side of a block of the comparison across classes
 _BINS = 256         # counts of hashed words and of hashed shingles, by which a pair is ruled out
 _PARTNERS = 64      # texts compared with one text in a task
@@ -87,8 +88,7 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]
     """Distinct texts, what is known of each class, and the labels of linked texts."""
     nodes = (docs.select(_node("text").alias("node"), F.coalesce("doc_id", F.lit(_LAST)).alias("id"))
              .groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    links = frames.stored(linked(docs))
-    roots = frames.components(links)
+    links, roots = _connected(docs)
     degree = (links.select(F.col("a").alias("node")).union(links.select("b"))
               .groupBy("node").agg(F.count("*").alias("links")))
     stats = (nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
@@ -99,15 +99,25 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]
 
 def linked(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): digests of two different texts that are near duplicates."""
+    return _connected(docs)[0]
+
+
+def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links, and the components (node, root) that they make."""
     members = frames.stored(sharing(docs))
     found = frames.stored(candidates(members))
     near = frames.stored(_aligned(docs, found))
-    large = frames.stored(_crossed(members, frames.components(near)))
-    if large.isEmpty():
-        return near
+    roots = frames.components(near)
+    large, rows = frames.stored_counting(_crossed(members, roots))
+    if not rows:
+        return near, roots
     bounds = (docs.withColumn("node", _node("text")).join(large.select("node").distinct(), "node", "left_semi").select("text")
               .mapInArrow(_counted, "node binary, counts binary").dropDuplicates(["node"]))
-    return near.union(_aligned(docs, frames.stored(_across(large.join(bounds, "node")).join(found, ["a", "b"], "left_anti"))))
+    across, rows = frames.stored_counting(_across(large.join(bounds, "node")).join(found, ["a", "b"], "left_anti"))
+    if not rows:
+        return near, roots
+    more, rows = frames.stored_counting(_aligned(docs, across))
+    return (near.union(more), frames.joined(roots, more)) if rows else (near, roots)
 
 
 def _aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -134,16 +144,18 @@ def sharing(docs: DataFrame) -> DataFrame:
 
 def candidates(members: DataFrame) -> DataFrame:
     """(a, b): digests of texts that share a sketch and are close enough in words or in distinct shingles, each pair once; all pairs of small sketches."""
-    part = F.when(F.col("texts") <= _WHOLE, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("node", "sketch"), F.ceil(F.col("texts") / _SUBGROUP).cast("int")))
-    near = (members.groupBy("sketch", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("node", "n", "d"))).alias("g"))
+    # The original of many edits shares sketches with more of them than they do among themselves.
+    large = (members.where(F.col("texts") > _WHOLE).groupBy("node", "n", "d")
+             .agg(F.sort_array(F.collect_list(F.struct("texts", "sketch")), asc=False).alias("sharing"), F.sum("texts").alias("weight"))
+             .select("node", "n", "d", "weight", F.posexplode("sharing").alias("nth", "at")).select("at.sketch", "at.texts", "nth", "weight", "node", "n", "d"))
+    part = F.pmod(F.xxhash64("node", "sketch"), F.ceil(F.col("texts") / _SUBGROUP).cast("int"))
+    grouped = (members.where(F.col("texts") <= _WHOLE).select("sketch", "node", "n", "d", F.lit(0).alias("part"))
+               .union(large.where(F.col("nth") < _GROUPED).select("sketch", "node", "n", "d", part)))
+    near = (grouped.groupBy("sketch", "part").agg(F.sort_array(F.collect_list(F.struct("node", "n", "d"))).alias("g"))
             .select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(
                 F.slice("g", i + 2, F.greatest(F.size("g") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
             .select("p.x", "p.y"))
-    # The original of many edits shares sketches with more of them than they do among themselves.
-    large = members.where(F.col("texts") > _WHOLE)
-    weight = large.groupBy("node").agg(F.sum("texts").alias("weight")).toDF("node", "weight")
-    hub = (large.join(weight, "node").groupBy("sketch").agg(F.max(F.struct("weight", "node", "n", "d")).alias("hub"))
+    hub = (large.groupBy("sketch").agg(F.max(F.struct("weight", "node", "n", "d")).alias("hub"))
            .select("sketch", F.struct("hub.node", "hub.n", "hub.d").alias("hub")).toDF("sketch", "hub"))
     hubs = large.select("sketch", F.struct("node", "n", "d").alias("own")).join(hub, "sketch").select(F.least("hub", "own").alias("x"), F.greatest("hub", "own").alias("y"))
     pairs = near.union(hubs).where(F.col("x.node") != F.col("y.node"))
