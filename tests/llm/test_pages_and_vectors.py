@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +32,44 @@ def test_layouts(model, page):
     assert page_content.texts([page], model) == [WANT]
 
 
+@pytest.mark.parametrize("before", [
+    "<html><head><title>T</title>", "<html><head><script>document.write('<body><p>no')</script><style>p{}</style>", "<body><svg><path d=1>", "<body><div><svg><g><text>no</text></div>",
+    "<body><select><option>no", "<body><button>", "<body><div><button>no</div>", "<body><iframe src=x>", "<body><noscript>", "<body><object><param>", "<body><template>", "<body><video src=x>",
+])
+def test_open_tags_hide_nothing_else(model, before):
+    assert page_content.texts([f"{before}<article>{ARTICLE}</article>"], model) == [WANT]
+
+
+@pytest.mark.parametrize("hidden", [
+    "<svg><svg></svg><foreignObject><div>no</div></foreignObject></svg>", "<button><div>no</div></button>", "<select><option>no</select>", "<video><p>Your browser shows no films.</p></video>",
+    f"<template><article><p>{LONG}</p></article></div></template>", f"<object><object></object><p>{LONG}</p></object>", "<iframe><p>no</p></iframe>", "<button>no</button><button>no</button>",
+])
+def test_closed_elements_stay_hidden(model, hidden):
+    assert page_content.texts([f"<body><article>{hidden}{ARTICLE}</article>"], model) == [WANT]
+    assert page_content.texts([f"<body><div>{hidden}</div><article>{ARTICLE}</article>"], model) == [WANT]
+
+
+@pytest.mark.parametrize("name", ["footnote", "footage", "navy", "social", "legal", "related", "search", "response", "share price", "pagination", "notice", "plain"])
+def test_words_on_a_paragraph(model, name):
+    page = f"<body><nav><a href=x>Home</a></nav><article><p>{LONG}</p><p class='{name}'>{LONG}</p><p class='{name}'>Short.</p></article><div class='{name.replace('plain', 'related')}'><ul><li><a href=y>More</a></ul></div></body>"
+    assert page_content.texts([page], model) == ["\n".join([LONG, LONG, "Short."])]
+
+
+def test_formulas_are_text(model):
+    page = f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be. {LONG}</p></article>"
+    assert page_content.texts([page], model) == [f"Let x=1 be. {LONG}"]
+
+
+@pytest.mark.parametrize("tag", ["div", "header", "p", "li", "svg", "button"])
+def test_reading_is_linear_in_depth(tag):
+    def seconds(n):
+        start = time.process_time()
+        page_content.Page(f"<{tag}>" * n + "x")
+        return time.process_time() - start
+
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.02)
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 400 + "x" + "</div>" * 400
     pages = [(1, "u", None), (2, "u", ""), (3, None, "<"), (4, "u", "<p title='a"), (5, "u", deep), (6, "u", "<table><tr><td>a<td>b</table>"), (6, "u", f"<article>{ARTICLE}</article>"), (None, "u", "</p></div>")]

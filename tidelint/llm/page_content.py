@@ -11,7 +11,11 @@ Pages are read whole and each by itself; nodes of one batch are handled level by
 level. Messages are scaled, so deep or wide trees do not underflow.
 
 Null and empty html give an empty text. Tags that are not closed, not opened or
-not nested are read as browsers do for blocks. Repeated rows are read each.
+not nested are read as browsers do for blocks. What is never shown (scripts, menus of
+forms, drawings) is left out up to its end tag; without one it ends at the next tag
+that may not stand in it or with the block around it, so that no open tag hides the
+rest of a page. A head ends at the first tag or text that may not stand in it.
+Formulas are text. Repeated rows are read each.
 """
 
 from __future__ import annotations
@@ -32,14 +36,23 @@ BOILERPLATE, CONTENT, STRUCTURE = range(3)
 # HTML's block elements, elements whose text is never shown as text, and words that sites use in class names.
 _BLOCKS = frozenset("""html body article main section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th
 caption blockquote pre figure figcaption form fieldset details summary address hr dialog menu center""".split())
-_HIDDEN = frozenset("script style head template noscript svg math iframe object select textarea button canvas audio video".split())
-_RAW = frozenset("script style textarea iframe noscript".split())
+_HIDDEN = frozenset("head template svg object select button canvas audio video annotation annotation-xml".split())
+_RAW = frozenset("script style title textarea iframe noscript".split())
+_CODE = frozenset("script style".split())
+_CONTROLS = frozenset(("button", "select"))
+_IN_HEAD = frozenset("base basefont bgsound link meta template html head".split()) | _RAW
+# HTML tags that end a drawing which was not closed.
+_OUTSIDE = frozenset("body article main section nav aside header footer p h1 h2 h3 h4 h5 h6 table form blockquote".split())   # no part of a control or of a frame
+_OUT_OF_SVG = _BLOCKS | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
 _TAGS = ["article", "main", "nav", "masthead", "header", "footer", "aside", "form", "section", "div", "p", "list", "li", "heading", "body", "quote", "table", "other"]
 _GROUP = {"ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "html": "body", "blockquote": "quote", "pre": "quote", "figure": "quote",
           "figcaption": "quote", "menu": "nav", "dialog": "aside", "fieldset": "form", **{f"h{i}": "heading" for i in range(1, 7)},
           **{t: "table" for t in "table thead tbody tfoot tr td th caption".split()}}
-_AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|foot\w*|comments?|repl(?:y|ies)|responses?|disqus|"
-                      r"share|sharing|social|cookies?|consent|notice|pop-?up|modal|newsletter|subscri\w*|related|recommend\w*|widget|login|search|copyright|legal|skip|toolbar|pager|pagination|logo)(?:$|[\s_-])")
+_AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertis(?:ing|ements?)|banners?|sponsor(?:s|ed)?|promos?|promot(?:ed|ions?)|nav(?:bar|igation|menu|s)?|menus?|breadcrumbs?|side-?bar|"
+                      r"foot(?:er)?|comments?|repl(?:y|ies)|disqus|sharing|cookies?|consent|pop-?up|modal|newsletters?|subscri(?:be|ption)s?|recommend(?:ed|ations?)|widgets?|login|copyright|skip|toolbar|pager|logo)(?:$|[\s_-])")
+# Words that name a part of the site on a container, but may name what a paragraph is about.
+_SITE = re.compile(r"(?:^|[\s_-])(?:responses?|share|social|notices?|related|search|legal|pagination)(?:$|[\s_-])")
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table caption figure figcaption".split())
 _FOR = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|main|body|story|text|page)(?:$|[\s_-])")
 _ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "dialog": 1, "alert": 1, "form": 1, "menu": 1, "main": 2, "article": 2}
 
@@ -50,7 +63,7 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 
 @lru_cache(100_000)
 def _marks(attributes: str) -> tuple[int, int, str]:
-    """What class and id say (0 nothing, 1 against, 2 for content), what the role says, and a training label."""
+    """What class and id say (0 nothing, 1 against, 2 for content, 3 against if on a container), what the role says, and a training label."""
     named, role, label = "", 0, ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
@@ -60,7 +73,7 @@ def _marks(attributes: str) -> tuple[int, int, str]:
             label = value
         else:
             named += " " + value
-    return 1 if _AGAINST.search(named) else 2 if _FOR.search(named) else 0, role, label
+    return 1 if _AGAINST.search(named) else 3 if _SITE.search(named) else 2 if _FOR.search(named) else 0, role, label
 
 
 class Page:
@@ -75,6 +88,7 @@ class Page:
         self.linked: list[int] = []
         self.texts: list[tuple[int, str]] = []
         self._open: list[tuple[str, int]] = []
+        self._places: dict[str, list[int]] = {}             # of the open elements, by tag
         self._run: list[str] = []
         self._link = False
         self._start("html", "")
@@ -83,8 +97,10 @@ class Page:
 
     def _start(self, tag: str, attributes: str) -> None:
         names, role, label = _marks(attributes) if attributes.strip() else (0, 0, "")
+        if names == 3:
+            names = 0 if tag in _PARAGRAPHS else 1
         group = _GROUP.get(tag, tag)
-        if tag == "header" and not any(t in ("article", "main", "section") for t, _ in self._open):
+        if tag == "header" and not any(map(self._places.get, ("article", "main", "section"))):
             group = "masthead"                              # of the page, not of a text
         self.parent.append(self._open[-1][1] if self._open else -1)
         self.depth.append(len(self._open))
@@ -92,6 +108,7 @@ class Page:
         self.label.append(label)
         self.size.append(0)
         self.linked.append(0)
+        self._places.setdefault(tag, []).append(len(self._open))
         self._open.append((tag, len(self.parent) - 1))
 
     def _flush(self) -> None:
@@ -102,15 +119,17 @@ class Page:
             self.texts.append((node, text))
             self.size[node] += len(text)
 
+    def _place(self, tags: set[str]) -> int:
+        """Where the innermost open element of `tags` is, 0 if there is none."""
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+
     def _close(self, tags: set[str], until: set[str]) -> None:
         """Closes the open element of `tags` that no element of `until` holds."""
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] in tags:
-                self._flush()
-                del self._open[i:]
-                return
-            if self._open[i][0] in until:
-                return
+        at = self._place(tags)
+        if at and at > self._place(until):
+            self._flush()
+            while len(self._open) > at:
+                self._places[self._open.pop()[0]].pop()
 
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -119,38 +138,37 @@ class Page:
             self.linked[self._open[-1][1]] += len(text.strip())
 
     def _read(self, source: str) -> None:
-        at, hidden, level = 0, "", 0
+        hidden: _Hidden | None = None
+        ends: dict[str, int] = {}                           # next end tags of raw elements, found once
+        at = 0
         while at < len(source):
             found = _TOKEN.search(source, at)
-            if not hidden:
-                raw = source[at:found.start() if found else len(source)]
-                if raw:
-                    self._text(raw)
+            raw = source[at:found.start() if found else len(source)]
+            if hidden and hidden.tag == "head" and raw.strip():
+                hidden = None
+            if raw and not hidden:
+                self._text(raw)
             if found is None:
                 break
             at = found.end()
             end, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
             if not tag:
                 continue
-            tag = tag.lower()
-            if hidden:
-                if tag == hidden:
-                    level += -1 if end else 0 if attributes.endswith("/") else 1
-                    hidden = hidden if level else ""
-                elif tag == "body" and hidden == "head":      # a head that was not closed
-                    hidden = ""
-                else:
-                    continue
-                if tag != "body":
+            tag, empty = tag.lower(), attributes.endswith("/")
+            if hidden and hidden.left_by(tag, bool(end), empty, self._places):
+                shown, hidden = hidden.tag == tag, None
+                if shown:
                     continue
-            if tag in _HIDDEN:
-                if not end and not attributes.endswith("/"):
-                    if tag in _RAW:
-                        close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                        at = close.end() if close else len(source)
-                    else:
-                        hidden, level = tag, 1
+            if tag in _RAW:
+                self._run.append(" ")
+                if not end and not empty:
+                    at = _after(source, tag, at, ends)
+            elif hidden:
+                continue
+            elif tag in _HIDDEN:
                 self._run.append(" ")
+                if not end and not empty:
+                    hidden = _Hidden(tag, _closed(source, tag, at, ends))
             elif tag == "a":
                 self._link = not end
             elif tag in ("br", "img", "input"):
@@ -160,15 +178,69 @@ class Page:
                 if end:
                     self._close({tag}, set())
                     self._flush()
-                elif tag not in ("html", "body") or tag == "body" and not any(t == "body" for t, _ in self._open):
+                elif tag not in ("html", "body") or tag == "body" and not self._places.get("body"):
                     self._flush()
-                    self._close({"p"}, {"table", "td", "th", "button"})
+                    self._close({"p"}, {"table", "td", "th"})
                     if tag in _CLOSES:
                         self._close(*_CLOSES[tag])
                     if tag != "hr":
                         self._start(tag, attributes)
 
 
+def _end(source: str, tag: str, at: int, ends: dict[str, int]) -> int:
+    """Behind the next end tag of `tag` from `at`, or beyond the page."""
+    if ends.get(tag, -1) <= at:
+        close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+        ends[tag] = close.end() if close else len(source) + 1
+    return ends[tag]
+
+
+def _after(source: str, tag: str, at: int, ends: dict[str, int]) -> int:
+    """Where the raw element `tag`, whose content starts at `at`, ends. One without an end tag is all there is left if code, else empty."""
+    end = _end(source, tag, at, ends)
+    return end if end <= len(source) else len(source) if tag in _CODE else at
+
+
+def _closed(source: str, tag: str, at: int, ends: dict[str, int]) -> bool:
+    """Whether an element whose content starts at `at` has its end tag. A control holds none of its kind, so a later one's end tag is not its own."""
+    end = _end(source, tag, at, ends)
+    return end <= len(source) and not (tag in _CONTROLS and re.compile(rf"<{tag}\b", re.I).search(source, at, end))
+
+
+class _Hidden:
+    """An open element whose content is not shown."""
+
+    def __init__(self, tag: str, closed: bool) -> None:
+        self.tag, self.closed, self.level = tag, closed, 1
+        self.inside: dict[str, int] = {}                    # blocks that were opened in it
+
+    def left_by(self, tag: str, end: bool, empty: bool, around: dict[str, list[int]]) -> bool:
+        """Whether a tag ends it: its own end tag, a tag that may not stand in it, or the end of a block around it."""
+        if self.tag == "head":
+            return tag in ("head", "body") if end else tag not in _IN_HEAD
+        if tag == self.tag:
+            if tag not in _CONTROLS:
+                self.level += -1 if end else not empty
+            return end and (not self.level or tag in _CONTROLS)
+        if self.closed and self.tag == "template":
+            return False
+        if end:
+            if tag in _BLOCKS and not self.inside.get(tag):
+                return bool(around.get(tag)) or tag == "p" and self.tag == "svg"
+            if tag in self.inside:
+                self.inside[tag] -= 1
+            return False
+        if self.tag == "svg" and not self.inside.get("foreignobject"):
+            if tag == "foreignobject":
+                self.inside[tag] = 1
+            return tag in _OUT_OF_SVG
+        if tag in _OUTSIDE and not self.closed:
+            return True
+        if tag in _BLOCKS or tag == "foreignobject":
+            self.inside[tag] = self.inside.get(tag, 0) + 1
+        return False
+
+
 class Trees:
     """The nodes of several pages, level by level."""
 
@@ -177,7 +249,8 @@ class Trees:
         self.first = first
         self.parent = np.concatenate([np.asarray(p.parent) + np.where(np.asarray(p.parent) < 0, 0, f) for p, f in zip(pages, first, strict=False)])
         depth = np.concatenate([p.depth for p in pages])
-        self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+        by_depth = np.argsort(depth, kind="stable")
+        self.levels = np.split(by_depth, np.cumsum(np.bincount(depth))[:-1])
         size, linked = (np.concatenate([getattr(p, name) for p in pages]).astype(float) for name in ("size", "linked"))
         below, links = size.copy(), linked
         for level in reversed(self.levels[1:]):
