@@ -54,6 +54,8 @@ class Criteria:
     logger_rate: Factor = Factor()
     flat_fail: int = 20
     flat_suspect: int = 15
+    logger_flat_fail: int = 20
+    logger_flat_suspect: int = 15
     density_tolerance: float = 0.03
     light_baseline_days: int = 7
     light_cutoff_fraction: float = 0.5
@@ -70,36 +72,56 @@ class Criteria:
         return replace(self, off=self.off - set(switches))
 
 
+# What a light logger's switches are called after its prefix.
+LOGGER_SWITCHES = ("temperature sensor range", "temperature environmental range", "temperature spikes",
+                   "temperature rate of change", "temperature flat line", "light fouling window")
+
+
 def migrate(old: dict) -> Criteria:
     """Criteria from a flat settings dict with keys such as ``env_max_temp``.
 
-    Unknown keys are ignored; switches are given as ``{name: 'ON' | 'OFF'}``.
+    Switches are ``{name: 'ON' | 'OFF'}``, a light logger's begin with ``hobo``;
+    factors are ``{key: {'susp': x, 'fail': y, 'window': z}}``. Settings from
+    before loggers had their own (``rep_cnt_fail``, ``sensor_max_temp``, a
+    shared switch, one factor row a variable such as ``'T'``) count for both
+    instruments wherever the newer key is not given. Other keys are ignored.
     """
     base = Criteria()
     # Short names of the variables inside setting keys.
     short = {"temp": "T", "sal": "S", "cond": "C", "pres": "P", "O2": "O2", "pH": "pH",
              "chl": "chl", "tur": "tur", "PAR": "PAR", "CO2": "CO2", "org": "org"}
-    sensor, env = dict(base.sensor), dict(base.environment)
-    for prefix, target in (("sensor", sensor), ("env", env)):
-        for name, key in short.items():
-            if key in target:
-                low, high = target[key]
-                target[key] = (float(old.get(f"{prefix}_min_{name}", low)),
-                               float(old.get(f"{prefix}_max_{name}", high)))
-    off = set(base.off)
-    for name, state in old.items():
-        if state == "OFF":
-            off.add(name)
-        elif state == "ON":
-            off.discard(name)
+
+    def first(default, *names):
+        return type(default)(next((old[n] for n in names if n in old), default))
+
+    def limits(defaults, prefix):
+        return {key: (first(defaults[key][0], f"{prefix}_min_{name}"), first(defaults[key][1], f"{prefix}_max_{name}"))
+                for name, key in short.items() if key in defaults}
+
+    def factor(default: Factor, *names):
+        row = next((old[n] for n in names if isinstance(old.get(n), dict)), {})
+        return Factor(float(row.get("susp", default.suspect)), float(row.get("fail", default.fail)), row.get("window", default.window))
+
+    def factors(defaults, family):
+        return {v: factor(f, f"sg_{family}_{v}", v) for v, f in defaults.items()}
+
+    states = {name: state for name, state in old.items() if state in ("ON", "OFF")}
+    switches = {f"logger {n}": states[n] for n in LOGGER_SWITCHES if n in states}
+    switches |= {f"logger {n[5:]}" if n.startswith("hobo ") else n: state for n, state in states.items()}
+    turned_off = {n for n, state in switches.items() if state == "OFF"}
+    low, high = base.logger_sensor_temp
     return replace(
-        base, sensor=sensor, environment=env, off=frozenset(off),
-        logger_sensor_temp=(float(old.get("hobo_sensor_min_temp", -5.0)),
-                            float(old.get("hobo_sensor_max_temp", 40.0))),
-        flat_fail=int(old.get("seaguard_flat_fail", base.flat_fail)),
-        flat_suspect=int(old.get("seaguard_flat_susp", base.flat_suspect)),
-        density_tolerance=float(old.get("dens_inv_tolerance", base.density_tolerance)),
-        light_baseline_days=int(old.get("lux_baseline_days", base.light_baseline_days)),
-        light_cutoff_fraction=float(old.get("lux_cutoff_frac", base.light_cutoff_fraction)),
-        light_sustain_days=int(old.get("lux_sustain_days", base.light_sustain_days)),
-        light_fixed_days=int(old.get("lux_fixed_days", base.light_fixed_days)))
+        base, sensor=limits(base.sensor, "sensor"), environment=limits(base.environment, "env"),
+        off=frozenset((base.off - set(switches)) | turned_off),
+        logger_sensor_temp=(first(low, "hobo_sensor_min_temp", "sensor_min_temp"), first(high, "hobo_sensor_max_temp", "sensor_max_temp")),
+        spike=factors(base.spike, "spike"), rate=factors(base.rate, "rate"), gradient=factors(base.gradient, "gradient"),
+        logger_spike=factor(base.logger_spike, "hobo_spike_T", "T"), logger_rate=factor(base.logger_rate, "hobo_rate_T", "T"),
+        flat_fail=first(base.flat_fail, "seaguard_flat_fail", "rep_cnt_fail"),
+        flat_suspect=first(base.flat_suspect, "seaguard_flat_susp", "rep_cnt_susp"),
+        logger_flat_fail=first(base.logger_flat_fail, "hobo_flat_fail", "rep_cnt_fail"),
+        logger_flat_suspect=first(base.logger_flat_suspect, "hobo_flat_susp", "rep_cnt_susp"),
+        density_tolerance=first(base.density_tolerance, "dens_inv_tolerance"),
+        light_baseline_days=first(base.light_baseline_days, "lux_baseline_days"),
+        light_cutoff_fraction=first(base.light_cutoff_fraction, "lux_cutoff_frac"),
+        light_sustain_days=first(base.light_sustain_days, "lux_sustain_days"),
+        light_fixed_days=first(base.light_fixed_days, "lux_fixed_days"))

@@ -142,8 +142,9 @@ def run_plan(df: DataFrame, plan: list[Test], columns: dict[str, str], keys, by,
             _factor(criteria, "rate", t.variable, logger).suspect) for t in live})
     flats = [t for t in plan if t.family == "flat" and t in on]
     if flats:
-        work = flat_line(work, keys, by, {column_of(t): c(columns[t.variable]) for t in flats},
-                         criteria.flat_fail, criteria.flat_suspect, cuts)
+        counts = ((criteria.logger_flat_fail, criteria.logger_flat_suspect) if logger
+                  else (criteria.flat_fail, criteria.flat_suspect))
+        work = flat_line(work, keys, by, {column_of(t): c(columns[t.variable]) for t in flats}, *counts, cuts)
     grads = [t for t in plan if t.family == "gradient" and t in on and depth]
     if grads:
         f = criteria.gradient["T"]
