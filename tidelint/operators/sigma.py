@@ -2,9 +2,9 @@
 
 The window length differs from series to series, which a row frame (a literal)
 cannot express, and a sliding exact median costs O(n w) in the window operator.
-Each task therefore takes one bounded piece of one series: runs of positions of
-at least two windows, with a window of neighbours on either side, so that a row is in
-three pieces at most. Inside a piece the medians of all windows are found
+Each task therefore takes one bounded piece of one series: runs of 65,536 positions or
+two windows, whichever is more, with a window of neighbours on either side, so that a row is in
+three pieces at most. A worker holds one piece at a time. Inside a piece the medians of all windows are found
 together: values become ranks, and every window descends the bits of its median's rank at once,
 from the counts of zero bits before its two ends (a wavelet matrix of which only
 one level is held). That is O(n log n) whatever the window.
@@ -28,6 +28,7 @@ from tidelint.operators.stats import attach_medians
 MIN_SAMPLES = 11           # shorter windows cannot estimate a local spread
 MAD_TO_SIGMA = 1.4826
 _LEAST_VALUES = 3          # a window with fewer values has no spread
+_RUN = 1 << 16             # positions of a piece whose windows are short; a worker holds whole pieces
 
 
 def attach_global_sigma(df: DataFrame, keys, columns: dict[str, Column], cuts: Cuts | None = None) -> DataFrame:
@@ -148,7 +149,7 @@ def rolling_sigma(df: DataFrame, keys, pos: str, n: str,
     else:
         reach = F.greatest(*[F.when((F.col(w) >= MIN_SAMPLES) & (F.col(w) < F.col(n)), F.col(w))
                              .otherwise(F.lit(0)) for w in windows.values()], F.lit(0)).cast("long")
-        size = F.greatest(F.lit(cuts.rows), 2 * reach)
+        size = F.greatest(F.lit(min(cuts.rows, _RUN)), 2 * reach)
         first, last = F.floor((F.col(pos) - reach) / size), F.floor((F.col(pos) + reach) / size)
         spread = F.sequence(F.greatest(first, F.lit(0)).cast("long"), F.least(last, F.floor((F.col(n) - 1) / size)).cast("long"))
         piece = work.withColumn("_size", size).withColumn("_part", F.explode(spread))
@@ -174,7 +175,9 @@ def rolling_sigma(df: DataFrame, keys, pos: str, n: str,
             if not one_piece:
                 own = t.column(pos).to_numpy() // t.column("_size").to_numpy() == t.column("_part").to_numpy()
                 out = out.filter(pa.array(own))
-            yield from out.combine_chunks().to_batches()
+            del t
+            yield from out.to_batches()
+            del out                                     # before the next piece is read
 
     # many short groups share a batch, so the cost per series stays small
     rolled = piece.repartition(*group).sortWithinPartitions(*group, pos).mapInArrow(run, schema)
