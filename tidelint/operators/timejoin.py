@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
-from tidelint.operators.ordering import FirstAfter, Last, Next, Prev, attach, ordered
+from tidelint.operators.ordering import FirstAfter, Last, Next, Position, Prev, RunningSum, attach, ordered
 from tidelint.operators.qc_tests import c
 from tidelint.operators.stats import attach_medians
 
@@ -138,13 +138,13 @@ def merge_sensor_groups(groups: DataFrame, keys, group: str, members: list[int],
     return u.rows.where(F.col("_kind") == 1).select(*[c(x) for x in groups.columns], *out)
 
 
-_BASE, _LEVELS = 16, 13        # 16^13 microseconds reach past the year 2100
+_BASE, _LEVELS = 8, 9          # 8^8 points in a block of the last level, any number of which make up an interval
 
 
 def _blocks(lo: Column, hi: Column) -> Column:
-    """The few aligned time blocks that make up [lo, hi], largest first.
+    """The few aligned blocks that make up the numbers [lo, hi], smallest first.
 
-    Blocks of a level are 16 times those of the level below; a block is taken
+    Blocks of a level are 8 times those of the level below; a block is taken
     when it lies inside and its parent does not.
     """
     def part(level: int, a: Column, b: Column) -> Column:
@@ -170,18 +170,33 @@ def covering_interval(points: DataFrame, intervals: DataFrame, keys, at: str, st
     """Label of the shortest interval, widened by the slack, that holds each
     point; null when none does.
 
-    Intervals are cut into aligned blocks and each block keeps only its
-    shortest interval; a point looks up the one block per level it lies in.
-    The work grows with points plus intervals, never with their pairs.
+    The different times of a key's points are numbered, and an ordered scan finds the
+    first and the last of them that an interval holds. Of the intervals that hold
+    the same points the shortest is kept and cut into aligned blocks of their
+    numbers, each of which keeps its shortest interval; a point looks up the one block per
+    level it lies in. The work grows with points plus intervals, never with their pairs.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     lo, hi = micros(F.col(start)) - slack_s * 1000000, micros(F.col(end)) + slack_s * 1000000
     length = micros(F.col(end)) - micros(F.col(start))
-    cut = intervals.where(F.col(start).isNotNull()).select(
-        *keys, F.struct(length.alias("len"), c(label).alias("lab")).alias("_i"), F.explode(_blocks(lo, hi)).alias("_k"))
-    best = cut.groupBy(*keys, "_k").agg(F.min("_i").alias("_i"))
     pts = points.withColumn("_t", micros(F.col(at)))
-    own = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("_t") / F.lit(_BASE ** n)).alias("block")) for n in range(_LEVELS)])
-    asked = pts.select(*keys, "_t").distinct().withColumn("_k", F.explode(own))
-    found = asked.join(best, [*keys, "_k"]).groupBy(*keys, "_t").agg(F.min("_i").alias("_i"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & c(k).isNotNull()
+    asked = pts.where(known & F.col("_t").isNotNull()).select(*keys, "_t").distinct()
+    spans = (intervals.where(known).select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.struct(length.alias("len"), c(label).alias("lab")).alias("_i"))
+             .where(F.col("_lo") <= F.col("_hi")))
+    # at one time an interval begins before the point and ends after it
+    ends = F.explode(F.array(F.struct(F.col("_lo").alias("_t"), F.lit(0).alias("_side")), F.struct(F.col("_hi").alias("_t"), F.lit(2).alias("_side")))).alias("_e")
+    laid = (spans.select(*keys, "_lo", "_i", ends).select(*keys, "_lo", "_i", "_e._t", "_e._side")
+            .unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True))
+    s = ordered(laid, keys, ("_t", "_side")).scan(_upto=RunningSum((F.col("_side") == 1).cast("bigint")))
+    held = (s.rows.where(F.col("_side") != 1).groupBy(*keys, "_lo", "_i")
+            .agg(F.max(F.when(F.col("_side") == 0, F.col("_upto"))).alias("_first"), (F.max(F.when(F.col("_side") == 2, F.col("_upto"))) - 1).alias("_last"))
+            .where(F.col("_first") <= F.col("_last")).groupBy(*keys, "_first", "_last").agg(F.min("_i").alias("_i")))
+    best = (held.select(*keys, "_i", F.explode(_blocks(F.col("_first"), F.col("_last"))).alias("_k"))
+            .groupBy(*keys, "_k").agg(F.min("_i").alias("_i")))
+    own = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("_nth") / F.lit(_BASE ** n)).alias("block")) for n in range(_LEVELS)])
+    numbered = ordered(asked, keys, "_t", s.cuts).scan(_nth=Position()).rows
+    found = numbered.select(*keys, "_t", F.explode(own).alias("_k")).join(best, [*keys, "_k"]).groupBy(*keys, "_t").agg(F.min("_i").alias("_i"))
     return attach(pts, found, [*keys, "_t"]).select(*[c(x) for x in points.columns], F.col("_i.lab").alias(label))
