@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tidelint.operators import preprocess as pp
 from tidelint.operators import sigma as sg
 from tidelint.operators import timejoin as tj
 from tidelint.operators.ordering import Position, ordered
@@ -75,3 +77,19 @@ def test_blocks_follow_the_points_that_are_asked(spark, monkeypatch):
     monkeypatch.setattr(tj, "_blocks", counted)
     tj.covering_interval(ntz(spark, points, "at"), ntz(spark, files, "s", "e"), "k", "at", "s", "e", "f").collect()
     assert 0 < made.value <= 10 * len(files)
+
+
+def explained(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", ["k", ["k"]])
+def test_deployment_reads_its_table_once(spark, key):
+    """Short series share one exchange; the table was joined with itself, eight scans in all."""
+    rows = [("a", 1, 5.0, None, None), ("a", 2, None, "x", None), ("a", 3, 6.0, None, None), ("a", 4, 7.0, None, None), ("a", 5, None, None, "x"), ("a", 6, 8.0, None, None),
+            (None, 1, 1.0, None, None), (None, 2, 2.0, "x", None), (None, 3, None, None, "x"), ("b", 1, 1.0, None, None), ("b", 2, 1.0, None, None), ("b", 3, 2.0, "x", None)]
+    df = spark.createDataFrame(rows, "k string, t int, v double, d string, e string")
+    out = pp.deployment_window(df, key, "t", "v", ["d"], ["e"], ["d", "e"])
+    got = sorted((r.k or "", r.t) for r in out.collect())
+    assert got == [("", 1), ("", 2), ("a", 3), ("a", 4), ("b", 1), ("b", 2), ("b", 3)]
+    assert "Join" not in explained(out)

@@ -188,7 +188,13 @@ def fix_scale(df: DataFrame, keys, value: str, out: str) -> DataFrame:
 def deployment_window(df: DataFrame, keys, ts: str, value: str,
                       detached: list[str], ended: list[str], events: list[str]) -> DataFrame:
     """Keep the rows between launch and readout events, when they keep at least
-    half of the measurements, and drop rows that only record an event."""
+    half of the measurements, and drop rows that only record an event.
+
+    Rows without a key belong to no deployment and have no window.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    cuts = measured(df, keys, ())
+
     def any_of(names: list[str]) -> Column:
         out = F.lit(False)
         for n in names:
@@ -196,16 +202,19 @@ def deployment_window(df: DataFrame, keys, ts: str, value: str,
         return out
 
     t = c(ts)
-    work = attach_aggregates(df, keys, {"_start": F.min(F.when(any_of(detached), t))})
+    known = F.lit(True)
+    for k in keys:
+        known = known & c(k).isNotNull()
+    work = attach_aggregates(df, keys, {"_start": F.min(F.when(known & any_of(detached), t))}, cuts)
     after = F.col("_start").isNull() | (t > F.col("_start"))
-    work = attach_aggregates(work, keys, {"_end": F.min(F.when(any_of(ended) & after, t))})
+    work = attach_aggregates(work, keys, {"_end": F.min(F.when(known & any_of(ended) & after, t))}, cuts)
     inside = ((F.col("_start").isNull() | (t >= F.col("_start")))
               & (F.col("_end").isNull() | (t < F.col("_end"))))
-    measured = c(value).isNotNull()
-    work = attach_aggregates(work, keys, {"_meas": F.count_if(measured),
-                                          "_keep": F.count_if(inside & measured)})
+    valued = c(value).isNotNull()
+    work = attach_aggregates(work, keys, {"_meas": F.count_if(valued),
+                                          "_keep": F.count_if(inside & valued)}, cuts)
     trusted = ~((F.col("_meas") > 0) & (F.col("_keep") < 0.5 * F.col("_meas")))
-    return (work.where((inside | ~trusted) & ~(any_of(events) & ~measured))
+    return (work.where((inside | ~trusted) & ~(any_of(events) & ~valued))
             .select(*[c(x) for x in df.columns]))
 
 
