@@ -57,16 +57,16 @@ class WordEncoder:
     def encoded_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, an id 0 at the end of each, and where each row begins.
 
-        A word is looked up once a batch; equal words are found by their 64-bit digests.
+        A part of words is looked up once a batch; equal ones are found by their 64-bit digests.
         """
         starts, ends, firsts = word_spans(data, offsets)
+        data, starts, ends, firsts = _parts(data, starts, ends, firsts)
         _, where, which = np.unique(word_digests(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        found = self._ids(words)
+        found = self._ids([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         flat = np.frombuffer(b"".join(found), "<u4")
-        per = sizes[which]                                          # tokens of each word of the batch
+        per = sizes[which]                                          # tokens of each part of the batch
         upto = np.concatenate(([0], np.cumsum(per)))
         place = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], per) + np.arange(upto[-1])
         rows = len(offsets) - 1
@@ -75,22 +75,18 @@ class WordEncoder:
         out[np.arange(upto[-1]) + np.repeat(np.arange(rows), np.diff(upto[firsts]))] = flat[place]
         return out, at
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of different words."""
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of different parts of words."""
         known = self.known
-        found = list(map(known.get, words))
+        found = list(map(known.get, parts))
         new = [i for i, ids in enumerate(found) if ids is None]
-        stems = [_stem(words[i]) for i in new]
-        parts = {s: known.get(s) for stem in stems for s in stem}
-        unseen = [s for s, ids in parts.items() if ids is None]
-        coded = self.tokenizer.encode_batch_fast([s.decode() for s in unseen], add_special_tokens=False)
-        parts.update(zip(unseen, [_bytes(c.ids) for c in coded], strict=True))
-        for i, stem in zip(new, stems, strict=True):
-            found[i] = parts[stem[0]] if len(stem) == 1 else parts[stem[0]] + parts[stem[1]]
+        coded = self.tokenizer.encode_batch_fast([parts[i].decode() for i in new], add_special_tokens=False)
         room = _REMEMBERED - len(known)
-        if room > 0:
-            known.update([(words[i], found[i]) for i in new[:room] if len(words[i]) <= _LONGEST])
-            known.update([(s, parts[s]) for s in unseen[:max(0, _REMEMBERED - len(known))] if len(s) <= _LONGEST])
+        for i, c in zip(new, coded, strict=True):
+            ids = found[i] = _bytes(c.ids)
+            if room > 0 and len(parts[i]) <= _LONGEST:
+                known[parts[i]] = ids
+                room -= 1
         return found
 
 
@@ -101,22 +97,49 @@ def _bytes(ids: list[int]) -> bytes:
     return own.tobytes()
 
 
-_SIGNS = b".,;:!?%&*#$|-/\\\"()[]{}<>=+_@^~"
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b".,;:!?%&*#$|-/\\\"()[]{}<>=+_@^~")] = True
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
-def _stem(word: bytes) -> tuple[bytes, ...]:
-    """Parts of a word that the tokenizer keeps apart: what ends in a letter, in lower case, and the signs after it.
+def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case, parts of words that the tokenizer keeps apart, and the first part of each row.
 
-    A word with `<|` may hold a special token and is left whole.
+    The parts of a word are what ends in a letter and the signs after it. A word
+    with `<|` may hold a special token and is left whole, in its own case.
     """
-    if b"<|" in word:
-        return (word,)
-    lower = word.lower()
-    stem = lower.rstrip(_SIGNS)
-    if len(stem) == len(lower) or not stem or stem[-1] not in _LETTERS and not (stem[-1] > 127 and stem.decode()[-1].isalpha()):
-        return (lower,)
-    return stem, lower[len(stem):]
+    if not len(starts):
+        return data, starts, ends, firsts
+    low = _LOWER[data]
+    cut = np.maximum.accumulate(np.where(_SIGN[low], -1, np.arange(len(low))))[ends - 1] + 1
+    split = (cut > starts) & (cut < ends)
+    split[split] &= _after_letter(low, cut[split])
+    special = np.searchsorted(starts, np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))), "right") - 1
+    for word in np.unique(special).tolist():
+        low[starts[word]:ends[word]] = data[starts[word]:ends[word]]
+        split[word] = False
+    begin = np.concatenate(([0], np.cumsum(1 + split)))             # the first part of each word
+    low_ends, tails = ends.copy(), begin[1:][split] - 1
+    low_ends[split] = cut[split]
+    own_starts, own_ends = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
+    own_starts[begin[:-1]], own_ends[begin[:-1]] = starts, low_ends
+    own_starts[tails], own_ends[tails] = cut[split], ends[split]
+    return low, own_starts, own_ends, begin[firsts]
+
+
+def _after_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places of UTF-8 bytes come after a letter: a to z, or one that is not ASCII and ends in a letter in lower case (a dotted capital I does not)."""
+    out = _LETTER[data[at - 1]]
+    wide = np.flatnonzero(data[at - 1] > 127)
+    if len(wide):
+        last = data[np.maximum(at[wide, None] - np.arange(4, 0, -1), 0)]        # the last four bytes, that of the least place first
+        lead = 3 - np.argmax((last[:, ::-1] & 0xC0) != 0x80, 1)
+        last[np.arange(4) < lead[:, None]] = 0
+        chars, which = np.unique(last.view(">u4")[:, 0], return_inverse=True)
+        letter = np.array([int(c).to_bytes(4, "big").lstrip(b"\0").decode().lower()[-1:].isalpha() for c in chars], bool)
+        out[wide] = letter[which]
+    return out
 
 
 def encoder(path: str) -> WordEncoder:
