@@ -140,6 +140,41 @@ def test_star_of_edits_is_one_class(spark):
     assert len(got) == 1501 and got.count(0) >= 0.999 * 1501
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_comparison_across_classes_hands_out_links_only(spark, blocks):
+    """Classes of one large sketch: those that a link joins are joined, and pairs are not handed out."""
+    r = random.Random(12)
+
+    def edit(base, share):
+        return [r.choice("abcdefghijklmno") if r.random() < share else w for w in base]
+
+    first, other = ([r.choice("abcdefghijklmno") for _ in range(120)] for _ in range(2))
+    beside = edit(first, 0.1)
+    groups = [[edit(base, 0.05) for _ in range(40)] for base in (first, beside, other, sorted(other))] + [[edit(first, 0.25)] for _ in range(30)]
+    texts = {hashlib.md5(" ".join(t).encode()).digest(): (" ".join(t), g) for g, group in enumerate(groups) for t in group}
+    rows = [(bytearray(node), t, 120, len(order_minhash._shingles(t.split())), bytearray([g])) for node, (t, g) in texts.items()]
+    frame = spark.createDataFrame(rows, "node binary, text string, n int, d int, root binary")
+    large = (frame.select("node", "n", "d", "root", F.explode(F.expr("array(-5L, 7L)")).alias("sketch"))
+             .withColumn("rare", F.hex("root") != "00").withColumn("blocks", F.lit(blocks)).withColumn("rare_blocks", F.lit(blocks)))
+    got = order_minhash._across(frame.select("text"), large, spark.createDataFrame([], "a binary, b binary")).collect()
+    assert len(got) <= 2 * blocks**2 * (len(groups) - 1)                 # blocks of two sketches, not 40 * 40 pairs
+
+    def joined(pairs):
+        top = list(range(len(groups)))
+        for x, y in pairs:
+            top = [min(top[x], top[y]) if t in (top[x], top[y]) else t for t in top]
+        return top
+
+    assert all(row.similarity >= 0.8 for row in got)
+    every, linked = list(texts.values()), []
+    for i, (x, g) in enumerate(every):
+        own = order_minhash.Aligner(x.encode().split())
+        linked += [(g, h) for y, h in every[:i] if h != g and own.similar(y.encode().split())]
+    found = [(texts[bytes(row.a)][1], texts[bytes(row.b)][1]) for row in got]
+    assert set(found) <= {(g, h) for x, y in linked for g, h in ((x, y), (y, x))}
+    assert joined(found) == joined(linked) and 2 < len(set(joined(found))) < len(groups) - 2
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]
