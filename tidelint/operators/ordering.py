@@ -19,7 +19,7 @@ scan are written to the shared folder first.
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,18 +40,30 @@ class Cuts:
     table: DataFrame | None
     rows: int = PIECE_ROWS
     position: bool = False
+    groups: int | None = None   # series that were counted
 
     @property
     def none(self) -> bool:
         return self.table is None
 
+    def few(self, keys) -> bool:
+        """True when groups of ``keys`` were counted to be no more than a broadcast table may have rows."""
+        return self.groups is not None and self.groups <= _MOST_PIECES and set(keys) <= set(self.keys)
+
+    def crossed(self, name: str, values) -> Cuts:
+        """The cuts of a frame whose columns ``values`` are unpivoted, so that every series becomes one for each of them."""
+        values = list(values)
+        table = self.table if self.none else self.table.withColumn(f"_k_{name}", F.explode(F.array(*[F.lit(v) for v in values])))
+        groups = None if self.groups is None else self.groups * len(values)
+        return replace(self, keys=(*self.keys, name), table=table, groups=groups)
+
     def bounds(self, keys) -> bool:
         """True when every group of ``keys`` is known to fit one piece."""
         return self.none and set(self.keys) <= set(keys)
 
     def at(self, position: str) -> Cuts:
         """The same series cut at every ``rows``-th row number, for rows in the order of their number."""
-        return Cuts(self.keys, (position,), self.table, self.rows, True)
+        return replace(self, by=(position,), position=True)
 
     def spread(self, df: DataFrame, t: str, span: int, out: str) -> DataFrame:
         """Rows with a piece (``out``) and whether it is their own (``_own``).
@@ -111,16 +123,16 @@ def measured(df: DataFrame, keys, by) -> Cuts:
     by = (by,) if isinstance(by, str) else tuple(by)
     rows = piece_rows(df)
     sizes = df.groupBy(*[_c(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    total, longest, groups = sizes.agg(F.sum("_n"), F.max("_n"), F.count(F.lit(1))).first()
     if (longest or 0) <= rows:
-        return Cuts(keys, by, None)
+        return Cuts(keys, by, None, groups=groups)
     rows = max(rows, -(-total // _MOST_PIECES))
     long = sizes.where(F.col("_n") > rows).select(*[F.col(f"`_k_{k}`") for k in keys], F.ceil(F.col("_n") / rows).alias("_pieces"), "_n")
     if longest <= rows:
-        return Cuts(keys, by, None)
+        return Cuts(keys, by, None, groups=groups)
     long = df.sparkSession.createDataFrame(long.collect(), long.schema)
     if not by:
-        return Cuts(keys, by, long, rows)
+        return Cuts(keys, by, long, rows, groups=groups)
     drawn = df.alias("a").join(F.broadcast(long).alias("b"), _same("a", "b", keys))
     # rows of equal keys and order are drawn together, so a border never depends on how a task was run
     dice = F.pmod(F.xxhash64(*[F.col(f"a.`{n}`") for n in (*keys, *by)]), F.lit(1 << 40))
@@ -131,7 +143,7 @@ def measured(df: DataFrame, keys, by) -> Cuts:
     found = border.groupBy(*[f"_k_{k}" for k in keys]).agg(F.array_sort(F.collect_set("_at")).alias("_borders"))
     chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_borders") / _FAN).cast("int") - 1), lambda i: F.slice("_borders", i * _FAN + 1, F.lit(_FAN)))
     found = found.withColumn("_borders", chunks)
-    return Cuts(keys, by, df.sparkSession.createDataFrame(found.collect(), found.schema), rows)
+    return Cuts(keys, by, df.sparkSession.createDataFrame(found.collect(), found.schema), rows, groups=groups)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -145,10 +157,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, for plans that read it twice."""
+def kept(df: DataFrame, laid: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder, for plans that read it twice.
+
+    ``laid``: a later scan finds the rows dealt and sorted as they are here. Only
+    a plan that is fixed before it runs tells how its rows lie.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    adaptive = conf.get(name)
+    if not laid or adaptive == "false":
+        return df.checkpoint()
+    conf.set(name, "false")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.set(name, adaptive)
 
 
 @dataclass(frozen=True)
@@ -217,14 +241,21 @@ class Ordered:
     def with_columns(self, **columns: Column) -> Ordered:
         return Ordered(self.df.withColumns(columns), self.cuts, self.scanned)
 
-    def scan(self, **scans: Scan) -> Ordered:
-        """Add one column per scan; all scans of a call share the sorts."""
+    def scan(self, _stored: bool = False, **scans: Scan) -> Ordered:
+        """Add one column per scan; all scans of a call share the sorts.
+
+        With ``_stored``, rows of long series are written with what their own piece
+        tells, so that what pieces take from each other is read from there.
+        """
         up, down = self._window(), self._window(True)
         if self.cuts.none:
             return Ordered(self.df.select("*", *[self._local(s, up, down).alias(n) for n, s in scans.items()]), self.cuts, True)
         if self.scanned:
             self = Ordered(kept(self.df), self.cuts, True)
         local = self.df.select("*", *[self._local(s, up, down, True).alias(n) for n, s in scans.items()])
+        if _stored:
+            local = kept(local)
+            self = Ordered(local.select(*[_c(n) for n in self.df.columns]), self.cuts, True)
         both = local.alias("a").join(F.broadcast(self._carry(scans)).alias("b"),
                                      _same("a", "b", self.cuts.keys) & (F.col(f"a.{PIECE}") == F.col(f"b._k_{PIECE}")), "left")
         done = both.select(*[F.col(f"a.`{c}`") for c in self.df.columns], *[self._merge(s, n).alias(n) for n, s in scans.items()])
@@ -258,6 +289,12 @@ class Ordered:
                 e = F.sum(_col(s.value))
             elif isinstance(s, RunningMax):
                 e = F.max(_col(s.value))
+            elif isinstance(s, Prev) and isinstance(s.value, str) and s.value == self.cuts.by[0]:
+                # the order's own column needs no struct to be ordered by, and so no sort to be aggregated
+                e = F.struct(F.max(_c(s.value)).alias("v"))
+            elif isinstance(s, Next) and isinstance(s.value, str) and s.value == self.cuts.by[0]:
+                v = _c(s.value)
+                e = F.struct(F.when(F.count(v) == F.count(F.lit(1)), F.min(v)).alias("v"))
             elif isinstance(s, (Prev, Next)):
                 e = (F.max_by if isinstance(s, Prev) else F.min_by)(F.struct(_col(s.value).alias("v")), at)
             else:
@@ -305,33 +342,39 @@ def ordered(df: DataFrame, keys, by, cuts: Cuts | None = None) -> Ordered:
 
     ``cuts`` are those of an earlier call on the same rows, or of rows that these
     are some of; with other keys or another order they only serve when they show that no series is long.
+    Rows that have their piece already keep it: they stay where an earlier scan has dealt and sorted them.
     """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     by = (by,) if isinstance(by, str) else tuple(by)
     if cuts is not None and cuts.none and cuts.bounds(keys):
         cuts = Cuts(keys, by, None)
     elif cuts is None or (cuts.keys, cuts.by) != (keys, by):
-        cuts = measured(df, keys, by)
-    return Ordered(cuts.numbered(df), cuts)
+        cuts = measured(df.drop(PIECE), keys, by)
+        df = df.drop(PIECE)
+    return Ordered(df if PIECE in df.columns else cuts.numbered(df), cuts)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
-    """Left-join per-key statistics. No broadcast hint: AQE decides from the
-    measured size and splits a skewed key otherwise."""
-    return df.join(stats, list((keys,) if isinstance(keys, str) else keys), "left")
+def attach(df: DataFrame, stats: DataFrame, keys, cuts: Cuts | None = None) -> DataFrame:
+    """Left-join per-key statistics. Broadcast where ``cuts`` show that there are few groups;
+    otherwise AQE decides from the measured size and splits a skewed key."""
+    keys = list((keys,) if isinstance(keys, str) else keys)
+    return df.join(F.broadcast(stats) if cuts is not None and cuts.few(keys) else stats, keys, "left")
 
 
-def attach_aggregates(df: DataFrame, keys, aggregates: dict[str, Column], cuts: Cuts | None = None) -> DataFrame:
+def attach_aggregates(df: DataFrame, keys, aggregates: dict[str, Column], cuts: Cuts | None = None, light: bool = False) -> DataFrame:
     """Give every row the aggregates of its group.
 
     Where ``cuts`` show that groups are short: one window over the group, which
     shares the exchange of the scans. Otherwise partial aggregation and a join
-    back, so no task ever holds a whole group.
+    back, so no task ever holds a whole group. Rows are written first unless they are
+    ``light``, stored or cheap to read again, and their groups are few: then
+    the join moves no rows, and the result is as light.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if cuts is not None and cuts.bounds(keys):
         w = Window.partitionBy(*keys)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()])
-    if cuts is not None:
+    light = light and cuts is not None and cuts.few(keys)
+    if cuts is not None and not light:
         df = kept(df)
-    return attach(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]), keys)
+    return attach(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]), keys, cuts if light else None)

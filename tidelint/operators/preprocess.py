@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.flags import DISMISSED, flag
-from tidelint.operators.ordering import (Cuts, FirstAfter, Last, Position, attach, attach_aggregates,
-                                         measured, ordered)
+from tidelint.operators.ordering import (PIECE, Cuts, FirstAfter, Last, Next, Position, Prev, attach, attach_aggregates,
+                                         kept, measured, ordered)
 from tidelint.operators.peaks import turning_points
 from tidelint.operators.qc_tests import c
 from tidelint.operators.series import with_sampling
@@ -266,12 +266,21 @@ def cast_phase(df: DataFrame, keys, pos: str, pressure: str) -> DataFrame:
 
 
 def drop_null_repeats(df: DataFrame, keys: list[str], ts: str, value: str, cuts: Cuts | None = None) -> DataFrame:
-    """Drop null readings at instants the series has more than once."""
+    """Drop null readings at instants the series has more than once.
+
+    Rows that have their piece, in an order that begins with ``ts`` and has no null in it, are
+    compared with their neighbours. They are then stored as they lie, for what
+    scans them next.
+    """
+    if PIECE in df.columns and cuts is not None and cuts.keys == tuple(keys) and cuts.by[0] == ts:
+        s = ordered(df, keys, cuts.by, cuts).scan(_prev=Prev(ts), _next=Next(ts))
+        alone = F.coalesce(c("_prev") != c(ts), F.lit(True)) & F.coalesce(c("_next") != c(ts), F.lit(True))
+        return kept(s.df.where(c(value).isNotNull() | alone).select(*[c(n) for n in df.columns]), laid=True)
     counted = attach_aggregates(df, [*keys, ts], {"_copies": F.count(F.lit(1))}, cuts)
     return counted.where(c(value).isNotNull() | (F.col("_copies") == 1)).drop("_copies")
 
 
 def present_parameters(long: DataFrame, keys: list[str], var: str = "var", value: str = "value", cuts: Cuts | None = None) -> DataFrame:
     """Rows of the parameters that hold at least one value in their slice."""
-    counted = attach_aggregates(long, [*keys, var], {"_held": F.count(value)}, cuts)
+    counted = attach_aggregates(long, [*keys, var], {"_held": F.count(value)}, cuts, light=PIECE in long.columns)
     return counted.where(F.col("_held") > 0).drop("_held")

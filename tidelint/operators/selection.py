@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelint.functions.timespec import micros
-from tidelint.operators.ordering import attach_aggregates
+from tidelint.operators.ordering import PIECE, Cuts, attach_aggregates
 from tidelint.operators.qc_tests import c
 
 
@@ -37,9 +37,9 @@ def semester(ts: Column) -> Column:
     return F.when(F.month(ts) <= 6, 1).otherwise(2)
 
 
-def first_midnight_hours(df: DataFrame, keys, ts: str = "ts", out: str = "hours") -> DataFrame:
+def first_midnight_hours(df: DataFrame, keys, ts: str = "ts", out: str = "hours", cuts: Cuts | None = None) -> DataFrame:
     """Hours since the midnight before the first sample of each group."""
-    work = attach_aggregates(df, keys, {"_first": F.min(ts)})
+    work = attach_aggregates(df, keys, {"_first": F.min(ts)}, cuts, light=PIECE in df.columns)
     origin = F.date_trunc("day", F.col("_first")).cast("timestamp_ntz")
     hours = (micros(F.col(ts)) - micros(origin)) / 3.6e9
     return work.select(*[c(x) for x in df.columns], hours.alias(out))

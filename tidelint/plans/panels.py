@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelint.functions import seawater
 from tidelint.functions.timespec import micros
 from tidelint.operators import light as li
-from tidelint.operators.ordering import Cuts, FirstAfter, Last, Next, attach, attach_aggregates, measured, ordered
+from tidelint.operators.ordering import PIECE, Cuts, FirstAfter, Last, Next, attach, attach_aggregates, measured, ordered
 from tidelint.operators.preprocess import drop_null_repeats, present_parameters
 from tidelint.operators.qc_tests import c
 from tidelint.operators.reports import unpivot
@@ -22,9 +22,15 @@ TIE = "sample_no"
 
 def valid_interval(df: DataFrame, keys, by, value: str, cuts: Cuts | None = None) -> DataFrame:
     """Rows between the first and the last reading of each series."""
+    if PIECE in df.columns and cuts is not None and cuts.few(keys):
+        # stored rows of few series: their ends are one small table
+        at = F.struct(*[c(n) for n in by])
+        reading = F.when(c(value).isNotNull(), at)
+        ends = attach_aggregates(df, keys, {"_begin": F.min(reading), "_end": F.max(reading)}, cuts, light=True)
+        return ends.where(at.between(F.col("_begin"), F.col("_end"))).select(*[c(x) for x in df.columns])
     s = ordered(df, keys, by, cuts).scan(_before=Last(F.when(c(value).isNotNull(), F.lit(1))),
                                    _behind=FirstAfter(F.when(c(value).isNotNull(), F.lit(1))))
-    return s.rows.where(F.col("_before").isNotNull() & F.col("_behind").isNotNull()).select(*[c(x) for x in df.columns])
+    return s.df.where(F.col("_before").isNotNull() & F.col("_behind").isNotNull()).select(*[c(x) for x in df.columns])
 
 
 def with_gap_nodes(df: DataFrame, keys, value: str = "value", cuts: Cuts | None = None) -> DataFrame:
@@ -32,12 +38,25 @@ def with_gap_nodes(df: DataFrame, keys, value: str = "value", cuts: Cuts | None
     by = ["ts", TIE]
     trimmed = valid_interval(df, keys, by, value, cuts)
     s = ordered(trimmed, keys, by, cuts).scan(_next=Next("ts"))
-    return gap_nodes(s.rows, F.col("_next"), "ts", value).select(*[c(x) for x in df.columns])
+    return gap_nodes(s.df, F.col("_next"), "ts", value).select(*[c(x) for x in df.columns])
+
+
+def _unpivoted(rows: DataFrame, variables: list[str]) -> tuple[DataFrame, Cuts]:
+    """Series of site, semester and variable, cut as all readings of their site's semester are.
+
+    Rows of long series get their piece here, once for all variables, and keep
+    it through the operators that follow: these rows are dealt and sorted once.
+    """
+    slices = ["site", "semester"]
+    cuts = measured(rows, slices, ["ts", TIE])
+    laid = cuts.numbered(rows)
+    long = unpivot(laid, [*slices, "ts", TIE, *([] if cuts.none else [PIECE])], variables)
+    return long, cuts.crossed("var", variables)
 
 
 def _fitted(df: DataFrame, keys: list[str], degree: int | None, unfitted: list[str], cuts: Cuts) -> DataFrame:
     if degree is None:
-        return df.withColumn("fit", F.lit(None).cast("double"))
+        return df.drop(PIECE).withColumn("fit", F.lit(None).cast("double"))
     return series_trend(df, keys, ["ts", TIE], "value", degree, only=~F.col("var").isin(list(unfitted)), keep_all=True, cuts=cuts)
 
 
@@ -61,9 +80,9 @@ def parameter_across_sites(df: DataFrame, variables: list[str], sites: list[str]
     """One parameter over all sites on hours since each site's first midnight."""
     rows = select_rows(df, sites, [year]).withColumn("semester", semester(F.col("ts")))
     keys = ["site", "semester", "var"]
-    cuts = measured(rows, ["site", "semester"], ())
-    long = drop_null_repeats(unpivot(rows, ["site", "semester", "ts", TIE], variables), keys, "ts", "value", cuts)
-    long = first_midnight_hours(long, keys)
+    long, cuts = _unpivoted(rows, variables)
+    long = drop_null_repeats(long, keys, "ts", "value", cuts)
+    long = first_midnight_hours(long, keys, cuts=cuts)
     if start is not None and end is not None:
         # the window keeps its day offset from the semester's first midnight
         anchors = rows.groupBy("semester").agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("_zero"))
@@ -71,7 +90,7 @@ def parameter_across_sites(df: DataFrame, variables: list[str], sites: list[str]
         long = attach(long, anchors, "semester").where(F.col("hours").between(lo, hi)).drop("_zero")
     origin = long.groupBy(*keys).agg(F.min(micros(F.col("ts")) - (F.col("hours") * 3.6e9)).cast("long").alias("_origin"))
     nodes = with_gap_nodes(long.drop("hours"), keys, cuts=cuts)
-    nodes = attach(nodes, origin, keys)
+    nodes = attach(nodes, origin, keys, cuts)
     nodes = nodes.withColumn("hours", (micros(F.col("ts")) - F.col("_origin")) / 3.6e9).drop("_origin")
     return _fitted(nodes, keys, degree, list(unfitted), cuts)
 
