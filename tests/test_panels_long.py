@@ -57,7 +57,7 @@ def expected(pdf):
     return out
 
 
-PANELS = {"parameter_across_sites": pn.parameter_across_sites}
+PANELS = {"site_parameters": pn.site_parameters, "parameter_across_sites": pn.parameter_across_sites}
 
 
 @pytest.mark.parametrize("name", PANELS)
